@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from carelake.plans import dashboards
+from carelake.plans import dashboards, models
 
 
 def all_queries() -> dict:
     reg = {}
     reg.update(dashboards.QUERIES)
+    reg.update(models.QUERIES)
     return reg

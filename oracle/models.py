@@ -1,4 +1,197 @@
-"""Oracle SQL for features, models, governance, quality and alerts."""
+"""Oracle SQL for feature views, predictions and client analytics."""
 
-EXTRA_CTES: dict[str, str] = {}
-Q: dict[str, str] = {}
+from __future__ import annotations
+
+import itertools
+
+from carelake.config import TESTDATA as P
+from carelake.functions.stats import AS_B, AS_P, INV_SQRT_2PI
+from carelake.operators.pivot import WEEKDAYS
+from carelake.plans.features import LEAKAGE_DIMS, READMISSION_DIMS
+from oracle.sql import Q as DASH
+
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+Z = dbl(1.96)
+RUN_TS = f"TIMESTAMP '{P.as_of} 00:00:00'"
+
+
+def cdf(z: str) -> str:
+    a = f"abs({z})"
+    t = f"({dbl(1.0)} / ({dbl(1.0)} + {dbl(AS_P)} * {a}))"
+    b = [dbl(x) for x in AS_B]
+    poly = f"({t} * ({b[0]} + {t} * ({b[1]} + {t} * ({b[2]} + {t} * ({b[3]} + {t} * {b[4]})))))"
+    upper = f"({dbl(INV_SQRT_2PI)} * exp(-({a} * {a}) / 2) * {poly})"
+    return f"(CASE WHEN {z} >= 0 THEN {dbl(1.0)} - {upper} ELSE {upper} END)"
+
+
+def days(lo: str, hi: str) -> str:
+    return (f"SELECT CAST(unnest(generate_series(CAST({lo} AS TIMESTAMP), CAST({hi} AS TIMESTAMP), "
+            f"INTERVAL 1 DAY)) AS DATE) AS D")
+
+
+def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, str]:
+    segs = ["{'A': -1, 'B': -1, 'VA': CAST(NULL AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}"]
+    segs += [f"{{'A': {i}, 'B': -1, 'VA': CAST({d} AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}}" for i, d in enumerate(dims)]
+    segs += [f"{{'A': {i}, 'B': {j}, 'VA': CAST({dims[i]} AS VARCHAR), 'VB': CAST({dims[j]} AS VARCHAR)}}"
+             for i, j in itertools.combinations(range(len(dims)), 2)]
+    names = "[" + ", ".join(f"'{d}'" for d in dims) + "]"
+
+    def part(i, v):
+        return f"'\"' || list_extract({names}, {i} + 1) || ' = ' || coalesce({v}, 'NULL') || '\"'"
+
+    rt = "CASE WHEN TEST_COUNT > 0 THEN S_T / TEST_COUNT END"
+    rc = "CASE WHEN CONTROL_COUNT > 0 THEN S_C / CONTROL_COUNT END"
+    contrib = f"CASE WHEN NT > 0 AND NC > 0 THEN (TEST_COUNT / NT) * ({rt}) - (CONTROL_COUNT / NC) * ({rc}) END"
+    change = "abs(CASE WHEN NT > 0 THEN ST / NT END - CASE WHEN NC > 0 THEN SC / NC END)"
+    return {
+        f"{prefix}_x": f"SELECT {metric} AS M, LABEL AS L, unnest([{', '.join(segs)}]) AS S FROM {src}",
+        f"{prefix}_agg": f"""
+            SELECT S.A AS A, S.B AS B, S.VA AS VA, S.VB AS VB,
+                   CAST(sum(CASE WHEN L THEN 1 ELSE 0 END) AS BIGINT) AS TEST_COUNT,
+                   CAST(sum(CASE WHEN L THEN M ELSE 0 END) AS BIGINT) AS S_T,
+                   CAST(sum(CASE WHEN NOT L THEN 1 ELSE 0 END) AS BIGINT) AS CONTROL_COUNT,
+                   CAST(sum(CASE WHEN NOT L THEN M ELSE 0 END) AS BIGINT) AS S_C
+            FROM {prefix}_x GROUP BY 1, 2, 3, 4""",
+        f"{prefix}_o": f"SELECT TEST_COUNT AS NT, CONTROL_COUNT AS NC, S_T AS ST, S_C AS SC FROM {prefix}_agg WHERE A = -1",
+        f"{prefix}_out": f"""
+            SELECT CASE WHEN A = -1 THEN '["Overall"]'
+                        WHEN B = -1 THEN '[' || {part('A', 'VA')} || ']'
+                        ELSE '[' || {part('A', 'VA')} || ', ' || {part('B', 'VB')} || ']' END AS CONTRIBUTOR,
+                   round({rc}, 6) AS METRIC_CONTROL,
+                   round({rt}, 6) AS METRIC_TEST,
+                   round({contrib}, 6) AS CONTRIBUTION,
+                   round(CASE WHEN {change} > 0 THEN ({contrib}) / {change} END, 6) AS RELATIVE_CONTRIBUTION,
+                   round(CASE WHEN ({rc}) > 0 THEN ({rt}) / ({rc}) - 1 END, 6) AS GROWTH_RATE,
+                   CONTROL_COUNT, TEST_COUNT
+            FROM {prefix}_agg CROSS JOIN {prefix}_o
+            WHERE A = -1 OR (TEST_COUNT >= {P.driver_min_support} AND CONTROL_COUNT >= {P.driver_min_support})""",
+    }
+
+
+H = P.forecast_history_days
+EXTRA_CTES: dict[str, str] = {
+    "v1": """SELECT CAST(ADMIT_DATE AS TIMESTAMP) AS TS, ENCOUNTER_TYPE, count(*) AS ENCOUNTER_COUNT
+             FROM fct_encounter GROUP BY ADMIT_DATE, ENCOUNTER_TYPE""",
+    "v2": """SELECT CAST(SERVICE_DATE AS TIMESTAMP) AS TS, DENIAL_CATEGORY, count(*) AS DENIAL_COUNT,
+                    sum(CHARGE_AMT) AS DENIED_CHARGES
+             FROM m_den GROUP BY SERVICE_DATE, DENIAL_CATEGORY""",
+    "v3": f"""SELECT CASE WHEN READMIT_30_FLAG THEN 1 ELSE 0 END AS READMIT_METRIC, DRG_CODE, PAYER_TYPE, PATIENT_GENDER,
+                    CASE WHEN PATIENT_AGE < 18 THEN 'PEDIATRIC' WHEN PATIENT_AGE < 40 THEN 'YOUNG_ADULT'
+                         WHEN PATIENT_AGE < 65 THEN 'ADULT' WHEN PATIENT_AGE < 80 THEN 'SENIOR' ELSE 'ELDERLY' END AS AGE_BUCKET,
+                    CASE WHEN HCC_SCORE IS NULL THEN 'UNKNOWN' WHEN HCC_SCORE < 0.5 THEN 'LOW'
+                         WHEN HCC_SCORE < 1.0 THEN 'MODERATE' WHEN HCC_SCORE < 2.0 THEN 'HIGH' ELSE 'VERY_HIGH' END AS HCC_BUCKET,
+                    DEPT_NAME, ENCOUNTER_TYPE, CAST(IS_LONG_STAY AS VARCHAR) AS IS_LONG_STAY, FACILITY_NAME,
+                    DISCHARGE_DISPOSITION,
+                    ADMIT_MONTH >= CAST((SELECT max(ADMIT_MONTH) FROM m_readmit) - INTERVAL {P.label_months} MONTH AS DATE) AS LABEL
+             FROM m_readmit""",
+    "v4": f"""SELECT CASE WHEN LEAKAGE_FLAG THEN 1 ELSE 0 END AS LEAKAGE_METRIC, REFERRED_TO_SPECIALTY,
+                    REFERRING_SPECIALTY, PATIENT_PAYER_TYPE, substring(PATIENT_ZIP, 1, 3) AS ZIP_PREFIX,
+                    CAST(IS_HIGH_VALUE AS VARCHAR) AS IS_HIGH_VALUE, FACILITY_NAME, STATUS,
+                    REFERRAL_DATE >= CAST((SELECT max(REFERRAL_DATE) FROM m_leak) - INTERVAL {P.label_months} MONTH AS DATE) AS LABEL
+             FROM m_leak""",
+    # L1 forecast
+    "x_fc_daily": "SELECT ENCOUNTER_TYPE AS SERIES, CAST(TS AS DATE) AS D, sum(ENCOUNTER_COUNT) AS Y FROM v1 GROUP BY 1, 2",
+    "x_fc_b": "SELECT max(D) AS MX FROM x_fc_daily",
+    "x_fc_keys": "SELECT DISTINCT SERIES FROM x_fc_daily",
+    "x_fc_dense": f"""SELECT k.SERIES, g.D, COALESCE(d.Y, 0) AS Y
+             FROM x_fc_keys k CROSS JOIN ({days(f'MX - {H - 1}', 'MX')} FROM x_fc_b) g
+             LEFT JOIN x_fc_daily d ON d.SERIES = k.SERIES AND d.D = g.D""",
+    "x_fc_prof": """SELECT SERIES, dayofweek(D) AS DOW, avg(Y) AS MU, COALESCE(stddev_samp(Y), 0.0) AS SD
+             FROM x_fc_dense GROUP BY 1, 2""",
+    "pred_encounter_volume": f"""
+             SELECT k.SERIES AS ENCOUNTER_TYPE, CAST(g.D AS TIMESTAMP) AS FORECAST_DATE,
+                    round(p.MU, 0) AS FORECAST_COUNT, round(p.MU - {Z} * p.SD, 0) AS LOWER_BOUND,
+                    round(p.MU + {Z} * p.SD, 0) AS UPPER_BOUND, {RUN_TS} AS MODEL_RUN_TS
+             FROM x_fc_keys k CROSS JOIN ({days('MX + 1', f'MX + {P.forecast_days}')} FROM x_fc_b) g
+             LEFT JOIN x_fc_prof p ON p.SERIES = k.SERIES AND p.DOW = dayofweek(g.D)""",
+    # L2 anomalies
+    "x_an_daily": """SELECT DENIAL_CATEGORY AS SERIES, CAST(TS AS DATE) AS D, sum(DENIAL_COUNT) AS Y,
+                    sum(DENIED_CHARGES) AS DENIED_CHARGES FROM v2 GROUP BY 1, 2""",
+    "x_an_b": f"""SELECT min(D) AS MN, max(D) AS MX, CAST(max(D) - INTERVAL {P.eval_months} MONTH AS DATE) AS CUT
+             FROM x_an_daily""",
+    "x_an_keys": "SELECT DISTINCT SERIES FROM x_an_daily",
+    "x_an_dense": f"""SELECT k.SERIES, g.D, COALESCE(d.Y, 0) AS Y, COALESCE(d.DENIED_CHARGES, 0.0) AS DENIED_CHARGES
+             FROM x_an_keys k CROSS JOIN ({days('MN', 'MX')} FROM x_an_b) g
+             LEFT JOIN x_an_daily d ON d.SERIES = k.SERIES AND d.D = g.D""",
+    "x_an_prof": """SELECT SERIES, dayofweek(D) AS DOW, avg(Y) AS MU, COALESCE(stddev_samp(Y), 0.0) AS SD
+             FROM x_an_dense CROSS JOIN x_an_b WHERE D < CUT GROUP BY 1, 2""",
+    "pred_denial_anomalies": f"""
+             SELECT d.SERIES AS DENIAL_CATEGORY, CAST(d.D AS TIMESTAMP) AS TS,
+                    round(p.MU, 0) AS EXPECTED_COUNT, round(p.MU - {Z} * p.SD, 0) AS LOWER_BOUND,
+                    round(p.MU + {Z} * p.SD, 0) AS UPPER_BOUND,
+                    (d.Y < p.MU - {Z} * p.SD OR d.Y > p.MU + {Z} * p.SD) AS IS_ANOMALY,
+                    round({cdf('(CASE WHEN p.SD > 0 THEN (d.Y - p.MU) / p.SD END)')}, 4) AS PERCENTILE,
+                    CAST(d.Y AS BIGINT) AS ACTUAL_COUNT, round(d.DENIED_CHARGES, 2) AS ACTUAL_CHARGES,
+                    {RUN_TS} AS MODEL_RUN_TS
+             FROM x_an_dense d CROSS JOIN x_an_b b
+             LEFT JOIN x_an_prof p ON p.SERIES = d.SERIES AND p.DOW = dayofweek(d.D)
+             WHERE d.D >= b.CUT""",
+    **_drivers("x_d3", "v3", "READMIT_METRIC", READMISSION_DIMS),
+    **_drivers("x_d4", "v4", "LEAKAGE_METRIC", LEAKAGE_DIMS),
+    "pred_readmission_drivers": "SELECT * FROM x_d3_out",
+    "pred_leakage_drivers": "SELECT * FROM x_d4_out",
+    "pred_inventory": """
+             SELECT 'PRED_ENCOUNTER_VOLUME' AS TABLE_NAME, count(*) AS ROW_COUNT FROM pred_encounter_volume
+             UNION ALL SELECT 'PRED_DENIAL_ANOMALIES', count(*) FROM pred_denial_anomalies
+             UNION ALL SELECT 'PRED_READMISSION_DRIVERS', count(*) FROM pred_readmission_drivers
+             UNION ALL SELECT 'PRED_LEAKAGE_DRIVERS', count(*) FROM pred_leakage_drivers""",
+}
+
+TOPD = ("SELECT CONTRIBUTOR, RELATIVE_CONTRIBUTION, GROWTH_RATE FROM {t} WHERE CONTRIBUTOR <> '[\"Overall\"]' "
+        "ORDER BY abs(RELATIVE_CONTRIBUTION) DESC NULLS FIRST, CONTRIBUTOR LIMIT 10")
+
+Q: dict[str, str] = {
+    "q06_dash_predictions": "SELECT CAST(sum(ROW_COUNT) AS BIGINT) AS N FROM pred_inventory",
+    "q14_dash_forecast": "SELECT ENCOUNTER_TYPE, FORECAST_DATE, FORECAST_COUNT FROM pred_encounter_volume ORDER BY 1, 2",
+    "q15_dash_anomalies": "SELECT TS, ACTUAL_COUNT, EXPECTED_COUNT, IS_ANOMALY, DENIAL_CATEGORY FROM pred_denial_anomalies ORDER BY TS, DENIAL_CATEGORY",
+    "q48_pred_forecast": ("SELECT ENCOUNTER_TYPE, FORECAST_DATE, FORECAST_COUNT, LOWER_BOUND, UPPER_BOUND "
+                          "FROM pred_encounter_volume ORDER BY 1, 2"),
+    "q50_pred_anomalies": ("SELECT TS, ACTUAL_COUNT, EXPECTED_COUNT, LOWER_BOUND, UPPER_BOUND, IS_ANOMALY, DENIAL_CATEGORY "
+                           "FROM pred_denial_anomalies ORDER BY TS, DENIAL_CATEGORY"),
+    "q51_pred_readmit_drivers": TOPD.format(t="pred_readmission_drivers"),
+    "q52_pred_leakage_drivers": TOPD.format(t="pred_leakage_drivers"),
+    "q56_ops_predictions": "SELECT count(*) AS N FROM pred_encounter_volume",
+    "q57_ops_anomalies": "SELECT count(*) AS N FROM pred_denial_anomalies",
+    "q58_ops_pred_tables": "SELECT TABLE_NAME, ROW_COUNT FROM pred_inventory ORDER BY TABLE_NAME",
+    "vq09_encounter_forecast": ("SELECT ENCOUNTER_TYPE, CAST(FORECAST_DATE AS DATE) AS FORECAST_DATE, "
+                                "round(FORECAST_COUNT, 0) AS FORECAST_COUNT, round(LOWER_BOUND, 0) AS LOWER_BOUND, "
+                                "round(UPPER_BOUND, 0) AS UPPER_BOUND FROM pred_encounter_volume ORDER BY 1, 2"),
+    "vq10_denial_anomalies": ("SELECT DENIAL_CATEGORY, CAST(TS AS DATE) AS ANOMALY_DATE, ACTUAL_COUNT, "
+                              "round(EXPECTED_COUNT, 0) AS EXPECTED_COUNT, IS_ANOMALY FROM pred_denial_anomalies "
+                              "WHERE IS_ANOMALY = TRUE ORDER BY 2, 1"),
+    "k1_readmit_control_chart": (
+        f"SELECT b.*, round(pb * 100, 4) AS P_BAR_PCT, "
+        f"round(least({dbl(100.0)}, (pb + {dbl(3.0)} * sqrt(pb * ({dbl(1.0)} - pb) / N)) * 100), 4) AS UCL, "
+        f"round(greatest({dbl(0.0)}, (pb - {dbl(3.0)} * sqrt(pb * ({dbl(1.0)} - pb) / N)) * 100), 4) AS LCL, "
+        f"(RATE > least({dbl(100.0)}, (pb + {dbl(3.0)} * sqrt(pb * ({dbl(1.0)} - pb) / N)) * 100) OR "
+        f"RATE < greatest({dbl(0.0)}, (pb - {dbl(3.0)} * sqrt(pb * ({dbl(1.0)} - pb) / N)) * 100)) AS OUT_OF_CONTROL "
+        f"FROM ({DASH['q25_readmit_fs_control']}) b "
+        f"CROSS JOIN (SELECT sum(READMITS) / sum(N) AS pb FROM ({DASH['q25_readmit_fs_control']})) s"),
+    "k2_readmit_facility_specialty_matrix": (
+        f"PIVOT ({DASH['q22_readmit_fs_heatmap']}) ON SPECIALTY USING first(RATE) GROUP BY FACILITY_NAME"),
+    "k3_or_block_weekday_matrix": (
+        f"PIVOT ({DASH['q32_or_heatmap']}) ON DOW IN ({', '.join(repr(d) for d in WEEKDAYS)}) "
+        "USING first(UTIL) GROUP BY BLOCK_NAME"),
+    "k4_forecast_overlay": (
+        f"SELECT ENCOUNTER_TYPE, DT, CAST(CNT AS DOUBLE) AS VALUE, 'actual' AS KIND FROM ({DASH['q49_pred_actuals']}) "
+        "UNION ALL SELECT ENCOUNTER_TYPE, CAST(FORECAST_DATE AS DATE) AS DT, FORECAST_COUNT AS VALUE, 'forecast' AS KIND "
+        "FROM pred_encounter_volume"),
+    "k5_anomaly_count": "SELECT CAST(count_if(IS_ANOMALY) AS BIGINT) AS ANOMALIES FROM pred_denial_anomalies",
+    "l1_pred_encounter_volume": "SELECT * FROM pred_encounter_volume",
+    "l2_pred_denial_anomalies": "SELECT * FROM pred_denial_anomalies",
+    "l3_pred_readmission_drivers": "SELECT * FROM pred_readmission_drivers",
+    "l4_pred_leakage_drivers": "SELECT * FROM pred_leakage_drivers",
+    "v1_daily_encounter_volume": "SELECT * FROM v1",
+    "v2_daily_denial_volume": "SELECT TS, DENIAL_CATEGORY, DENIAL_COUNT, round(DENIED_CHARGES, 2) AS DENIED_CHARGES FROM v2",
+    "v3_readmission_drivers_input": "SELECT * FROM v3",
+    "v4_leakage_drivers_input": "SELECT * FROM v4",
+    "v5_denial_train_eval_sizes": (
+        f"SELECT 'TRAIN' AS PART, count(*) AS ROWS FROM v2 WHERE CAST(TS AS DATE) < "
+        f"CAST((SELECT max(CAST(TS AS DATE)) FROM v2) - INTERVAL {P.eval_months} MONTH AS DATE) "
+        f"UNION ALL SELECT 'EVAL', count(*) FROM v2 WHERE CAST(TS AS DATE) >= "
+        f"CAST((SELECT max(CAST(TS AS DATE)) FROM v2) - INTERVAL {P.eval_months} MONTH AS DATE)"),
+}
