@@ -45,7 +45,7 @@ def mask_ssn(val: Column, roles) -> Column:
         return val
     if _any(roles, CLINICIAN, ENGINEER):
         return F.concat(F.lit("XXX-XX-"), F.right(val, F.lit(4)))
-    return F.when(val.isNull() | val.isNotNull(), F.lit("***-**-****"))
+    return F.lit("***-**-****")
 
 
 def mask_dob(val: Column, roles) -> Column:
@@ -63,7 +63,7 @@ def mask_name(val: Column, roles) -> Column:
 def mask_mrn(val: Column, roles) -> Column:
     if _any(roles, *_FULL):
         return val
-    return F.when(val.isNull() | val.isNotNull(), F.lit("***MRN***"))
+    return F.lit("***MRN***")
 
 
 def mask_phone(val: Column, roles) -> Column:
@@ -71,7 +71,7 @@ def mask_phone(val: Column, roles) -> Column:
         return val
     if _any(roles, ANALYST):
         return F.concat(F.lit("(***) ***-"), F.right(val, F.lit(4)))
-    return F.when(val.isNull() | val.isNotNull(), F.lit("**********"))
+    return F.lit("**********")
 
 
 def mask_email(val: Column, roles) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from carelake.plans import dashboards, models
+from carelake.plans import alerts, dashboards, governance, models, quality
 
 
 def all_queries() -> dict:
     reg = {}
     reg.update(dashboards.QUERIES)
     reg.update(models.QUERIES)
+    reg.update(governance.QUERIES)
+    reg.update(quality.QUERIES)
+    reg.update(alerts.QUERIES)
     return reg

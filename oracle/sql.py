@@ -207,8 +207,9 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracle import models  # noqa: F401  (registers model / governance / quality queries)
-    return {k: with_ctes(v, models.EXTRA_CTES) for k, v in {**Q, **models.Q}.items()}
+    from oracle import models, ops
+    extra = {**models.EXTRA_CTES, **ops.EXTRA_CTES}
+    return {k: with_ctes(v, extra) for k, v in {**Q, **models.Q, **ops.Q}.items()}
 
 
 ORACLE_SQL = Q
