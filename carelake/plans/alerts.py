@@ -27,15 +27,15 @@ DEFAULT_RULES = [
 
 def metric_values(t: Tables) -> DataFrame:
     """(METRIC, VALUE): one aggregate per mart, stacked with UNION ALL."""
-    rm = M.readmission_los(t).agg(
+    rm = t.mart("mart_readmission_los").agg(
         (F.avg(F.col("READMIT_30_FLAG").cast("int")) * 100).alias("readmission_rate"),
         F.avg("LOS_DAYS").alias("avg_los"))
-    orc = M.or_capacity(t).agg(F.avg("UTILIZATION_PCT").alias("or_utilization"))
-    st = M.staffing_quality(t).agg(F.avg("OT_PCT").alias("overtime_pct"))
-    dn = M.denials_revcycle(t).agg(
+    orc = t.mart("mart_or_capacity").agg(F.avg("UTILIZATION_PCT").alias("or_utilization"))
+    st = t.mart("mart_staffing_quality").agg(F.avg("OT_PCT").alias("overtime_pct"))
+    dn = t.mart("mart_denials_revcycle").agg(
         (F.sum(F.when(F.col("CLAIM_STATUS") == "DENIED", 1).otherwise(0)) * 100.0
          / F.when(F.count(F.lit(1)) != 0, F.count(F.lit(1)))).cast("double").alias("denial_rate"))
-    fn = M.financial_performance(t).agg((F.avg("OPERATING_MARGIN") * 100).alias("operating_margin"))
+    fn = t.mart("mart_financial_performance").agg((F.avg("OPERATING_MARGIN") * 100).alias("operating_margin"))
     parts = []
     for df in (rm, orc, st, dn, fn):
         for c in df.columns:
@@ -69,5 +69,5 @@ QUERIES = {
     "r1_r6_alert_evaluation": evaluate_alerts,
     "r1_r6_alerts_fired": lambda t: evaluate_alerts(t).where(F.col("FIRED")),
     "r7_custom_condition": lambda t: custom_condition(
-        M.denials_revcycle(t), F.round(F.sum("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
+        t.mart("mart_denials_revcycle"), F.round(F.sum("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
 }

@@ -22,27 +22,27 @@ A, D = F.asc_nulls_last, F.desc_nulls_first
 
 
 def _rm(t):
-    return M.readmission_los(t)
+    return t.mart("mart_readmission_los")
 
 
 def _lk(t):
-    return M.patient_leakage(t)
+    return t.mart("mart_patient_leakage")
 
 
 def _orc(t):
-    return M.or_capacity(t)
+    return t.mart("mart_or_capacity")
 
 
 def _dn(t):
-    return M.denials_revcycle(t)
+    return t.mart("mart_denials_revcycle")
 
 
 def _st(t):
-    return M.staffing_quality(t)
+    return t.mart("mart_staffing_quality")
 
 
 def _fn(t):
-    return M.financial_performance(t)
+    return t.mart("mart_financial_performance")
 
 
 def _cnt(name="N"):

@@ -19,7 +19,7 @@ def daily_encounter_volume(t: Tables) -> DataFrame:
 def daily_denial_volume(t: Tables, mart: DataFrame | None = None) -> DataFrame:
     """V2: (TS, DENIAL_CATEGORY, DENIAL_COUNT, DENIED_CHARGES). The charge sum
     is added because the anomaly output reports it (SURVEY §8 item 1)."""
-    d = mart if mart is not None else M.denials_revcycle(t)
+    d = mart if mart is not None else t.mart("mart_denials_revcycle")
     return (d.groupBy("SERVICE_DATE", "DENIAL_CATEGORY")
              .agg(F.count(F.lit(1)).alias("DENIAL_COUNT"), F.sum("CHARGE_AMT").alias("DENIED_CHARGES"))
              .select(F.col("SERVICE_DATE").cast("timestamp_ntz").alias("TS"), "DENIAL_CATEGORY",
@@ -45,7 +45,7 @@ LEAKAGE_DIMS = ["REFERRED_TO_SPECIALTY", "REFERRING_SPECIALTY", "PATIENT_PAYER_T
 def readmission_drivers_input(t: Tables, mart: DataFrame | None = None, months: int | None = None) -> DataFrame:
     """V3: one row per IP/OBS encounter; LABEL = admit month within the last
     ``months`` months of the mart (scalar subquery, J9)."""
-    m = mart if mart is not None else M.readmission_los(t)
+    m = mart if mart is not None else t.mart("mart_readmission_los")
     k = months if months is not None else t.profile.label_months
     newest = m.select(F.max("ADMIT_MONTH")).scalar()
     return m.select(
@@ -62,7 +62,7 @@ def readmission_drivers_input(t: Tables, mart: DataFrame | None = None, months:
 
 def leakage_drivers_input(t: Tables, mart: DataFrame | None = None, months: int | None = None) -> DataFrame:
     """V4: one row per referral; LABEL = referral in the last ``months`` months."""
-    m = mart if mart is not None else M.patient_leakage(t)
+    m = mart if mart is not None else t.mart("mart_patient_leakage")
     k = months if months is not None else t.profile.label_months
     newest = m.select(F.max("REFERRAL_DATE")).scalar()
     return m.select(

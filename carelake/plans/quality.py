@@ -88,7 +88,7 @@ def uniqueness_checks(marts: dict[str, DataFrame]) -> DataFrame:
 def data_quality_checks(t: Tables, with_uniqueness: bool = False) -> DataFrame:
     """D1-D13 (+D14): one row per check."""
     p = t.profile
-    rm, lk, orc, dn = M.readmission_los(t), M.patient_leakage(t), M.or_capacity(t), M.denials_revcycle(t)
+    rm, lk, orc, dn = t.mart("mart_readmission_los"), t.mart("mart_patient_leakage"), t.mart("mart_or_capacity"), t.mart("mart_denials_revcycle")
     mins = p.row_minimums
     parts = [
         _mart_checks("MART_READMISSION_LOS", rm, "ENCOUNTER_ID", mins["MART_READMISSION_LOS"], "IP/OBS encounters",
@@ -108,8 +108,8 @@ def data_quality_checks(t: Tables, with_uniqueness: bool = False) -> DataFrame:
     if with_uniqueness:
         out = out.unionByName(uniqueness_checks({
             "MART_PATIENT_LEAKAGE": lk, "MART_READMISSION_LOS": rm, "MART_OR_CAPACITY": orc,
-            "MART_DENIALS_REVCYCLE": dn, "MART_STAFFING_QUALITY": M.staffing_quality(t),
-            "MART_FINANCIAL_PERFORMANCE": M.financial_performance(t)}))
+            "MART_DENIALS_REVCYCLE": dn, "MART_STAFFING_QUALITY": t.mart("mart_staffing_quality"),
+            "MART_FINANCIAL_PERFORMANCE": t.mart("mart_financial_performance")}))
     return out
 
 
@@ -136,9 +136,9 @@ def latest_batch(check_log: DataFrame, window_minutes: int = 5) -> DataFrame:
 QUERIES = {
     "d01_d13_data_quality_checks": lambda t: data_quality_checks(t),
     "d14_key_uniqueness": lambda t: uniqueness_checks({
-        "MART_PATIENT_LEAKAGE": M.patient_leakage(t), "MART_READMISSION_LOS": M.readmission_los(t),
-        "MART_OR_CAPACITY": M.or_capacity(t), "MART_DENIALS_REVCYCLE": M.denials_revcycle(t),
-        "MART_STAFFING_QUALITY": M.staffing_quality(t), "MART_FINANCIAL_PERFORMANCE": M.financial_performance(t)}),
+        "MART_PATIENT_LEAKAGE": t.mart("mart_patient_leakage"), "MART_READMISSION_LOS": t.mart("mart_readmission_los"),
+        "MART_OR_CAPACITY": t.mart("mart_or_capacity"), "MART_DENIALS_REVCYCLE": t.mart("mart_denials_revcycle"),
+        "MART_STAFFING_QUALITY": t.mart("mart_staffing_quality"), "MART_FINANCIAL_PERFORMANCE": t.mart("mart_financial_performance")}),
     "d15_quality_summary": lambda t: summary(data_quality_checks(t)),
     "d16_latest_check_batch": lambda t: latest_batch(
         data_quality_checks(t).withColumn("CHECK_TS", F.lit(t.profile.as_of.isoformat()).cast("timestamp_ntz"))),

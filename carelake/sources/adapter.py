@@ -74,10 +74,20 @@ class Tables:
     query only scans the columns and rows it needs.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA):
+    def __init__(self, spark: SparkSession, sf_dir: str, profile: Profile = TESTDATA,
+                 materialized: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.profile = profile
+        # mart name -> DataFrame over a written table (set by the refresh
+        # pipeline); queries then read the table instead of rebuilding it.
+        self.materialized = dict(materialized or {})
+
+    def mart(self, name: str) -> DataFrame:
+        if name in self.materialized:
+            return self.materialized[name]
+        from carelake.plans.marts import MARTS  # late import: plans depend on sources
+        return MARTS[name](self)
 
     def raw(self, name: str) -> DataFrame:
         return read_raw(self.spark, self.sf_dir, name)
