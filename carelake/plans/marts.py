@@ -465,3 +465,20 @@ MARTS = {
     "mart_staffing_quality": staffing_quality,
     "mart_financial_performance": financial_performance,
 }
+
+
+QUERIES = {
+    "m1_mart_patient_leakage": patient_leakage,
+    "m2_mart_readmission_los": readmission_los,
+    "m3_mart_or_capacity": or_capacity,
+    "m4_mart_denials_revcycle": denials_revcycle,
+    "m5_mart_staffing_quality": staffing_quality,
+    "m5_labor_daily": labor_daily,
+    "m5_census_daily_stay_days": census_daily,
+    "m5_discharge_daily": discharge_daily,
+    "m5b_discharge_backfill": lambda t: discharge_backfill(t.mart("mart_staffing_quality"), t),
+    "m5c_staffing_load_check": lambda t: staffing_load_check(t.mart("mart_staffing_quality")),
+    "m6_mart_financial_performance": financial_performance,
+    "m6_gl_monthly_pivot": gl_monthly,
+    "m6_volume_monthly": volume_monthly,
+}

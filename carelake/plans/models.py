@@ -17,7 +17,8 @@ A, D = F.asc_nulls_last, F.desc_nulls_first
 def materializable(fn):
     """Read the written prediction table when the refresh pipeline made one."""
     def wrapper(t: Tables) -> DataFrame:
-        return t.materialized.get(fn.__name__) or fn(t)
+        got = t.materialized.get(fn.__name__)
+        return got if got is not None else fn(t)
     wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
     return wrapper
 

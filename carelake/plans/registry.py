@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from carelake.plans import alerts, dashboards, governance, models, quality
+from carelake.plans import alerts, dashboards, governance, marts, models, quality, semantic
 
 
 def all_queries() -> dict:
     reg = {}
+    reg.update(marts.QUERIES)
     reg.update(dashboards.QUERIES)
     reg.update(models.QUERIES)
     reg.update(governance.QUERIES)
     reg.update(quality.QUERIES)
     reg.update(alerts.QUERIES)
+    reg.update(semantic.QUERIES)
     return reg

@@ -156,3 +156,54 @@ Q["r1_r6_alert_evaluation"] = "SELECT * FROM alert_eval"
 Q["r1_r6_alerts_fired"] = "SELECT * FROM alert_eval WHERE FIRED"
 Q["r7_custom_condition"] = ("SELECT * FROM (SELECT round(sum(CHARGE_AMT) / 1e6, 2) AS VALUE FROM m_den) "
                             "WHERE VALUE > 1.0")
+
+# ---------------------------------------------------------------- semantic layer
+Q["x6_readmission_metrics_by_facility"] = (
+    "SELECT FACILITY_NAME AS READMIT_FACILITY, "
+    "round(avg(CASE WHEN READMIT_30_FLAG THEN 1 ELSE 0 END) * 100, 4) AS READMISSION_RATE, "
+    "round(avg(LOS_INDEX), 4) AS AVG_LOS_INDEX, round(avg(CASE WHEN IS_LONG_STAY THEN 1 ELSE 0 END) * 100, 4) AS LONG_STAY_PCT, "
+    "count(ENCOUNTER_ID) AS ENCOUNTER_COUNT FROM m_readmit GROUP BY 1")
+Q["x6_denied_charges_by_readmit_payer"] = (
+    "SELECT r.PAYER_TYPE AS READMIT_PAYER_TYPE, round(sum(d.CHARGE_AMT), 2) AS TOTAL_DENIED_CHARGES, "
+    "count(d.CLAIM_LINE_SK) AS DENIED_CLAIM_COUNT, "
+    "round(avg(CASE WHEN d.IS_APPEALED THEN 1 ELSE 0 END) * 100, 4) AS APPEAL_RATE "
+    "FROM m_den d LEFT JOIN m_readmit r ON d.ENCOUNTER_ID = r.ENCOUNTER_ID GROUP BY 1")
+Q["x6_leakage_metrics_by_specialty"] = (
+    "SELECT REFERRING_SPECIALTY, round(avg(CASE WHEN LEAKAGE_FLAG THEN 1 ELSE 0 END) * 100, 4) AS LEAKAGE_RATE, "
+    "round(sum(LOST_REVENUE), 2) AS TOTAL_LOST_REVENUE, count(REFERRAL_ID) AS REFERRAL_COUNT, "
+    "CAST(sum(CASE WHEN LEAKAGE_FLAG AND IS_HIGH_VALUE THEN 1 ELSE 0 END) AS BIGINT) AS HIGH_VALUE_LEAK_COUNT "
+    "FROM m_leak GROUP BY 1")
+Q["x6_or_metrics_by_block"] = (
+    "SELECT BLOCK_NAME, round(avg(UTILIZATION_PCT) * 100, 4) AS AVG_UTILIZATION, "
+    "round(avg(CASE WHEN FIRST_CASE_ON_TIME THEN 1 ELSE 0 END) * 100, 4) AS FIRST_CASE_ON_TIME_PCT, "
+    "round(avg(DELAY_MINUTES), 4) AS AVG_DELAY_MINUTES, count(CASE_ID) AS CASE_COUNT FROM m_or GROUP BY 1")
+
+# ---------------------------------------------------------------- marts
+Q["m1_mart_patient_leakage"] = "SELECT * FROM mart_patient_leakage"
+Q["m2_mart_readmission_los"] = "SELECT * FROM mart_readmission_los"
+Q["m3_mart_or_capacity"] = "SELECT * FROM mart_or_capacity"
+Q["m4_mart_denials_revcycle"] = "SELECT * FROM mart_denials_revcycle"
+Q["m5_mart_staffing_quality"] = "SELECT * FROM mart_staffing_quality"
+Q["m5_labor_daily"] = "SELECT * FROM x_labor_daily"
+Q["m5_census_daily_stay_days"] = "SELECT * FROM x_census_daily"
+Q["m5_discharge_daily"] = "SELECT * FROM x_discharge_daily"
+Q["m6_mart_financial_performance"] = "SELECT * FROM mart_financial_performance"
+Q["m6_gl_monthly_pivot"] = "SELECT * FROM x_gl_monthly"
+Q["m6_volume_monthly"] = "SELECT * FROM x_volume_monthly"
+Q["m5c_staffing_load_check"] = (
+    "SELECT count(*) AS TOTAL_ROWS, CAST(sum(DISCHARGES) AS BIGINT) AS TOTAL_DISCHARGES, "
+    "CAST(sum(READMIT_COUNT) AS BIGINT) AS TOTAL_READMITS, count(READMIT_RATE) AS ROWS_WITH_RATE, "
+    "round(sum(READMIT_COUNT) / nullif(sum(DISCHARGES), 0) * 100, 2) AS OVERALL_READMIT_PCT, "
+    "CASE WHEN sum(DISCHARGES) = 0 THEN 'FAIL - discharge join produced no matches' "
+    "WHEN count(READMIT_RATE) = 0 THEN 'FAIL - READMIT_RATE null on every row' ELSE 'PASS' END AS STATUS "
+    "FROM m_staff")
+Q["m5b_discharge_backfill"] = (
+    "SELECT m.* REPLACE ("
+    "CASE WHEN d.DISCH IS NOT NULL THEN d.DISCH ELSE m.DISCHARGES END AS DISCHARGES, "
+    "CASE WHEN d.DISCH IS NOT NULL THEN d.RE ELSE m.READMIT_COUNT END AS READMIT_COUNT, "
+    "CASE WHEN d.DISCH IS NOT NULL THEN (CASE WHEN d.DISCH > 0 THEN round(CAST(d.RE AS DOUBLE) / d.DISCH, 3) END) "
+    "ELSE m.READMIT_RATE END AS READMIT_RATE) "
+    "FROM m_staff m LEFT JOIN (SELECT DEPT_ID, DISCHARGE_DATE AS DD, count(*) AS DISCH, "
+    "CAST(sum(CASE WHEN READMIT_30_FLAG THEN 1 ELSE 0 END) AS BIGINT) AS RE FROM fct_encounter "
+    "WHERE ENCOUNTER_TYPE IN ('INPATIENT', 'OBSERVATION') AND DISCHARGE_DATE IS NOT NULL GROUP BY 1, 2) d "
+    "ON d.DEPT_ID = m.DEPT_ID AND d.DD = m.SHIFT_DATE")

@@ -197,13 +197,44 @@ def _referenced(sql: str, ctes: dict[str, str]) -> list[str]:
     return [n for n in names if n in need]
 
 
+def decimal_round(sql: str) -> str:
+    """Rewrite ``round(x, n)`` so DuckDB rounds half-up on the value's
+    shortest decimal form, the SQL meaning of ROUND that Spark implements
+    (DuckDB's double round works on the binary value: 2794.635 -> 2794.63)."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        arg = decimal_round(sql[j + 6:comma])
+        digits = sql[comma + 1:k - 1].strip()
+        out.append(sql[i:j])
+        out.append(f"CAST(round(CAST(CAST({arg} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)")
+        i = k
+
+
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = {**BASE_CTES, **(extra or {})}
     used = _referenced(sql, ctes)
     if not used:
-        return sql
+        return decimal_round(sql)
     body = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
-    return f"WITH {body}\n{sql}"
+    return decimal_round(f"WITH {body}\n{sql}")
 
 
 def oracle_sql() -> dict[str, str]:
