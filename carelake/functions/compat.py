@@ -109,3 +109,25 @@ def hash_bucket_100(c) -> Column:
 def millions(c, digits: int) -> Column:
     """``ROUND(x/1e6, digits)``."""
     return F.round(col(c) / F.lit(1e6), digits)
+
+
+# Columns the marts store already rounded to a fixed number of decimals.
+# Averaging them as scaled integers makes the result exact and independent
+# of partitioning / summation order (a double AVG can land on either side of
+# a rounding tie depending on how partial sums were combined).
+FIXED_SCALE = {
+    "HRS_PER_PATIENT": 2, "OT_PCT": 3, "READMIT_RATE": 3, "AGENCY_PCT": 3,
+    "UTILIZATION_PCT": 3, "LOS_INDEX": 2, "COST_PER_DAY": 2,
+    "COST_PER_DISCHARGE": 2, "COST_PER_CMI_DISCHARGE": 2, "LABOR_PCT": 3, "SUPPLY_PCT": 3,
+    "OPERATING_MARGIN": 3,
+}
+
+
+def avg_fixed(c, scale: int | None = None) -> Column:
+    """AVG of a fixed-point column: sum of round(x * 10^s) as BIGINT, divided
+    by the non-null count, then by 10^s."""
+    name = c if isinstance(c, str) else None
+    s = scale if scale is not None else FIXED_SCALE[name]
+    x = col(c)
+    n = F.count(x)
+    return F.when(n > 0, F.sum(F.round(x * (10 ** s)).cast("long")) / n / F.lit(10 ** s))

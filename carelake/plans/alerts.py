@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions import compat as C
+
 from carelake.plans import marts as M
 from carelake.sources.adapter import Tables
 
@@ -30,12 +32,12 @@ def metric_values(t: Tables) -> DataFrame:
     rm = t.mart("mart_readmission_los").agg(
         (F.avg(F.col("READMIT_30_FLAG").cast("int")) * 100).alias("readmission_rate"),
         F.avg("LOS_DAYS").alias("avg_los"))
-    orc = t.mart("mart_or_capacity").agg(F.avg("UTILIZATION_PCT").alias("or_utilization"))
-    st = t.mart("mart_staffing_quality").agg(F.avg("OT_PCT").alias("overtime_pct"))
+    orc = t.mart("mart_or_capacity").agg(C.avg_fixed("UTILIZATION_PCT").alias("or_utilization"))
+    st = t.mart("mart_staffing_quality").agg(C.avg_fixed("OT_PCT").alias("overtime_pct"))
     dn = t.mart("mart_denials_revcycle").agg(
         (F.sum(F.when(F.col("CLAIM_STATUS") == "DENIED", 1).otherwise(0)) * 100.0
          / F.when(F.count(F.lit(1)) != 0, F.count(F.lit(1)))).cast("double").alias("denial_rate"))
-    fn = t.mart("mart_financial_performance").agg((F.avg("OPERATING_MARGIN") * 100).alias("operating_margin"))
+    fn = t.mart("mart_financial_performance").agg((C.avg_fixed("OPERATING_MARGIN") * 100).alias("operating_margin"))
     parts = []
     for df in (rm, orc, st, dn, fn):
         for c in df.columns:

@@ -63,7 +63,7 @@ def q03_dash_leakage(t):
 
 
 def q04_dash_or_util(t):
-    return _orc(t).agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("RATE"))
+    return _orc(t).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("RATE"))
 
 
 def q05_dash_denied(t):
@@ -98,7 +98,7 @@ def q11_dash_top_spec(t):
 
 
 def q12_dash_low_block(t):
-    g = _orc(t).groupBy("BLOCK_NAME").agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
+    g = _orc(t).groupBy("BLOCK_NAME").agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
     return top_k(g, 1, A("UTIL"), A("BLOCK_NAME"))
 
 
@@ -199,7 +199,7 @@ def q30_leakage_provider(t):
 
 # ---------------------------------------------------------------- OR capacity
 def q31_or_kpi(t):
-    return _orc(t).agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTIL"),
+    return _orc(t).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTIL"),
                        C.rate_pct("FIRST_CASE_ON_TIME").alias("FCOT_PCT"),
                        F.round(F.avg("DELAY_MINUTES"), 1).alias("AVG_DELAY"),
                        _cnt("TOTAL_CASES"),
@@ -208,18 +208,18 @@ def q31_or_kpi(t):
 
 def q32_or_heatmap(t):
     return (_orc(t).groupBy("BLOCK_NAME", F.col("CASE_DAY_OF_WEEK").alias("DOW"))
-            .agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
+            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
 
 
 def q33_or_monthly(t):
     return (_orc(t).groupBy(F.col("CASE_MONTH").alias("MONTH"), "BLOCK_NAME")
-            .agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
+            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
             .orderBy(A("MONTH"), A("BLOCK_NAME")))
 
 
 def q34_or_surgeons(t):
     g = (_orc(t).groupBy("SURGEON_NAME")
-         .agg(_cnt("CASES"), F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
+         .agg(_cnt("CASES"), F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
     return top_k(g, 10, D("CASES"), A("SURGEON_NAME"))
 
 
@@ -229,34 +229,34 @@ def _census(t):
 
 
 def _avg_rate(c="READMIT_RATE"):
-    return F.round(F.avg(F.when(F.col(c).isNotNull(), F.col(c))) * 100, 1)
+    return F.round(C.avg_fixed(F.when(F.col(c).isNotNull(), F.col(c)), 3) * 100, 1)
 
 
 def q35_staff_kpi(t):
     u = F.col("IS_UNDERSTAFFED")
     return _census(t).agg(
-        F.round(F.avg("HRS_PER_PATIENT"), 1).alias("AVG_HRS"),
-        F.round(F.avg("OT_PCT") * 100, 1).alias("AVG_OT"),
+        F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("AVG_HRS"),
+        F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("AVG_OT"),
         F.round(C.safe_div(F.sum(C.flag01("IS_UNDERSTAFFED")), F.count(F.lit(1))) * 100, 1).alias("UNDER_PCT"),
-        F.round(F.avg(F.when(u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE"))) * 100, 1).alias("READMIT_UNDER"),
-        F.round(F.avg(F.when(~u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE"))) * 100, 1).alias("READMIT_OK"))
+        F.round(C.avg_fixed(F.when(u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE")), 3) * 100, 1).alias("READMIT_UNDER"),
+        F.round(C.avg_fixed(F.when(~u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE")), 3) * 100, 1).alias("READMIT_OK"))
 
 
 def q36_staff_trend(t):
     return (_census(t).groupBy(F.col("SHIFT_MONTH").alias("MONTH"))
-            .agg(F.round(F.avg("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"))
+            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"))
             .orderBy(A("MONTH")))
 
 
 def q37_staff_scatter(t):
     return (_census(t).where(F.col("READMIT_RATE").isNotNull()).groupBy("DEPT_NAME", "DEPT_TYPE")
-            .agg(F.round(F.avg("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"),
+            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"),
                  F.sum("PATIENT_CENSUS").cast("long").alias("TOTAL"), _cnt("_n"))
             .where(F.col("_n") >= 30).drop("_n"))
 
 
 def q38_staff_ot(t):
-    g = (_census(t).groupBy("DEPT_NAME").agg(F.round(F.avg("OT_PCT") * 100, 1).alias("OT_PCT"), _cnt("_n"))
+    g = (_census(t).groupBy("DEPT_NAME").agg(F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("OT_PCT"), _cnt("_n"))
          .where(F.col("_n") >= 30).drop("_n"))
     return top_k(g, 12, D("OT_PCT"), A("DEPT_NAME"))
 
@@ -271,8 +271,8 @@ def q39_fin_kpi(t):
     return _fn(t).agg(C.millions(F.sum("TOTAL_REVENUE"), 1).alias("REV"),
                       C.millions(F.sum("TOTAL_EXPENSE"), 1).alias("EXP"),
                       _margin().alias("MARGIN"),
-                      F.round(F.avg("COST_PER_CMI_DISCHARGE"), 0).alias("CPD"),
-                      F.round(F.avg("LABOR_PCT") * 100, 1).alias("LABOR"))
+                      F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("CPD"),
+                      F.round(C.avg_fixed("LABOR_PCT") * 100, 1).alias("LABOR"))
 
 
 def q40_fin_monthly(t):
@@ -293,8 +293,8 @@ def q41_fin_cost_breakdown(t):
 
 def q42_fin_dept_cost(t):
     g = (_fn(t).where(F.col("COST_PER_CMI_DISCHARGE").isNotNull()).groupBy("DEPT_NAME")
-         .agg(F.round(F.avg("COST_PER_CMI_DISCHARGE"), 0).alias("COST"),
-              F.round(F.avg("OPERATING_MARGIN") * 100, 1).alias("MARGIN")))
+         .agg(F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("COST"),
+              F.round(C.avg_fixed("OPERATING_MARGIN") * 100, 1).alias("MARGIN")))
     return top_k(g, 12, D("COST"), A("DEPT_NAME"))
 
 
@@ -395,7 +395,7 @@ def vq05_total_lost_revenue(t):
 
 def vq06_or_utilization_by_block(t):
     return (_orc(t).groupBy("BLOCK_NAME")
-            .agg(_cnt("CASES"), F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"))
+            .agg(_cnt("CASES"), F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"))
             .orderBy(A("BLOCK_NAME")))
 
 
@@ -416,15 +416,15 @@ def vq08_appeal_success_rate(t):
 def vq11_facility_performance(t):
     return (_rm(t).groupBy("FACILITY_NAME")
             .agg(_cnt("ENCOUNTERS"), C.count_rate_pct("READMIT_30_FLAG").alias("READMISSION_RATE_PCT"),
-                 F.round(F.avg("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"))
+                 F.round(C.avg_fixed("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"))
             .orderBy(D("ENCOUNTERS"), A("FACILITY_NAME")))
 
 
 def vq12_underutilized_blocks(t):
     return (_orc(t).groupBy("BLOCK_NAME", "FACILITY_NAME")
-            .agg(F.round(F.avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"),
+            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"),
                  C.count_if("IS_UNDERUTILIZED").alias("UNDERUTILIZED_CASES"),
-                 F.avg("UTILIZATION_PCT").alias("_u"))
+                 C.avg_fixed("UTILIZATION_PCT").alias("_u"))
             .where(F.col("_u") < 0.7).drop("_u")
             .orderBy(A("AVG_UTILIZATION_PCT"), A("BLOCK_NAME"), A("FACILITY_NAME")))
 

@@ -41,13 +41,13 @@ class Refresh:
             metadata: dict | None = None) -> None:
         import datetime as dt
         import decimal
-        row = (self.run_id, dt.datetime.utcnow(), task, status, rows,
+        row = (self.run_id, dt.datetime.now(dt.UTC).replace(tzinfo=None), task, status, rows,
                decimal.Decimal(f"{seconds:.2f}"), error, json.dumps(metadata) if metadata else None)
         sinks.append(self.spark.createDataFrame([row], LOG_SCHEMA), self.path("pipeline_run_log"))
 
     def model_log(self, model: str, metric: str, value: float, details: dict | None = None) -> None:
         import datetime as dt
-        row = (uuid.uuid4().hex, dt.datetime.utcnow(), model, metric, float(value),
+        row = (uuid.uuid4().hex, dt.datetime.now(dt.UTC).replace(tzinfo=None), model, metric, float(value),
                json.dumps(details) if details else None)
         sinks.append(self.spark.createDataFrame([row], MODEL_LOG_SCHEMA), self.path("model_performance_log"))
 

@@ -98,7 +98,7 @@ def data_quality_checks(t: Tables, with_uniqueness: bool = False) -> DataFrame:
                      ("METRIC_LEAKAGE_RATE", F.avg(C.flag01("LEAKAGE_FLAG")) * 100),
                      ("REFERRAL_DATE", "referral date"), p.freshness_date),
         _mart_checks("MART_OR_CAPACITY", orc, "CASE_ID", mins["MART_OR_CAPACITY"], "cases",
-                     ("METRIC_OR_UTILIZATION", F.avg("UTILIZATION_PCT") * 100), None, p.freshness_date),
+                     ("METRIC_OR_UTILIZATION", C.avg_fixed("UTILIZATION_PCT") * 100), None, p.freshness_date),
         _mart_checks("MART_DENIALS_REVCYCLE", dn, "CLAIM_LINE_SK", mins["MART_DENIALS_REVCYCLE"],
                      "denied claim lines", None, None, p.freshness_date),
     ]

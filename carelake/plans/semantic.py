@@ -105,17 +105,17 @@ def _pct(flag: str) -> Column:
 # Metrics, name -> (table, aggregate builder).
 METRICS: dict[str, tuple[str, Callable[[], Column]]] = {
     "READMISSION_RATE": ("readmissions", lambda: _pct("READMIT_30_FLAG")),
-    "AVG_LOS_INDEX": ("readmissions", lambda: F.avg("LOS_INDEX")),
+    "AVG_LOS_INDEX": ("readmissions", lambda: C.avg_fixed("LOS_INDEX")),
     "LONG_STAY_PCT": ("readmissions", lambda: _pct("IS_LONG_STAY")),
     "ENCOUNTER_COUNT": ("readmissions", lambda: F.count("ENCOUNTER_ID")),
-    "AVG_COST_PER_DAY": ("readmissions", lambda: F.avg("COST_PER_DAY")),
+    "AVG_COST_PER_DAY": ("readmissions", lambda: C.avg_fixed("COST_PER_DAY")),
     "TOTAL_NET_REVENUE": ("readmissions", lambda: F.sum("NET_REVENUE")),
     "LEAKAGE_RATE": ("leakage", lambda: _pct("LEAKAGE_FLAG")),
     "TOTAL_LOST_REVENUE": ("leakage", lambda: F.sum("LOST_REVENUE")),
     "REFERRAL_COUNT": ("leakage", lambda: F.count("REFERRAL_ID")),
     "HIGH_VALUE_LEAK_COUNT": ("leakage", lambda: F.sum(F.when(F.col("LEAKAGE_FLAG") & F.col("IS_HIGH_VALUE"), 1)
                                                        .otherwise(0)).cast("long")),
-    "AVG_UTILIZATION": ("or_cases", lambda: F.avg("UTILIZATION_PCT") * 100),
+    "AVG_UTILIZATION": ("or_cases", lambda: C.avg_fixed("UTILIZATION_PCT") * 100),
     "FIRST_CASE_ON_TIME_PCT": ("or_cases", lambda: _pct("FIRST_CASE_ON_TIME")),
     "AVG_DELAY_MINUTES": ("or_cases", lambda: F.avg("DELAY_MINUTES")),
     "CASE_COUNT": ("or_cases", lambda: F.count("CASE_ID")),

@@ -67,6 +67,19 @@ def dept_id(nation_key: Column) -> Column:
     return F.concat(F.lit("DEPT-"), lpad_num(nation_key + 1, 3))
 
 
+# Total order of lines inside an order (every column, so exact duplicates are
+# the only ties, and those produce identical rows whichever way they break).
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def line_position() -> Column:
+    """1-based position of a line inside its order. The window is
+    partitioned by the order key, so after a join on that key it reuses the
+    join's hash partitioning instead of adding an exchange."""
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+
+
 class Tables:
     """Lazily built, session-cached DataFrames for one data directory.
 
@@ -237,8 +250,7 @@ class Tables:
         # Surrogate key: order key x 65536 + position of the line inside its
         # order. The window is partitioned by the join key, so it reuses the
         # join's hash partitioning (no extra exchange).
-        pos = F.row_number().over(Window.partitionBy("l_orderkey")
-                                  .orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+        pos = line_position()
         denied = F.col("l_returnflag") == "R"
         return j.select(
             (F.col("l_orderkey") * 65536 + pos).alias("CLAIM_LINE_SK"),
@@ -267,9 +279,8 @@ class Tables:
         sched = F.timestamp_add("HOUR", (ln + 7).cast("long"), case_date.cast("timestamp_ntz"))
         start = F.timestamp_add("MINUTE", (ok % 61 - 10).cast("long"), sched)
         case_min = F.col("l_quantity") * 8
-        base = li.select(
-            F.concat_ws("-", F.lit("CASE"), ok.cast("string"), ln.cast("string"), pk.cast("string"),
-                        F.col("l_suppkey").cast("string")).alias("CASE_ID"),
+        base = li.withColumn("_pos", line_position()).select(
+            F.concat_ws("-", F.lit("CASE"), ok.cast("string"), F.col("_pos").cast("string")).alias("CASE_ID"),
             F.concat(F.lit("ENC-"), ok.cast("string")).alias("ENCOUNTER_ID"),
             F.col("l_suppkey").alias("SURGEON_SK"),
             F.concat(F.lit("OR-"), lpad_num(pk % 12 + 1, 2)).alias("OR_ROOM_ID"),

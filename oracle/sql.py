@@ -228,13 +228,45 @@ def decimal_round(sql: str) -> str:
         i = k
 
 
+_RATE_CASE = re.compile(r"^CASE WHEN .*READMIT_RATE IS NOT NULL THEN READMIT_RATE END$")
+
+
+def fixed_avg(sql: str) -> str:
+    """``avg(col)`` over a fixed-point mart column -> exact scaled-integer
+    average, the same arithmetic as ``carelake.functions.compat.avg_fixed``."""
+    from carelake.functions.compat import FIXED_SCALE
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("avg(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 4])
+            i = j + 4
+            continue
+        depth, k = 1, j + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        arg = sql[j + 4:k - 1].strip()
+        scale = FIXED_SCALE.get(arg, 3 if _RATE_CASE.match(arg) else None)
+        out.append(sql[i:j])
+        if scale is None:
+            out.append(sql[j:k])
+        else:
+            m = 10 ** scale
+            out.append(f"(CASE WHEN count({arg}) > 0 THEN sum(CAST(({arg}) * {m} AS BIGINT)) / count({arg}) / {m} END)")
+        i = k
+
+
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = {**BASE_CTES, **(extra or {})}
     used = _referenced(sql, ctes)
     if not used:
-        return decimal_round(sql)
+        return decimal_round(fixed_avg(sql))
     body = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
-    return decimal_round(f"WITH {body}\n{sql}")
+    return decimal_round(fixed_avg(f"WITH {body}\n{sql}"))
 
 
 def oracle_sql() -> dict[str, str]:
