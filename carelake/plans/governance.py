@@ -30,6 +30,7 @@ ROW_POLICIES = {
     "fct_or_case": "FACILITY_ID",
 }
 UNRESTRICTED = (MK.ADMIN, MK.ENGINEER)
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def role_dept_access(t: Tables) -> DataFrame:
@@ -56,6 +57,10 @@ def row_access(df: DataFrame, key: str, role: str, access: DataFrame) -> DataFra
     if any(r in roles for r in UNRESTRICTED):
         return df
     allowed = access.where(F.col("ROLE_NAME").isin(sorted(roles))).select(F.col(key).alias("_k")).distinct()
+    # The allow-list is dimension-sized (roles x departments); broadcast it
+    # only after checking its size, else let Spark shuffle both sides.
+    if allowed.count() <= MAX_BROADCAST_KEYS:
+        allowed = F.broadcast(allowed)
     return df.join(allowed, df[key] == allowed["_k"], "left_semi")
 
 

@@ -253,15 +253,25 @@ def denials_revcycle(t: Tables) -> DataFrame:
 # M5 staffing & quality (grain: department x facility x day)
 # ---------------------------------------------------------------------------
 def labor_daily(t: Tables) -> DataFrame:
+    """Per (dept, facility, day). The two distinct counts are computed as a
+    two-level aggregate -- per employee-day first (map-side combined), then
+    per day -- instead of Spark's Expand rewrite, which would emit every
+    labor row once per distinct aggregate before the shuffle. An employee is
+    agency staff that day if any of their rows carries the flag, which is
+    exactly COUNT(DISTINCT CASE WHEN AGENCY_FLAG THEN EMPLOYEE_ID END)."""
     lh = t.get("fct_labor_hour")
-    hrs, ot = F.sum("WORKED_HRS"), F.sum("OT_HRS")
-    return (lh.groupBy("DEPT_ID", "FACILITY_ID", "SHIFT_DATE")
+    keys = ["DEPT_ID", "FACILITY_ID", "SHIFT_DATE"]
+    per_emp = (lh.groupBy(*keys, "EMPLOYEE_ID")
+                 .agg(F.sum("WORKED_HRS").alias("H"), F.sum("OT_HRS").alias("O"),
+                      F.sum("TOTAL_LABOR_COST").alias("L"), F.max("AGENCY_FLAG").alias("A")))
+    hrs, ot = F.sum("H"), F.sum("O")
+    return (per_emp.groupBy(*keys)
               .agg(hrs.alias("TOTAL_WORKED_HRS"),
                    ot.alias("TOTAL_OT_HRS"),
                    F.when(hrs > 0, F.round(ot / hrs, 3)).otherwise(F.lit(0.0)).alias("OT_PCT"),
-                   F.sum("TOTAL_LABOR_COST").alias("TOTAL_LABOR_COST"),
-                   F.count_distinct("EMPLOYEE_ID").alias("STAFF_COUNT"),
-                   F.count_distinct(F.when(F.col("AGENCY_FLAG"), F.col("EMPLOYEE_ID"))).alias("AGENCY_STAFF_COUNT")))
+                   F.sum("L").alias("TOTAL_LABOR_COST"),
+                   F.count("EMPLOYEE_ID").alias("STAFF_COUNT"),
+                   F.count_if(F.col("A") & F.col("EMPLOYEE_ID").isNotNull()).alias("AGENCY_STAFF_COUNT")))
 
 
 def census_daily(t: Tables) -> DataFrame:

@@ -137,9 +137,12 @@ class Tables:
                         facility_id(F.col("n_regionkey")).alias("FACILITY_ID"))
 
     def dim_payer(self) -> DataFrame:
-        return self.spark.createDataFrame(
+        # A literal table carries no size statistics, so without the hint
+        # Spark would sort-merge join (and shuffle the whole fact on a 5-value
+        # key). Its size is fixed by the list above: a proven bound.
+        return F.broadcast(self.spark.createDataFrame(
             PAYERS, "PAYER_SK long, PAYER_ID string, PAYER_NAME string, PAYER_TYPE string, "
-                    "TIMELY_FILING_DAYS int")
+                    "TIMELY_FILING_DAYS int"))
 
     def dim_patient(self) -> DataFrame:
         c = self.raw("customer")
