@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carelake.plans import alerts, dashboards, governance, marts, models, quality, semantic
+from carelake.plans import alerts, dashboards, filtered, governance, marts, models, quality, semantic
 
 
 def all_queries() -> dict:
@@ -14,4 +14,5 @@ def all_queries() -> dict:
     reg.update(quality.QUERIES)
     reg.update(alerts.QUERIES)
     reg.update(semantic.QUERIES)
+    reg.update(filtered.QUERIES)
     return reg
