@@ -38,15 +38,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/carelake-checkpoints") -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set ``fallback`` only
-    when nothing is configured (local tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``
+    when set (it is a static setting, read, never overwritten); otherwise the
+    context's checkpoint dir, or ``fallback`` for local tests."""
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = fallback
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return d.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
