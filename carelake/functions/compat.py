@@ -131,3 +131,20 @@ def avg_fixed(c, scale: int | None = None) -> Column:
     x = col(c)
     n = F.count(x)
     return F.when(n > 0, F.sum(F.round(x * (10 ** s)).cast("long")) / n / F.lit(10 ** s))
+
+
+# Money / weight columns and their number of decimals. Summing them as scaled
+# integers is exact, so a total (and any ROUND of it) no longer depends on
+# the order in which partial sums are combined across partitions.
+FIXED_SUM_SCALE = {
+    "CHARGE_AMT": 2, "ESTIMATED_RECOVERY": 2, "AMOUNT": 2, "DENIED_CHARGES": 2,
+    "TOTAL_REVENUE": 2, "TOTAL_EXPENSE": 2, "LABOR_COST": 2, "SUPPLY_COST": 2, "OVERHEAD_COST": 2,
+    "DEPRECIATION_COST": 2, "LOST_REVENUE": 4, "EXPECTED_REVENUE": 4, "NET_REVENUE": 3,
+    "CMI_ADJUSTED_DISCHARGES": 1,
+}
+
+
+def sum_fixed(c, scale: int | None = None) -> Column:
+    """SUM of a fixed-point column as sum(round(x * 10^s)) / 10^s."""
+    s = scale if scale is not None else FIXED_SUM_SCALE[c]
+    return F.sum(F.round(col(c) * (10 ** s)).cast("long")) / F.lit(10 ** s)

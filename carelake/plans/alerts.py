@@ -71,5 +71,5 @@ QUERIES = {
     "r1_r6_alert_evaluation": evaluate_alerts,
     "r1_r6_alerts_fired": lambda t: evaluate_alerts(t).where(F.col("FIRED")),
     "r7_custom_condition": lambda t: custom_condition(
-        t.mart("mart_denials_revcycle"), F.round(F.sum("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
+        t.mart("mart_denials_revcycle"), F.round(C.sum_fixed("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
 }

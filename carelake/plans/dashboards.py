@@ -67,7 +67,7 @@ def q04_dash_or_util(t):
 
 
 def q05_dash_denied(t):
-    return _dn(t).agg(C.millions(F.sum("CHARGE_AMT"), 1).alias("AMT"))
+    return _dn(t).agg(C.millions(C.sum_fixed("CHARGE_AMT"), 1).alias("AMT"))
 
 
 def q07_dash_trend_enc(t):
@@ -93,7 +93,7 @@ def q10_dash_top_drg(t):
 
 def q11_dash_top_spec(t):
     g = (_lk(t).where(F.col("LEAKAGE_FLAG")).groupBy("REFERRED_TO_SPECIALTY")
-         .agg(F.round(F.sum("LOST_REVENUE"), 0).alias("LOST")))
+         .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST")))
     return top_k(g, 1, D("LOST"), A("REFERRED_TO_SPECIALTY"))
 
 
@@ -263,13 +263,13 @@ def q38_staff_ot(t):
 
 # ---------------------------------------------------------------- finance
 def _margin(digits=1):
-    rev, exp = F.sum("TOTAL_REVENUE"), F.sum("TOTAL_EXPENSE")
+    rev, exp = C.sum_fixed("TOTAL_REVENUE"), C.sum_fixed("TOTAL_EXPENSE")
     return F.round(C.safe_div(rev - exp, rev) * 100, digits)
 
 
 def q39_fin_kpi(t):
-    return _fn(t).agg(C.millions(F.sum("TOTAL_REVENUE"), 1).alias("REV"),
-                      C.millions(F.sum("TOTAL_EXPENSE"), 1).alias("EXP"),
+    return _fn(t).agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REV"),
+                      C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXP"),
                       _margin().alias("MARGIN"),
                       F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("CPD"),
                       F.round(C.avg_fixed("LABOR_PCT") * 100, 1).alias("LABOR"))
@@ -277,17 +277,17 @@ def q39_fin_kpi(t):
 
 def q40_fin_monthly(t):
     return (_fn(t).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(F.sum("TOTAL_REVENUE"), 2).alias("REV"),
-                 C.millions(F.sum("TOTAL_EXPENSE"), 2).alias("EXP"), _margin().alias("MARGIN"))
+            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 2).alias("REV"),
+                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 2).alias("EXP"), _margin().alias("MARGIN"))
             .orderBy(A("MONTH")))
 
 
 def q41_fin_cost_breakdown(t):
     return (_fn(t).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(F.sum("LABOR_COST"), 2).alias("LABOR"),
-                 C.millions(F.sum("SUPPLY_COST"), 2).alias("SUPPLIES"),
-                 C.millions(F.sum("OVERHEAD_COST"), 2).alias("OVERHEAD"),
-                 C.millions(F.sum("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
+            .agg(C.millions(C.sum_fixed("LABOR_COST"), 2).alias("LABOR"),
+                 C.millions(C.sum_fixed("SUPPLY_COST"), 2).alias("SUPPLIES"),
+                 C.millions(C.sum_fixed("OVERHEAD_COST"), 2).alias("OVERHEAD"),
+                 C.millions(C.sum_fixed("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
             .orderBy(A("MONTH")))
 
 
@@ -312,25 +312,25 @@ def appeal_win_pct(digits=1):
 
 def q44_denials_kpi(t):
     return _dn(t).agg(_cnt("TOTAL_DENIALS"),
-                      C.millions(F.sum("CHARGE_AMT"), 1).alias("DENIED_AMT_M"),
+                      C.millions(C.sum_fixed("CHARGE_AMT"), 1).alias("DENIED_AMT_M"),
                       F.round(F.avg("DAYS_TO_FILE"), 0).alias("AVG_DAYS_TO_FILE"),
                       appeal_win_pct().alias("APPEAL_WIN_PCT"),
-                      C.millions(F.sum("ESTIMATED_RECOVERY"), 1).alias("RECOVERY_M"))
+                      C.millions(C.sum_fixed("ESTIMATED_RECOVERY"), 1).alias("RECOVERY_M"))
 
 
 def q45_denials_category(t):
     return (_dn(t).groupBy("DENIAL_CATEGORY")
-            .agg(_cnt("CNT"), C.millions(F.sum("CHARGE_AMT"), 2).alias("AMT"))
+            .agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT"))
             .orderBy(D("AMT"), A("DENIAL_CATEGORY")))
 
 
 def q46_denials_trend(t):
     return (_dn(t).groupBy(F.col("SERVICE_MONTH").alias("MONTH"))
-            .agg(_cnt("CNT"), C.millions(F.sum("CHARGE_AMT"), 2).alias("AMT")).orderBy(A("MONTH")))
+            .agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT")).orderBy(A("MONTH")))
 
 
 def q47_denials_payer(t):
-    g = _dn(t).groupBy("PAYER_NAME").agg(_cnt("CNT"), C.millions(F.sum("CHARGE_AMT"), 2).alias("AMT"))
+    g = _dn(t).groupBy("PAYER_NAME").agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT"))
     return top_k(g, 8, D("AMT"), A("PAYER_NAME"))
 
 
@@ -382,12 +382,12 @@ def vq04_leakage_rate_by_specialty(t):
     return (_lk(t).groupBy("REFERRING_SPECIALTY")
             .agg(_cnt("TOTAL_REFERRALS"), C.count_if("LEAKAGE_FLAG").alias("LEAKED"),
                  C.count_rate_pct("LEAKAGE_FLAG").alias("LEAKAGE_RATE_PCT"),
-                 F.round(F.sum("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"))
+                 F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"))
             .orderBy(D("TOTAL_LOST_REVENUE"), A("REFERRING_SPECIALTY")))
 
 
 def vq05_total_lost_revenue(t):
-    return _lk(t).agg(F.round(F.sum("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"),
+    return _lk(t).agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"),
                       C.count_if("LEAKAGE_FLAG").alias("LEAKED_REFERRALS"),
                       _cnt("TOTAL_REFERRALS"),
                       C.count_rate_pct("LEAKAGE_FLAG").alias("LEAKAGE_RATE_PCT"))
@@ -401,7 +401,7 @@ def vq06_or_utilization_by_block(t):
 
 def vq07_denials_by_category(t):
     return (_dn(t).groupBy("DENIAL_CATEGORY")
-            .agg(_cnt("DENIED_CLAIMS"), F.round(F.sum("CHARGE_AMT"), 0).alias("TOTAL_DENIED_CHARGES"))
+            .agg(_cnt("DENIED_CLAIMS"), F.round(C.sum_fixed("CHARGE_AMT"), 0).alias("TOTAL_DENIED_CHARGES"))
             .orderBy(D("TOTAL_DENIED_CHARGES"), A("DENIAL_CATEGORY")))
 
 

@@ -26,6 +26,10 @@ from carelake.sources.adapter import Tables
 A, D = F.asc_nulls_last, F.desc_nulls_first
 
 
+MONTH_OF = {"ADMIT_DATE": "ADMIT_MONTH", "REFERRAL_DATE": "REFERRAL_MONTH", "CASE_DATE": "CASE_MONTH",
+            "SERVICE_DATE": "SERVICE_MONTH", "SHIFT_DATE": "SHIFT_MONTH"}
+
+
 @dataclass(frozen=True)
 class Filter:
     start: dt.date
@@ -33,8 +37,13 @@ class Filter:
     facility: str | None = None          # None = "All Facilities"
     lists: tuple[tuple[str, tuple], ...] = ()
 
-    def where(self, date_col: str, facility_col: str | None = "FACILITY_NAME") -> Column:
+    def where(self, date_col: str, facility_col: str | None = "FACILITY_NAME", with_month: bool = True) -> Column:
         cs = [F.col(date_col).between(F.lit(self.start), F.lit(self.end))]
+        month = MONTH_OF.get(date_col) if with_month else None
+        if month:
+            # Implied by the date range (month = trunc(date)); stated so a
+            # month-partitioned mart prunes directories.
+            cs.append(F.col(month).between(F.trunc(F.lit(self.start), "MM"), F.trunc(F.lit(self.end), "MM")))
         if facility_col and self.facility is not None:
             cs.append(F.col(facility_col) == F.lit(self.facility))
         cs += [F.col(c).isin(list(v)) for c, v in self.lists if v]
@@ -95,7 +104,7 @@ def _dn(t, f):
 def _enc(t, f):
     """Fact with the page's facility filter: the fact carries FACILITY_ID, so
     the facility name is resolved through the (small) facility dimension."""
-    e = t.get("fct_encounter").where(f.where("ADMIT_DATE", None))
+    e = t.get("fct_encounter").where(f.where("ADMIT_DATE", None, with_month=False))
     if f.facility is not None:
         ids = t.get("dim_facility").where(F.col("FACILITY_NAME") == f.facility).select("FACILITY_ID")
         e = e.join(F.broadcast(ids), "FACILITY_ID", "left_semi")
@@ -111,7 +120,7 @@ def f01_kpis(t, f):
         _orc(t, f).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("VALUE"))
                   .select(F.lit("OR_UTIL").alias("KPI"), "VALUE"),
         t.mart("mart_denials_revcycle").where(f.where("SERVICE_DATE", None))
-         .agg(F.round(F.sum("CHARGE_AMT"), 0).alias("VALUE")).select(F.lit("DENIED_AMT").alias("KPI"), "VALUE"),
+         .agg(F.round(C.sum_fixed("CHARGE_AMT"), 0).alias("VALUE")).select(F.lit("DENIED_AMT").alias("KPI"), "VALUE"),
         models.prediction_inventory(t).agg(F.sum("ROW_COUNT").cast("double").alias("VALUE"))
               .select(F.lit("PREDICTION_ROWS").alias("KPI"), "VALUE"),
     ]
@@ -144,7 +153,7 @@ def f04a_top_drg(t, f):
 
 def f04b_top_spec(t, f):
     g = (_lk(t, f).where(F.col("LEAKAGE_FLAG") == True).groupBy("REFERRED_TO_SPECIALTY")  # noqa: E712
-         .agg(F.round(F.sum("LOST_REVENUE"), 0).alias("LOST")))
+         .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST")))
     return top_k(g, 1, D("LOST"), A("REFERRED_TO_SPECIALTY"))
 
 
@@ -222,7 +231,7 @@ def f12_encounter_detail(t, f):
 def f13_leakage_kpis(t, f):
     hv = F.col("LEAKAGE_FLAG") & F.col("IS_HIGH_VALUE")
     return _lk(t, f).agg(C.rate_pct("LEAKAGE_FLAG").alias("LEAK_RATE"),
-                         F.round(F.sum("LOST_REVENUE"), 0).alias("LOST_REV"),
+                         F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV"),
                          F.sum(F.when(hv, 1).otherwise(0)).cast("long").alias("HV_LEAKED"), _cnt("TOTAL_REF"))
 
 
@@ -239,14 +248,14 @@ def f15_leakage_trend(t, f):
 def f16_leakage_by_specialty(t, f):
     g = (_lk(t, f).groupBy(F.col("REFERRED_TO_SPECIALTY").alias("SPECIALTY"))
          .agg(_cnt("TOTAL"), _flag_sum("LEAKAGE_FLAG").alias("LEAKED"), C.rate_pct("LEAKAGE_FLAG").alias("RATE"),
-              F.round(F.sum("LOST_REVENUE"), 0).alias("LOST_REV")))
+              F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV")))
     return top_k(g, 10, D("LOST_REV"), A("SPECIALTY"))
 
 
 def f17_lost_by_referring_specialty(t, f):
     return (_lk(t, f).where(F.col("LEAKAGE_FLAG") == True)  # noqa: E712
             .groupBy(F.col("REFERRING_SPECIALTY").alias("SPECIALTY"))
-            .agg(F.round(F.sum("LOST_REVENUE"), 0).alias("LOST_REV"), _cnt("REFERRALS"))
+            .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV"), _cnt("REFERRALS"))
             .orderBy(D("LOST_REV"), A("SPECIALTY")))
 
 
@@ -371,29 +380,29 @@ def f33_department_day_detail(t, f):
 
 # ---------------------------------------------------------------- 6 finance
 def _margin():
-    rev, exp = F.sum("TOTAL_REVENUE"), F.sum("TOTAL_EXPENSE")
+    rev, exp = C.sum_fixed("TOTAL_REVENUE"), C.sum_fixed("TOTAL_EXPENSE")
     return F.round(C.safe_div(rev - exp, rev) * 100, 1)
 
 
 def f34_finance_kpis(t, f):
-    return _fn(t, f).agg(C.millions(F.sum("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
-                         C.millions(F.sum("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"),
+    return _fn(t, f).agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
+                         C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"),
                          F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("AVG_COST_CMI"),
                          F.round(C.avg_fixed("LABOR_PCT") * 100, 1).alias("AVG_LABOR_PCT"))
 
 
 def f35_finance_trend(t, f):
     return (_fn(t, f).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(F.sum("TOTAL_REVENUE"), 2).alias("REVENUE_M"),
-                 C.millions(F.sum("TOTAL_EXPENSE"), 2).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
+            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 2).alias("REVENUE_M"),
+                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 2).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
             .orderBy(A("MONTH")))
 
 
 def f36_cost_breakdown(t, f):
     return (_fn(t, f).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(F.sum("LABOR_COST"), 2).alias("LABOR"), C.millions(F.sum("SUPPLY_COST"), 2).alias("SUPPLIES"),
-                 C.millions(F.sum("OVERHEAD_COST"), 2).alias("OVERHEAD"),
-                 C.millions(F.sum("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
+            .agg(C.millions(C.sum_fixed("LABOR_COST"), 2).alias("LABOR"), C.millions(C.sum_fixed("SUPPLY_COST"), 2).alias("SUPPLIES"),
+                 C.millions(C.sum_fixed("OVERHEAD_COST"), 2).alias("OVERHEAD"),
+                 C.millions(C.sum_fixed("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
             .orderBy(A("MONTH")))
 
 
@@ -406,8 +415,8 @@ def f37_department_cost(t, f):
 
 def f38_facility_margin(t, f):
     return (_fn(t, f).groupBy("FACILITY_NAME")
-            .agg(C.millions(F.sum("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
-                 C.millions(F.sum("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
+            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
+                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
             .orderBy(D("MARGIN_PCT"), A("FACILITY_NAME")))
 
 
@@ -425,12 +434,12 @@ def f39_department_month_detail(t, f):
 
 # ---------------------------------------------------------------- 7 denials
 def _charges():
-    return F.round(F.sum("CHARGE_AMT"), 0)
+    return F.round(C.sum_fixed("CHARGE_AMT"), 0)
 
 
 def f40_denials_kpis(t, f):
     return _dn(t, f).agg(_charges().alias("TOTAL_DENIED"), C.rate_pct("IS_APPEALED").alias("APPEAL_RATE"),
-                         F.round(F.sum("ESTIMATED_RECOVERY"), 0).alias("EST_RECOVERY"),
+                         F.round(C.sum_fixed("ESTIMATED_RECOVERY"), 0).alias("EST_RECOVERY"),
                          F.round(F.avg("DAYS_TO_FILE"), 1).alias("AVG_DTF"),
                          C.rate_pct("IS_TIMELY_FILED").alias("TIMELY_PCT"), _cnt("TOTAL_CLAIMS"))
 

@@ -410,7 +410,7 @@ def gl_monthly(t: Tables) -> DataFrame:
     gl = t.get("fct_gl_transaction").where(F.col("DEPT_ID").isNotNull())
     cats = {"REVENUE": "TOTAL_REVENUE", **GL_COST_COLUMNS}
     return (gl.groupBy("DEPT_ID", "FACILITY_ID", "FISCAL_YEAR", "FISCAL_PERIOD")
-              .agg(*[F.sum(F.when(F.col("CATEGORY") == k, F.col("AMOUNT")).otherwise(F.lit(0.0))).alias(v)
+              .agg(*[C.sum_fixed(F.when(F.col("CATEGORY") == k, F.col("AMOUNT")).otherwise(F.lit(0.0)), 2).alias(v)
                      for k, v in cats.items()]))
 
 
@@ -423,7 +423,7 @@ def volume_monthly(t: Tables) -> DataFrame:
                       F.month("e.DISCHARGE_DATE").alias("FISCAL_PERIOD"))
              .agg(F.count(F.lit(1)).alias("DISCHARGES"),
                   F.sum("e.LOS_DAYS").cast("long").alias("PATIENT_DAYS"),
-                  F.sum(F.coalesce(F.col("drg.WEIGHT"), F.lit(1.0))).alias("CMI_ADJUSTED_DISCHARGES")))
+                  C.sum_fixed(F.coalesce(F.col("drg.WEIGHT"), F.lit(1.0)), 1).alias("CMI_ADJUSTED_DISCHARGES")))
 
 
 def financial_performance(t: Tables) -> DataFrame:

@@ -23,6 +23,17 @@ from carelake.sources.adapter import Tables
 
 LOG_SCHEMA = ("RUN_ID string, RUN_TS timestamp_ntz, TASK_NAME string, STATUS string, ROWS_AFFECTED long, "
               "DURATION_SECONDS decimal(10,2), ERROR_MESSAGE string, METADATA string")
+# Fact-grain marts are written partitioned by month (dashboards filter on date
+# ranges, so reads prune whole directories). Rows are range-partitioned on
+# (month, key) first: a month holding a third of the rows is split across
+# many tasks instead of landing in one, and each task writes few files.
+MART_LAYOUT = {
+    "mart_patient_leakage": ("REFERRAL_MONTH", "REFERRAL_ID"),
+    "mart_readmission_los": ("ADMIT_MONTH", "ENCOUNTER_ID"),
+    "mart_or_capacity": ("CASE_MONTH", "CASE_ID"),
+    "mart_denials_revcycle": ("SERVICE_MONTH", "CLAIM_LINE_SK"),
+    "mart_staffing_quality": ("SHIFT_MONTH", "DEPT_ID"),
+}
 MODEL_LOG_SCHEMA = "LOG_ID string, LOG_TS timestamp_ntz, MODEL_NAME string, METRIC_NAME string, METRIC_VALUE double, DETAILS string"
 
 
@@ -52,7 +63,11 @@ class Refresh:
         sinks.append(self.spark.createDataFrame([row], MODEL_LOG_SCHEMA), self.path("model_performance_log"))
 
     def write(self, name: str, df: DataFrame) -> int:
-        p = sinks.write_version(df, self.path(name), self.run_id)
+        layout = MART_LAYOUT.get(name)
+        if layout:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartitionByRange(n, *layout)
+        p = sinks.write_version(df, self.path(name), self.run_id, partition_by=layout[0] if layout else None)
         # Row count from the written files (parquet footers), not a recompute.
         return self.spark.read.parquet(p).count()
 
@@ -67,7 +82,11 @@ class Refresh:
         return rows
 
     def table(self, name: str) -> DataFrame:
-        return sinks.read_current(self.spark, self.path(name))
+        df = sinks.read_current(self.spark, self.path(name))
+        if name in MART_LAYOUT:
+            # Partition discovery returns the month column last, as a date.
+            df = df.withColumn(MART_LAYOUT[name][0], F.col(MART_LAYOUT[name][0]).cast("date"))
+        return df
 
     # -- steps --------------------------------------------------------------------
     def refresh_marts(self) -> dict[str, int]:

@@ -109,9 +109,9 @@ METRICS: dict[str, tuple[str, Callable[[], Column]]] = {
     "LONG_STAY_PCT": ("readmissions", lambda: _pct("IS_LONG_STAY")),
     "ENCOUNTER_COUNT": ("readmissions", lambda: F.count("ENCOUNTER_ID")),
     "AVG_COST_PER_DAY": ("readmissions", lambda: C.avg_fixed("COST_PER_DAY")),
-    "TOTAL_NET_REVENUE": ("readmissions", lambda: F.sum("NET_REVENUE")),
+    "TOTAL_NET_REVENUE": ("readmissions", lambda: C.sum_fixed("NET_REVENUE")),
     "LEAKAGE_RATE": ("leakage", lambda: _pct("LEAKAGE_FLAG")),
-    "TOTAL_LOST_REVENUE": ("leakage", lambda: F.sum("LOST_REVENUE")),
+    "TOTAL_LOST_REVENUE": ("leakage", lambda: C.sum_fixed("LOST_REVENUE")),
     "REFERRAL_COUNT": ("leakage", lambda: F.count("REFERRAL_ID")),
     "HIGH_VALUE_LEAK_COUNT": ("leakage", lambda: F.sum(F.when(F.col("LEAKAGE_FLAG") & F.col("IS_HIGH_VALUE"), 1)
                                                        .otherwise(0)).cast("long")),
@@ -119,7 +119,7 @@ METRICS: dict[str, tuple[str, Callable[[], Column]]] = {
     "FIRST_CASE_ON_TIME_PCT": ("or_cases", lambda: _pct("FIRST_CASE_ON_TIME")),
     "AVG_DELAY_MINUTES": ("or_cases", lambda: F.avg("DELAY_MINUTES")),
     "CASE_COUNT": ("or_cases", lambda: F.count("CASE_ID")),
-    "TOTAL_DENIED_CHARGES": ("denials", lambda: F.sum("CHARGE_AMT")),
+    "TOTAL_DENIED_CHARGES": ("denials", lambda: C.sum_fixed("CHARGE_AMT")),
     "APPEAL_RATE": ("denials", lambda: _pct("IS_APPEALED")),
     "TIMELY_FILING_PCT": ("denials", lambda: _pct("IS_TIMELY_FILED")),
     "DENIED_CLAIM_COUNT": ("denials", lambda: F.count("CLAIM_LINE_SK")),

@@ -20,12 +20,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_version(df: DataFrame, table_root: str, version: str | None = None) -> str:
+def write_version(df: DataFrame, table_root: str, version: str | None = None,
+                  partition_by: str | None = None) -> str:
     """Write ``df`` as a new version directory and mark it current."""
     spark = df.sparkSession
     version = version or uuid.uuid4().hex
     path = f"{table_root.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     fs, cur = _fs(spark, f"{table_root.rstrip('/')}/_CURRENT")
     out = fs.create(cur, True)
     out.write(bytearray(version.encode()))

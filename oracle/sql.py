@@ -260,13 +260,43 @@ def fixed_avg(sql: str) -> str:
         i = k
 
 
+def fixed_sum(sql: str) -> str:
+    """``sum(col)`` over a fixed-point money column -> exact scaled-integer
+    sum, the arithmetic of ``carelake.functions.compat.sum_fixed``."""
+    from carelake.functions.compat import FIXED_SUM_SCALE
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("sum(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 4])
+            i = j + 4
+            continue
+        depth, k = 1, j + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        arg = sql[j + 4:k - 1].strip()
+        bare = arg.split(".")[-1]
+        scale = FIXED_SUM_SCALE.get(bare)
+        out.append(sql[i:j])
+        if scale is None:
+            out.append(sql[j:k])
+        else:
+            m = 10 ** scale
+            out.append(f"(sum(CAST(({arg}) * {m} AS BIGINT)) / {m})")
+        i = k
+
+
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = {**BASE_CTES, **(extra or {})}
     used = _referenced(sql, ctes)
     if not used:
-        return decimal_round(fixed_avg(sql))
+        return decimal_round(fixed_sum(fixed_avg(sql)))
     body = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
-    return decimal_round(fixed_avg(f"WITH {body}\n{sql}"))
+    return decimal_round(fixed_sum(fixed_avg(f"WITH {body}\n{sql}")))
 
 
 def oracle_sql() -> dict[str, str]:
