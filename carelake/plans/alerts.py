@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from carelake.functions import compat as C
 
-from carelake.plans import marts as M
 from carelake.sources.adapter import Tables
 
 # Fixed values: (metric, alert name, default operator, default threshold).

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from carelake.functions import compat as C
 from carelake.operators.topk import top_k
-from carelake.plans import marts as M
 from carelake.sources.adapter import Tables
 
 A, D = F.asc_nulls_last, F.desc_nulls_first
