@@ -107,7 +107,7 @@ def _enc(t, f):
     e = t.get("fct_encounter").where(f.where("ADMIT_DATE", None, with_month=False))
     if f.facility is not None:
         ids = t.get("dim_facility").where(F.col("FACILITY_NAME") == f.facility).select("FACILITY_ID")
-        e = e.join(F.broadcast(ids), "FACILITY_ID", "left_semi")
+        e = e.join(ids, "FACILITY_ID", "left_semi")  # dimension-sized: AQE broadcasts by its statistics
     return e
 
 

@@ -73,6 +73,17 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+LINE_NATURAL_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def duplicate_rank() -> Column:
+    """1-based rank among lines sharing (order, line, part, supplier): 1 for
+    all but exact repeats. Partitioned by the whole natural key, so a hot
+    order spreads over many partitions."""
+    rest = [c for c in LINE_ORDER if c not in LINE_NATURAL_KEY]
+    return F.row_number().over(Window.partitionBy(*LINE_NATURAL_KEY).orderBy(*rest))
+
+
 def line_position() -> Column:
     """1-based position of a line inside its order. The window is
     partitioned by the order key, so after a join on that key it reuses the
@@ -282,8 +293,9 @@ class Tables:
         sched = F.timestamp_add("HOUR", (ln + 7).cast("long"), case_date.cast("timestamp_ntz"))
         start = F.timestamp_add("MINUTE", (ok % 61 - 10).cast("long"), sched)
         case_min = F.col("l_quantity") * 8
-        base = li.withColumn("_pos", line_position()).select(
-            F.concat_ws("-", F.lit("CASE"), ok.cast("string"), F.col("_pos").cast("string")).alias("CASE_ID"),
+        base = li.withColumn("_dup", duplicate_rank()).select(
+            F.concat_ws("-", F.lit("CASE"), ok.cast("string"), ln.cast("string"), pk.cast("string"),
+                        F.col("l_suppkey").cast("string"), F.col("_dup").cast("string")).alias("CASE_ID"),
             F.concat(F.lit("ENC-"), ok.cast("string")).alias("ENCOUNTER_ID"),
             F.col("l_suppkey").alias("SURGEON_SK"),
             F.concat(F.lit("OR-"), lpad_num(pk % 12 + 1, 2)).alias("OR_ROOM_ID"),
