@@ -24,9 +24,11 @@ from carelake.sources.adapter import Tables
 LOG_SCHEMA = ("RUN_ID string, RUN_TS timestamp_ntz, TASK_NAME string, STATUS string, ROWS_AFFECTED long, "
               "DURATION_SECONDS decimal(10,2), ERROR_MESSAGE string, METADATA string")
 # Fact-grain marts are written partitioned by month (dashboards filter on date
-# ranges, so reads prune whole directories). Rows are range-partitioned on
-# (month, key) first: a month holding a third of the rows is split across
-# many tasks instead of landing in one, and each task writes few files.
+# ranges, so reads prune whole directories). Rows are hash-partitioned on
+# (month, bucket of the key) first: a month holding a third of the rows is
+# split over ``k`` tasks instead of landing in one, each (month, bucket) is
+# written by exactly one task (months x k files), and unlike a range
+# repartition there is no sampling pass that would recompute the mart.
 MART_LAYOUT = {
     "mart_patient_leakage": ("REFERRAL_MONTH", "REFERRAL_ID"),
     "mart_readmission_los": ("ADMIT_MONTH", "ENCOUNTER_ID"),
@@ -66,7 +68,9 @@ class Refresh:
         layout = MART_LAYOUT.get(name)
         if layout:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, *layout)
+            k = max(1, n // 8)
+            month, key = layout
+            df = df.repartition(n, F.col(month), F.pmod(F.xxhash64(key), F.lit(k)))
         p = sinks.write_version(df, self.path(name), self.run_id, partition_by=layout[0] if layout else None)
         # Row count from the written files (parquet footers), not a recompute.
         return self.spark.read.parquet(p).count()
