@@ -540,3 +540,44 @@ def _bind(fn, flt):
 
 QUERIES = {name: _bind(fn, PAGE_FILTERS[PAGE_OF[name[:3]]]) for name, fn in dict(globals()).items()
            if callable(fn) and re.match(r"^f\d\d[a-d]?_", name)}
+
+
+# ---------------------------------------------------------------- U2 filter-value lists
+# name -> (source table, column, drop nulls) for every "SELECT DISTINCT col ... ORDER BY 1" option list.
+FILTER_LISTS = {
+    "u2_facility_names": ("dim_facility", "FACILITY_NAME", False),
+    "u2_readmission_encounter_types": ("mart_readmission_los", "ENCOUNTER_TYPE", False),
+    "u2_readmission_payer_types": ("mart_readmission_los", "PAYER_TYPE", False),
+    "u2_readmission_drgs": ("mart_readmission_los", "DRG_DESCRIPTION", True),
+    "u2_leakage_referring_specialties": ("mart_patient_leakage", "REFERRING_SPECIALTY", False),
+    "u2_leakage_referred_specialties": ("mart_patient_leakage", "REFERRED_TO_SPECIALTY", False),
+    "u2_leakage_payer_types": ("mart_patient_leakage", "PATIENT_PAYER_TYPE", False),
+    "u2_or_blocks": ("mart_or_capacity", "BLOCK_NAME", False),
+    "u2_or_specialties": ("mart_or_capacity", "SPECIALTY", False),
+    "u2_staffing_dept_types": ("mart_staffing_quality", "DEPT_TYPE", False),
+    "u2_staffing_departments": ("mart_staffing_quality", "DEPT_NAME", False),
+    "u2_finance_dept_types": ("mart_financial_performance", "DEPT_TYPE", False),
+    "u2_finance_facilities": ("mart_financial_performance", "FACILITY_NAME", False),
+    "u2_denials_payer_types": ("mart_denials_revcycle", "PAYER_TYPE", False),
+    "u2_denials_categories": ("mart_denials_revcycle", "DENIAL_CATEGORY", False),
+    "u2_denials_cpt_categories": ("mart_denials_revcycle", "CPT_CATEGORY", False),
+}
+
+
+def filter_values(t: Tables, source: str, column: str, drop_nulls: bool = False) -> DataFrame:
+    """Distinct option list, sorted. ``distinct`` is a map-side combined
+    aggregate; the sorted result is as small as the column's cardinality."""
+    df = t.mart(source) if source.startswith("mart_") else t.get(source)
+    df = df.select(column)
+    if drop_nulls:
+        df = df.where(F.col(column).isNotNull())
+    return df.distinct().orderBy(A(column))
+
+
+def _u2(source, column, drop):
+    def q(t: Tables) -> DataFrame:
+        return filter_values(t, source, column, drop)
+    return q
+
+
+QUERIES.update({name: _u2(*spec) for name, spec in FILTER_LISTS.items()})

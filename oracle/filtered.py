@@ -232,3 +232,13 @@ Q: dict[str, str] = {
     "f52_all_readmission_drivers": DRV.format(t="pred_readmission_drivers", lim=""),
     "f53_all_leakage_drivers": DRV.format(t="pred_leakage_drivers", lim=""),
 }
+
+# U2 filter-value lists
+from carelake.plans.filtered import FILTER_LISTS  # noqa: E402
+
+_SRC = {"dim_facility": "dim_facility", "mart_readmission_los": "m_readmit", "mart_patient_leakage": "m_leak",
+        "mart_or_capacity": "m_or", "mart_staffing_quality": "m_staff", "mart_financial_performance": "m_fin",
+        "mart_denials_revcycle": "m_den"}
+for _name, (_src, _col, _drop) in FILTER_LISTS.items():
+    _w = f" WHERE {_col} IS NOT NULL" if _drop else ""
+    Q[_name] = f"SELECT DISTINCT {_col} FROM {_SRC[_src]}{_w} ORDER BY 1"
