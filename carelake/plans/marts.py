@@ -293,8 +293,10 @@ def census_daily(t: Tables) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("PATIENT_CENSUS"),
                      F.count_if(F.col("ADMIT_DATE") == F.col("CENSUS_DATE")).alias("ADMITS"),
                      F.avg("LOS_DAYS").alias("AVG_LOS_DAYS"),
-                     F.avg(F.when(F.col("EXPECTED_LOS") > 0,
-                                  F.col("LOS_DAYS") / F.col("EXPECTED_LOS"))).alias("AVG_LOS_INDEX")))
+                     # Average of ratios as a 1e-9 fixed-point sum: independent of
+                     # the order partial sums are combined in.
+                     C.avg_fixed(F.when(F.col("EXPECTED_LOS") > 0,
+                                        F.col("LOS_DAYS") / F.col("EXPECTED_LOS")), 9).alias("AVG_LOS_INDEX")))
 
 
 def discharge_daily(t: Tables) -> DataFrame:
