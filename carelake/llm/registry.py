@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from carelake.llm.chosen_path import op4_ngram_jaccard_join
 from carelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from carelake.llm.mixing import OP6_SQL, op6_mixing
+from carelake.llm.packing import op3_best_fit_packing
+from carelake.llm.quality_rules import op5_quality_rules
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_mixing": op6_mixing,
 }
 
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
+    "op6_mixing": OP6_SQL,
 }

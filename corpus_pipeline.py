@@ -8,8 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carelake.llm.chosen_path import drop_near_duplicates
 from carelake.llm.common import save, table
 from carelake.llm.exact_dedup import drop_duplicates
+from carelake.llm.mixing import mix
+from carelake.llm.packing import pack_documents
+from carelake.llm.quality_rules import filter_quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return filter_quality(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +26,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_duplicates(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source to its target weight: documents beyond its budget go, those of small sources repeat."""
+    return mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The manifest of training sequences: one row per piece of a document, with its bin and place."""
+    return pack_documents(docs)
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("mixing", mixing),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 # Near duplicates and packing can't be said in SQL; tests/llm/ hold the stages against brute force.
