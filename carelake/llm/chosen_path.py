@@ -8,7 +8,8 @@ tokens, so that two sets share a token with the probability of their similarity.
   the tokens sampled on the way. A node of more than SMALL classes is split again, on BRANCH newly
   sampled tokens (a class goes to a child for each), at most LEVELS deep. Sets that share little are
   apart after a token or two; sets that are alike stay together on some path of nearly every run.
-* A node of at most SMALL classes, or of the last level, is compared by brute force. A large one
+* A node of at most SMALL classes, or of the last level, is compared by brute force; so is one whose
+  members are alike on the whole (mean similarity ALIKE or more): splitting gains nothing there. A large one
   (thousands of copies of one text that differ by a word never split) is dealt into square blocks
   of BLOCK x BLOCK classes, each a task of its own, so no group is held whole.
 * A pair that shares several leaves belongs to the first of them, which is known from the two lists
@@ -46,6 +47,7 @@ THRESHOLD = (4, 5)  # similarity as a fraction
 RUNS, LEVELS, BRANCH = 8, 3, 2
 TOKENS = RUNS * (1 + BRANCH * (LEVELS - 1))
 SMALL = 128
+ALIKE = 0.5
 BLOCK = 256
 
 _rng = np.random.default_rng(20240521)
@@ -121,8 +123,17 @@ def leaves(reps: DataFrame) -> DataFrame:
         if level == LEVELS or nodes.isEmpty():
             break
         first = F.lit(RUNS * (1 + BRANCH * (level - 1))) + F.col("run") * BRANCH
-        children = F.array(*[F.xxhash64("node", F.lit(b), _token(first + b)) for b in range(BRANCH)])
-        nodes = nodes.join(reps.select("sid", "sketch"), "sid").select("sid", "run", F.explode(children).alias("node"))
+        children = F.array(*[F.struct(F.lit(b).alias("branch"), F.xxhash64("node", F.lit(b), _token(first + b)).alias("child"))
+                             for b in range(BRANCH)])
+        children = save(nodes.join(reps.select("sid", "sketch"), "sid").select("sid", "run", "leaf", "size", F.explode(children).alias("x"))
+                        .select("sid", "run", "leaf", "size", "x.*"), f"children-{level}")
+        # the chance that two members share a new token is the node's mean similarity
+        together = children.groupBy("leaf", "size", "branch", "child").agg(F.count(F.lit(1)).alias("c"))
+        alike = together.groupBy("leaf", "size").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs")) \
+            .where(F.col("pairs") >= ALIKE * BRANCH * F.col("size") * (F.col("size") - 1)).select("leaf")
+        alike = save(alike, f"alike-{level}")
+        done.append(nodes.join(alike, "leaf", "left_semi"))
+        nodes = children.join(alike, "leaf", "left_anti").select("sid", "run", F.col("child").alias("node"))
     out = done[0].select("sid", "leaf", "size")
     for d in done[1:]:
         out = out.unionByName(d.select("sid", "leaf", "size"))
