@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
         .select("sid", F.coalesce("root", "sid").alias("root"),
                 (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     members = known.select("doc_id", "content", "sid").join(classes, "sid", "left")
-    first = members.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that the join on the root of a large class can be split
+    first = save(members.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id")), "first")
     return members.join(first, "root", "left").select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sid", "root", "content")
@@ -279,7 +280,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     """``docs`` with one document of each class: the least doc_id (null first), of equal ids the least text
     digest; all columns as they were. Rows equal in id and text stay or go together."""
     found = save(near_duplicates(docs, text, id_col).where("n_links > 0"), "near")
-    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("stays"))
+    stays = save(found.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("stays")), "stays")
     goes = found.join(stays, "root").where(~F.struct("doc_id", "content").eqNullSafe(F.col("stays")))
     goes = save(goes.select(F.col("doc_id").alias("near_id"), F.col("content").alias("near_content")).distinct(), "goes")
     content = F.unhex(F.md5(F.coalesce(docs[text], F.lit(""))))

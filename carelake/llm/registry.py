@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from carelake.llm.chat import OP9_SQL, op9_chat_format
 from carelake.llm.chosen_path import op4_ngram_jaccard_join
 from carelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from carelake.llm.html_extract import op2_html_extraction
+from carelake.llm.licenses import op10_license_scan
 from carelake.llm.mixing import OP6_SQL, op6_mixing
 from carelake.llm.packing import op3_best_fit_packing
 from carelake.llm.quality_rules import op5_quality_rules
+from carelake.llm.secrets import op7_secret_scan
+from carelake.llm.token_files import op8_token_files
 
-QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op5_quality_rules": op5_quality_rules,
-    "op6_mixing": op6_mixing,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_html_extraction, op3_best_fit_packing, op4_ngram_jaccard_join, op5_quality_rules,
+    op6_mixing, op7_secret_scan, op8_token_files, op9_chat_format, op10_license_scan)}
 
+# Where SQL can't say it, tests/llm/ hold the query against brute force.
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
     "op6_mixing": OP6_SQL,
+    "op9_chat_format": OP9_SQL,
 }
