@@ -29,7 +29,7 @@ from carelake.llm.common import fresh, n_words, save, small, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 4_096
 SEED = "mix-1"
 
 
