@@ -29,10 +29,6 @@ class Profile:
     forecast_days: int = 90
     eval_months: int = 6
     label_months: int = 3
-    # History used to fit the weekday profile of the forecast, in days.
-    forecast_history_days: int = 56
-    # Minimum rows per side for a driver segment (L3/L4).
-    driver_min_support: int = 10
 
 
 # Fixed values of the reference deployment (demo period Jul 2023 - Dec 2024).

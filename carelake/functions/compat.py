@@ -111,40 +111,20 @@ def millions(c, digits: int) -> Column:
     return F.round(col(c) / F.lit(1e6), digits)
 
 
-# Columns the marts store already rounded to a fixed number of decimals.
-# Averaging them as scaled integers makes the result exact and independent
-# of partitioning / summation order (a double AVG can land on either side of
-# a rounding tie depending on how partial sums were combined).
-FIXED_SCALE = {
-    "HRS_PER_PATIENT": 2, "OT_PCT": 3, "READMIT_RATE": 3, "AGENCY_PCT": 3,
-    "UTILIZATION_PCT": 3, "LOS_INDEX": 2, "COST_PER_DAY": 2,
-    "COST_PER_DISCHARGE": 2, "COST_PER_CMI_DISCHARGE": 2, "LABOR_PCT": 3, "SUPPLY_PCT": 3,
-    "OPERATING_MARGIN": 3,
-}
-
-
-def avg_fixed(c, scale: int | None = None) -> Column:
-    """AVG of a fixed-point column: sum of round(x * 10^s) as BIGINT, divided
-    by the non-null count, then by 10^s."""
-    name = c if isinstance(c, str) else None
-    s = scale if scale is not None else FIXED_SCALE[name]
-    x = col(c)
-    n = F.count(x)
-    return F.when(n > 0, F.sum(F.round(x * (10 ** s)).cast("long")) / n / F.lit(10 ** s))
-
-
-# Money / weight columns and their number of decimals. Summing them as scaled
-# integers is exact, so a total (and any ROUND of it) no longer depends on
-# the order in which partial sums are combined across partitions.
-FIXED_SUM_SCALE = {
-    "CHARGE_AMT": 2, "ESTIMATED_RECOVERY": 2, "AMOUNT": 2, "DENIED_CHARGES": 2,
-    "TOTAL_REVENUE": 2, "TOTAL_EXPENSE": 2, "LABOR_COST": 2, "SUPPLY_COST": 2, "OVERHEAD_COST": 2,
-    "DEPRECIATION_COST": 2, "LOST_REVENUE": 4, "EXPECTED_REVENUE": 4, "NET_REVENUE": 3,
-    "CMI_ADJUSTED_DISCHARGES": 1,
-}
-
-
-def sum_fixed(c, scale: int | None = None) -> Column:
-    """SUM of a fixed-point column as sum(round(x * 10^s)) / 10^s."""
-    s = scale if scale is not None else FIXED_SUM_SCALE[c]
-    return F.sum(F.round(col(c) * (10 ** s)).cast("long")) / F.lit(10 ** s)
+# A double SUM depends on the order in which partial sums are combined, so two
+# runs (or a SQL oracle) can land on either side of a rounding tie. Sums and
+# averages of amounts go through DECIMAL instead: exact, order-independent, and
+# the same for every column. Six decimals keep amounts, weights (four) and the
+# marts' stored rates whole; the sum has 32 digits before the point.
+AMOUNT_DECIMALS = 6
+
+
+def exact_sum(c, decimals: int = AMOUNT_DECIMALS) -> Column:
+    """``SUM(CAST(x AS DECIMAL(28, decimals)))`` as DOUBLE."""
+    return F.sum(col(c).cast(f"decimal(28,{decimals})")).cast("double")
+
+
+def exact_avg(c, decimals: int = AMOUNT_DECIMALS) -> Column:
+    """Exact sum over the non-null count; null if there is none."""
+    n = F.count(col(c))
+    return F.when(n > 0, exact_sum(c, decimals) / n)

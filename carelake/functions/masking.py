@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 # The six roles and the hierarchy (admin inherits the others).
 ADMIN, ENGINEER, ANALYST, CLINICIAN, FINANCE, EXEC = (
-    "H360_ADMIN", "H360_ENGINEER", "H360_ANALYST", "H360_CLINICIAN", "H360_FINANCE", "H360_EXEC")
+    "ADMIN", "ENGINEER", "ANALYST", "CLINICIAN", "FINANCE", "EXEC")
 ROLES = [ADMIN, ENGINEER, ANALYST, CLINICIAN, FINANCE, EXEC]
 ROLE_GRANTS = {ADMIN: [ENGINEER, ANALYST, CLINICIAN, FINANCE, EXEC]}
 

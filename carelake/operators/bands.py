@@ -2,9 +2,8 @@
 
 Given a small table of categories with weights, each input row carrying a
 value in [0, total weight) gets the category whose cumulative band
-``lo < v <= hi`` holds it. The bands are a per-category table (its size is
-the number of categories, checked before broadcasting); the fact side is
-never windowed or sorted.
+``lo < v <= hi`` holds it. The bands are a per-category table; the fact side
+is never windowed or sorted.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_BANDS = 100_000
-
 
 def cumulative_bands(weights: DataFrame, key: str, weight: str, order: str | None = None) -> DataFrame:
     """(key, lo, hi) with hi = running sum of weight in ``order``."""
@@ -28,9 +25,6 @@ def assign_band(df: DataFrame, value_col: str, bands: DataFrame, key: str, out_c
     """Left-join each row to the band holding ``value_col``. Bands are
     contiguous and non-overlapping, so at most one matches (the reference's
     NOT EXISTS "first band" rule is the ``lo`` bound)."""
-    n = bands.count()
-    if n > MAX_BROADCAST_BANDS:
-        raise ValueError(f"{n} bands exceed the broadcast bound {MAX_BROADCAST_BANDS}")
-    b = F.broadcast(bands.withColumnRenamed(key, out_col or key))
+    b = bands.withColumnRenamed(key, out_col or key)
     cond = (F.col(value_col) > b["lo"]) & (F.col(value_col) <= b["hi"])
     return df.join(b, cond, "left").drop("lo", "hi")

@@ -7,14 +7,15 @@ decomposition of a rate change):
 
 * segment s = one dimension value or a pair of values of two dimensions;
 * n_c, n_t rows and rate_c, rate_t metric means in control / test;
-* contribution = n_t/N_t * rate_t - n_c/N_c * rate_c;
+* contribution = n_t/N_t * rate_t - n_c/N_c * rate_c (a side without rows adds 0);
 * relative contribution = contribution / |rate_T - rate_C| (overall change);
 * growth rate = rate_t / rate_c - 1.
 
-Segments need ``min_support`` rows on each side. Plan: one narrow explode of
-a fixed-size array (1 + d + d(d-1)/2 entries per row, independent of data
-size) feeding one hash aggregate that combines map-side, so the shuffle
-carries only (segment, partial sums) -- the number of distinct segments.
+Every segment is emitted with its counts; readers filter by support.
+
+Plan: the rows are first counted by all dimensions and the label (map-side
+combined; counts add up), then each such group, not each row, is exploded
+into its 1 + d + d(d-1)/2 segments, which feed one hash aggregate.
 """
 
 from __future__ import annotations
@@ -32,32 +33,25 @@ def _seg(i: int, j: int, vi, vj):
                     vi.cast("string").alias("VA"), vj.cast("string").alias("VB"))
 
 
-def key_drivers(df: DataFrame, metric: str, label: str, dims: list[str], min_support: int = 10,
-                digits: int = 6) -> DataFrame:
+def key_drivers(df: DataFrame, metric: str, label: str, dims: list[str], digits: int = 6) -> DataFrame:
     none = F.lit(None).cast("string")
     segs = [_seg(-1, -1, none, none)]
     segs += [_seg(i, -1, F.col(d), none) for i, d in enumerate(dims)]
     segs += [_seg(i, j, F.col(dims[i]), F.col(dims[j])) for i, j in itertools.combinations(range(len(dims)), 2)]
     lab, m = F.col(label), F.col(metric)
-    x = df.select(m.alias("M"), lab.alias("L"), F.explode(F.array(*segs)).alias("S")).select("S.*", "M", "L")
-    agg = (x.groupBy("A", "B", "VA", "VB")
-             .agg(F.sum(F.when(F.col("L"), 1).otherwise(0)).cast("long").alias("TEST_COUNT"),
-                  F.sum(F.when(F.col("L"), F.col("M")).otherwise(0)).cast("long").alias("S_T"),
-                  F.sum(F.when(~F.col("L"), 1).otherwise(0)).cast("long").alias("CONTROL_COUNT"),
-                  F.sum(F.when(~F.col("L"), F.col("M")).otherwise(0)).cast("long").alias("S_C")))
+    sums = [F.sum(F.when(lab, 1).otherwise(0)).alias("TEST_COUNT"), F.sum(F.when(lab, m).otherwise(0)).alias("S_T"),
+            F.sum(F.when(~lab, 1).otherwise(0)).alias("CONTROL_COUNT"), F.sum(F.when(~lab, m).otherwise(0)).alias("S_C")]
+    measures = ["TEST_COUNT", "S_T", "CONTROL_COUNT", "S_C"]
+    x = df.groupBy(*dims).agg(*sums).select(F.explode(F.array(*segs)).alias("S"), *measures).select("S.*", *measures)
+    agg = x.groupBy("A", "B", "VA", "VB").agg(*[F.sum(c).cast("long").alias(c) for c in measures])
     # Overall totals straight from the input (no explode), as ONE scalar
     # subquery returning a struct: every field reference reuses it.
-    ov = df.agg(F.struct(
-        F.sum(F.when(lab, 1).otherwise(0)).cast("long").alias("NT"),
-        F.sum(F.when(~lab, 1).otherwise(0)).cast("long").alias("NC"),
-        F.sum(F.when(lab, m).otherwise(0)).cast("long").alias("ST"),
-        F.sum(F.when(~lab, m).otherwise(0)).cast("long").alias("SC"))).scalar()
+    ov = df.agg(F.struct(*[c.cast("long").alias(k) for c, k in zip(sums, ("NT", "ST", "NC", "SC"))])).scalar()
     n_t, n_c, s_t, s_c = (ov.getField(k) for k in ("NT", "NC", "ST", "SC"))
     rate_t = F.when(F.col("TEST_COUNT") > 0, F.col("S_T") / F.col("TEST_COUNT"))
     rate_c = F.when(F.col("CONTROL_COUNT") > 0, F.col("S_C") / F.col("CONTROL_COUNT"))
     change = F.abs(F.when(n_t > 0, s_t / n_t) - F.when(n_c > 0, s_c / n_c))
-    contrib = F.when((n_t > 0) & (n_c > 0),
-                     (F.col("TEST_COUNT") / n_t) * rate_t - (F.col("CONTROL_COUNT") / n_c) * rate_c)
+    contrib = F.when((n_t > 0) & (n_c > 0), F.col("S_T") / n_t - F.col("S_C") / n_c)
     names = F.array(*[F.lit(d) for d in dims])
 
     def part(idx, val):
@@ -67,8 +61,7 @@ def key_drivers(df: DataFrame, metric: str, label: str, dims: list[str], min_sup
                     .when(F.col("B") == -1, F.concat(F.lit("["), part(F.col("A"), F.col("VA")), F.lit("]")))
                     .otherwise(F.concat(F.lit("["), part(F.col("A"), F.col("VA")), F.lit(", "),
                                         part(F.col("B"), F.col("VB")), F.lit("]"))))
-    kept = agg.where((F.col("A") == -1) | ((F.col("TEST_COUNT") >= min_support) & (F.col("CONTROL_COUNT") >= min_support)))
-    return kept.select(
+    return agg.select(
         contributor.alias("CONTRIBUTOR"),
         F.round(rate_c, digits).alias("METRIC_CONTROL"),
         F.round(rate_t, digits).alias("METRIC_TEST"),

@@ -6,14 +6,14 @@ visible. These are published, SQL-checkable statistics: a weekday profile
 normal prediction interval.
 
 Scale: the input is already aggregated to one row per (series, day), so it
-grows with days x series, not with the fact table. Densifying to zero days
-uses ``explode(sequence)`` per series key (no cross join), and every step is
-a groupBy/equi-join Spark distributes.
+grows with days x series, not with the fact table. The forecast's zero days
+come from ``explode(sequence)`` per series key (no cross join), and every step
+is a groupBy, window or equi-join Spark distributes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.stats import normal_cdf
@@ -39,16 +39,14 @@ def _profile(dense: DataFrame) -> DataFrame:
                                               F.coalesce(F.stddev_samp("Y"), F.lit(0.0)).alias("SD"))
 
 
-def weekday_forecast(df: DataFrame, series: str, ts: str, y: str, horizon: int,
-                     history_days: int, z: float = Z95) -> DataFrame:
+def weekday_forecast(df: DataFrame, series: str, ts: str, y: str, horizon: int, z: float = Z95) -> DataFrame:
     """(SERIES, TS, FORECAST, LOWER, UPPER) for ``horizon`` days after the
-    newest observation, from the last ``history_days`` days (zero-filled)."""
+    newest observation, from the whole history (zero-filled)."""
     daily = _daily(df, series, ts, y, [])
-    newest = daily.select(F.max("D")).scalar()
+    span = daily.agg(F.struct(F.min("D").alias("LO"), F.max("D").alias("HI"))).scalar()
+    oldest, newest = span.getField("LO"), span.getField("HI")
     keys = daily.select("SERIES").distinct()
-    dense = _dense(daily.where(F.col("D") > F.date_sub(newest, history_days)),
-                   F.date_sub(newest, history_days - 1), newest, [], keys)
-    prof = _profile(dense)
+    prof = _profile(_dense(daily, oldest, newest, [], keys))
     fut = (keys.select("SERIES", F.explode(F.sequence(F.date_add(newest, 1), F.date_add(newest, horizon))).alias("D"))
                .withColumn("DOW", F.dayofweek("D")))
     out = fut.join(prof, ["SERIES", "DOW"], "left")
@@ -60,20 +58,25 @@ def weekday_forecast(df: DataFrame, series: str, ts: str, y: str, horizon: int,
 
 def weekday_anomalies(df: DataFrame, series: str, ts: str, y: str, eval_months: int,
                       extra: list[str] | None = None, z: float = Z95) -> DataFrame:
-    """Fit the weekday profile on days before ``max - eval_months`` and score
-    the rest: (SERIES, TS, EXPECTED, LOWER, UPPER, IS_ANOMALY, PERCENTILE, Y,
-    *extra)."""
+    """Fit the weekday profile on the rows before ``max - eval_months`` and
+    score the others: (SERIES, TS, EXPECTED, LOWER, UPPER, IS_ANOMALY,
+    PERCENTILE, Y, *extra), one row per row of the evaluation side.
+
+    The profile is a window over the daily rows that only averages those
+    before the cut, so the input is aggregated once; only the newest day is
+    found apart (a scan of the date column). A series that has no row for a
+    weekday before the cut has no expectation there (nulls)."""
     extra = extra or []
-    daily = _daily(df, series, ts, y, extra)
-    span = daily.agg(F.struct(F.min("D").alias("LO"), F.max("D").alias("HI"))).scalar()
-    oldest, newest = span.getField("LO"), span.getField("HI")
-    dense = _dense(daily, oldest, newest, extra)
-    cut = F.add_months(newest, -eval_months)
-    prof = _profile(dense.where(F.col("D") < cut))
-    ev = dense.where(F.col("D") >= cut).join(prof, ["SERIES", "DOW"], "left")
+    daily = _daily(df, series, ts, y, extra).withColumn("DOW", F.dayofweek("D"))
+    cut = F.add_months(df.select(F.max(F.col(ts).cast("date"))).scalar(), -eval_months)
+    past = F.when(F.col("D") < cut, F.col("Y"))
+    w = Window.partitionBy("SERIES", "DOW")
+    fitted = daily.withColumn("MU", F.avg(past).over(w)).withColumn(
+        "SD", F.when(F.col("MU").isNotNull(), F.coalesce(F.stddev_samp(past).over(w), F.lit(0.0))))
     lo, hi = F.col("MU") - z * F.col("SD"), F.col("MU") + z * F.col("SD")
     zscore = F.when(F.col("SD") > 0, (F.col("Y") - F.col("MU")) / F.col("SD"))
-    return ev.select("SERIES", F.col("D").cast("timestamp_ntz").alias("TS"),
-                     F.col("MU").alias("EXPECTED"), lo.alias("LOWER"), hi.alias("UPPER"),
-                     ((F.col("Y") < lo) | (F.col("Y") > hi)).alias("IS_ANOMALY"),
-                     normal_cdf(zscore).alias("PERCENTILE"), "Y", *extra)
+    return fitted.where(F.col("D") >= cut).select(
+        "SERIES", F.col("D").cast("timestamp_ntz").alias("TS"),
+        F.col("MU").alias("EXPECTED"), lo.alias("LOWER"), hi.alias("UPPER"),
+        ((F.col("Y") < lo) | (F.col("Y") > hi)).alias("IS_ANOMALY"),
+        normal_cdf(zscore).alias("PERCENTILE"), "Y", *extra)

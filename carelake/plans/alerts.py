@@ -31,12 +31,12 @@ def metric_values(t: Tables) -> DataFrame:
     rm = t.mart("mart_readmission_los").agg(
         (F.avg(F.col("READMIT_30_FLAG").cast("int")) * 100).alias("readmission_rate"),
         F.avg("LOS_DAYS").alias("avg_los"))
-    orc = t.mart("mart_or_capacity").agg(C.avg_fixed("UTILIZATION_PCT").alias("or_utilization"))
-    st = t.mart("mart_staffing_quality").agg(C.avg_fixed("OT_PCT").alias("overtime_pct"))
+    orc = t.mart("mart_or_capacity").agg(C.exact_avg("UTILIZATION_PCT").alias("or_utilization"))
+    st = t.mart("mart_staffing_quality").agg(C.exact_avg("OT_PCT").alias("overtime_pct"))
     dn = t.mart("mart_denials_revcycle").agg(
         (F.sum(F.when(F.col("CLAIM_STATUS") == "DENIED", 1).otherwise(0)) * 100.0
          / F.when(F.count(F.lit(1)) != 0, F.count(F.lit(1)))).cast("double").alias("denial_rate"))
-    fn = t.mart("mart_financial_performance").agg((C.avg_fixed("OPERATING_MARGIN") * 100).alias("operating_margin"))
+    fn = t.mart("mart_financial_performance").agg((C.exact_avg("OPERATING_MARGIN") * 100).alias("operating_margin"))
     parts = []
     for df in (rm, orc, st, dn, fn):
         for c in df.columns:
@@ -70,5 +70,5 @@ QUERIES = {
     "r1_r6_alert_evaluation": evaluate_alerts,
     "r1_r6_alerts_fired": lambda t: evaluate_alerts(t).where(F.col("FIRED")),
     "r7_custom_condition": lambda t: custom_condition(
-        t.mart("mart_denials_revcycle"), F.round(C.sum_fixed("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
+        t.mart("mart_denials_revcycle"), F.round(C.exact_sum("CHARGE_AMT") / F.lit(1e6), 2), lambda v: v > 1.0),
 }

@@ -62,11 +62,11 @@ def q03_dash_leakage(t):
 
 
 def q04_dash_or_util(t):
-    return _orc(t).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("RATE"))
+    return _orc(t).agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("RATE"))
 
 
 def q05_dash_denied(t):
-    return _dn(t).agg(C.millions(C.sum_fixed("CHARGE_AMT"), 1).alias("AMT"))
+    return _dn(t).agg(C.millions(C.exact_sum("CHARGE_AMT"), 1).alias("AMT"))
 
 
 def q07_dash_trend_enc(t):
@@ -92,12 +92,12 @@ def q10_dash_top_drg(t):
 
 def q11_dash_top_spec(t):
     g = (_lk(t).where(F.col("LEAKAGE_FLAG")).groupBy("REFERRED_TO_SPECIALTY")
-         .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST")))
+         .agg(F.round(C.exact_sum("LOST_REVENUE"), 0).alias("LOST")))
     return top_k(g, 1, D("LOST"), A("REFERRED_TO_SPECIALTY"))
 
 
 def q12_dash_low_block(t):
-    g = _orc(t).groupBy("BLOCK_NAME").agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
+    g = _orc(t).groupBy("BLOCK_NAME").agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
     return top_k(g, 1, A("UTIL"), A("BLOCK_NAME"))
 
 
@@ -198,7 +198,7 @@ def q30_leakage_provider(t):
 
 # ---------------------------------------------------------------- OR capacity
 def q31_or_kpi(t):
-    return _orc(t).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTIL"),
+    return _orc(t).agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTIL"),
                        C.rate_pct("FIRST_CASE_ON_TIME").alias("FCOT_PCT"),
                        F.round(F.avg("DELAY_MINUTES"), 1).alias("AVG_DELAY"),
                        _cnt("TOTAL_CASES"),
@@ -207,18 +207,18 @@ def q31_or_kpi(t):
 
 def q32_or_heatmap(t):
     return (_orc(t).groupBy("BLOCK_NAME", F.col("CASE_DAY_OF_WEEK").alias("DOW"))
-            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
+            .agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
 
 
 def q33_or_monthly(t):
     return (_orc(t).groupBy(F.col("CASE_MONTH").alias("MONTH"), "BLOCK_NAME")
-            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
+            .agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
             .orderBy(A("MONTH"), A("BLOCK_NAME")))
 
 
 def q34_or_surgeons(t):
     g = (_orc(t).groupBy("SURGEON_NAME")
-         .agg(_cnt("CASES"), F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
+         .agg(_cnt("CASES"), F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("UTIL")))
     return top_k(g, 10, D("CASES"), A("SURGEON_NAME"))
 
 
@@ -228,72 +228,72 @@ def _census(t):
 
 
 def _avg_rate(c="READMIT_RATE"):
-    return F.round(C.avg_fixed(F.when(F.col(c).isNotNull(), F.col(c)), 3) * 100, 1)
+    return F.round(C.exact_avg(F.when(F.col(c).isNotNull(), F.col(c))) * 100, 1)
 
 
 def q35_staff_kpi(t):
     u = F.col("IS_UNDERSTAFFED")
     return _census(t).agg(
-        F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("AVG_HRS"),
-        F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("AVG_OT"),
+        F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("AVG_HRS"),
+        F.round(C.exact_avg("OT_PCT") * 100, 1).alias("AVG_OT"),
         F.round(C.safe_div(F.sum(C.flag01("IS_UNDERSTAFFED")), F.count(F.lit(1))) * 100, 1).alias("UNDER_PCT"),
-        F.round(C.avg_fixed(F.when(u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE")), 3) * 100, 1).alias("READMIT_UNDER"),
-        F.round(C.avg_fixed(F.when(~u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE")), 3) * 100, 1).alias("READMIT_OK"))
+        F.round(C.exact_avg(F.when(u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE"))) * 100, 1).alias("READMIT_UNDER"),
+        F.round(C.exact_avg(F.when(~u & F.col("READMIT_RATE").isNotNull(), F.col("READMIT_RATE"))) * 100, 1).alias("READMIT_OK"))
 
 
 def q36_staff_trend(t):
     return (_census(t).groupBy(F.col("SHIFT_MONTH").alias("MONTH"))
-            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"))
+            .agg(F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"))
             .orderBy(A("MONTH")))
 
 
 def q37_staff_scatter(t):
     return (_census(t).where(F.col("READMIT_RATE").isNotNull()).groupBy("DEPT_NAME", "DEPT_TYPE")
-            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"),
+            .agg(F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("HRS"), _avg_rate().alias("READMIT"),
                  F.sum("PATIENT_CENSUS").cast("long").alias("TOTAL"), _cnt("_n"))
             .where(F.col("_n") >= 30).drop("_n"))
 
 
 def q38_staff_ot(t):
-    g = (_census(t).groupBy("DEPT_NAME").agg(F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("OT_PCT"), _cnt("_n"))
+    g = (_census(t).groupBy("DEPT_NAME").agg(F.round(C.exact_avg("OT_PCT") * 100, 1).alias("OT_PCT"), _cnt("_n"))
          .where(F.col("_n") >= 30).drop("_n"))
     return top_k(g, 12, D("OT_PCT"), A("DEPT_NAME"))
 
 
 # ---------------------------------------------------------------- finance
 def _margin(digits=1):
-    rev, exp = C.sum_fixed("TOTAL_REVENUE"), C.sum_fixed("TOTAL_EXPENSE")
+    rev, exp = C.exact_sum("TOTAL_REVENUE"), C.exact_sum("TOTAL_EXPENSE")
     return F.round(C.safe_div(rev - exp, rev) * 100, digits)
 
 
 def q39_fin_kpi(t):
-    return _fn(t).agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REV"),
-                      C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXP"),
+    return _fn(t).agg(C.millions(C.exact_sum("TOTAL_REVENUE"), 1).alias("REV"),
+                      C.millions(C.exact_sum("TOTAL_EXPENSE"), 1).alias("EXP"),
                       _margin().alias("MARGIN"),
-                      F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("CPD"),
-                      F.round(C.avg_fixed("LABOR_PCT") * 100, 1).alias("LABOR"))
+                      F.round(C.exact_avg("COST_PER_CMI_DISCHARGE"), 0).alias("CPD"),
+                      F.round(C.exact_avg("LABOR_PCT") * 100, 1).alias("LABOR"))
 
 
 def q40_fin_monthly(t):
     return (_fn(t).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 2).alias("REV"),
-                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 2).alias("EXP"), _margin().alias("MARGIN"))
+            .agg(C.millions(C.exact_sum("TOTAL_REVENUE"), 2).alias("REV"),
+                 C.millions(C.exact_sum("TOTAL_EXPENSE"), 2).alias("EXP"), _margin().alias("MARGIN"))
             .orderBy(A("MONTH")))
 
 
 def q41_fin_cost_breakdown(t):
     return (_fn(t).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(C.sum_fixed("LABOR_COST"), 2).alias("LABOR"),
-                 C.millions(C.sum_fixed("SUPPLY_COST"), 2).alias("SUPPLIES"),
-                 C.millions(C.sum_fixed("OVERHEAD_COST"), 2).alias("OVERHEAD"),
-                 C.millions(C.sum_fixed("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
+            .agg(C.millions(C.exact_sum("LABOR_COST"), 2).alias("LABOR"),
+                 C.millions(C.exact_sum("SUPPLY_COST"), 2).alias("SUPPLIES"),
+                 C.millions(C.exact_sum("OVERHEAD_COST"), 2).alias("OVERHEAD"),
+                 C.millions(C.exact_sum("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
             .orderBy(A("MONTH")))
 
 
 def q42_fin_dept_cost(t):
     g = (_fn(t).where(F.col("COST_PER_CMI_DISCHARGE").isNotNull()).groupBy("DEPT_NAME")
-         .agg(F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("COST"),
-              F.round(C.avg_fixed("OPERATING_MARGIN") * 100, 1).alias("MARGIN")))
+         .agg(F.round(C.exact_avg("COST_PER_CMI_DISCHARGE"), 0).alias("COST"),
+              F.round(C.exact_avg("OPERATING_MARGIN") * 100, 1).alias("MARGIN")))
     return top_k(g, 12, D("COST"), A("DEPT_NAME"))
 
 
@@ -311,25 +311,25 @@ def appeal_win_pct(digits=1):
 
 def q44_denials_kpi(t):
     return _dn(t).agg(_cnt("TOTAL_DENIALS"),
-                      C.millions(C.sum_fixed("CHARGE_AMT"), 1).alias("DENIED_AMT_M"),
+                      C.millions(C.exact_sum("CHARGE_AMT"), 1).alias("DENIED_AMT_M"),
                       F.round(F.avg("DAYS_TO_FILE"), 0).alias("AVG_DAYS_TO_FILE"),
                       appeal_win_pct().alias("APPEAL_WIN_PCT"),
-                      C.millions(C.sum_fixed("ESTIMATED_RECOVERY"), 1).alias("RECOVERY_M"))
+                      C.millions(C.exact_sum("ESTIMATED_RECOVERY"), 1).alias("RECOVERY_M"))
 
 
 def q45_denials_category(t):
     return (_dn(t).groupBy("DENIAL_CATEGORY")
-            .agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT"))
+            .agg(_cnt("CNT"), C.millions(C.exact_sum("CHARGE_AMT"), 2).alias("AMT"))
             .orderBy(D("AMT"), A("DENIAL_CATEGORY")))
 
 
 def q46_denials_trend(t):
     return (_dn(t).groupBy(F.col("SERVICE_MONTH").alias("MONTH"))
-            .agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT")).orderBy(A("MONTH")))
+            .agg(_cnt("CNT"), C.millions(C.exact_sum("CHARGE_AMT"), 2).alias("AMT")).orderBy(A("MONTH")))
 
 
 def q47_denials_payer(t):
-    g = _dn(t).groupBy("PAYER_NAME").agg(_cnt("CNT"), C.millions(C.sum_fixed("CHARGE_AMT"), 2).alias("AMT"))
+    g = _dn(t).groupBy("PAYER_NAME").agg(_cnt("CNT"), C.millions(C.exact_sum("CHARGE_AMT"), 2).alias("AMT"))
     return top_k(g, 8, D("AMT"), A("PAYER_NAME"))
 
 
@@ -381,12 +381,12 @@ def vq04_leakage_rate_by_specialty(t):
     return (_lk(t).groupBy("REFERRING_SPECIALTY")
             .agg(_cnt("TOTAL_REFERRALS"), C.count_if("LEAKAGE_FLAG").alias("LEAKED"),
                  C.count_rate_pct("LEAKAGE_FLAG").alias("LEAKAGE_RATE_PCT"),
-                 F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"))
+                 F.round(C.exact_sum("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"))
             .orderBy(D("TOTAL_LOST_REVENUE"), A("REFERRING_SPECIALTY")))
 
 
 def vq05_total_lost_revenue(t):
-    return _lk(t).agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"),
+    return _lk(t).agg(F.round(C.exact_sum("LOST_REVENUE"), 0).alias("TOTAL_LOST_REVENUE"),
                       C.count_if("LEAKAGE_FLAG").alias("LEAKED_REFERRALS"),
                       _cnt("TOTAL_REFERRALS"),
                       C.count_rate_pct("LEAKAGE_FLAG").alias("LEAKAGE_RATE_PCT"))
@@ -394,13 +394,13 @@ def vq05_total_lost_revenue(t):
 
 def vq06_or_utilization_by_block(t):
     return (_orc(t).groupBy("BLOCK_NAME")
-            .agg(_cnt("CASES"), F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"))
+            .agg(_cnt("CASES"), F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"))
             .orderBy(A("BLOCK_NAME")))
 
 
 def vq07_denials_by_category(t):
     return (_dn(t).groupBy("DENIAL_CATEGORY")
-            .agg(_cnt("DENIED_CLAIMS"), F.round(C.sum_fixed("CHARGE_AMT"), 0).alias("TOTAL_DENIED_CHARGES"))
+            .agg(_cnt("DENIED_CLAIMS"), F.round(C.exact_sum("CHARGE_AMT"), 0).alias("TOTAL_DENIED_CHARGES"))
             .orderBy(D("TOTAL_DENIED_CHARGES"), A("DENIAL_CATEGORY")))
 
 
@@ -415,15 +415,15 @@ def vq08_appeal_success_rate(t):
 def vq11_facility_performance(t):
     return (_rm(t).groupBy("FACILITY_NAME")
             .agg(_cnt("ENCOUNTERS"), C.count_rate_pct("READMIT_30_FLAG").alias("READMISSION_RATE_PCT"),
-                 F.round(C.avg_fixed("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"))
+                 F.round(C.exact_avg("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"))
             .orderBy(D("ENCOUNTERS"), A("FACILITY_NAME")))
 
 
 def vq12_underutilized_blocks(t):
     return (_orc(t).groupBy("BLOCK_NAME", "FACILITY_NAME")
-            .agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"),
+            .agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("AVG_UTILIZATION_PCT"),
                  C.count_if("IS_UNDERUTILIZED").alias("UNDERUTILIZED_CASES"),
-                 C.avg_fixed("UTILIZATION_PCT").alias("_u"))
+                 C.exact_avg("UTILIZATION_PCT").alias("_u"))
             .where(F.col("_u") < 0.7).drop("_u")
             .orderBy(A("AVG_UTILIZATION_PCT"), A("BLOCK_NAME"), A("FACILITY_NAME")))
 

@@ -22,7 +22,7 @@ def daily_denial_volume(t: Tables, mart: DataFrame | None = None) -> DataFrame:
     is added because the anomaly output reports it (SURVEY §8 item 1)."""
     d = mart if mart is not None else t.mart("mart_denials_revcycle")
     return (d.groupBy("SERVICE_DATE", "DENIAL_CATEGORY")
-             .agg(F.count(F.lit(1)).alias("DENIAL_COUNT"), C.sum_fixed("CHARGE_AMT").alias("DENIED_CHARGES"))
+             .agg(F.count(F.lit(1)).alias("DENIAL_COUNT"), C.exact_sum("CHARGE_AMT").alias("DENIED_CHARGES"))
              .select(F.col("SERVICE_DATE").cast("timestamp_ntz").alias("TS"), "DENIAL_CATEGORY",
                      "DENIAL_COUNT", "DENIED_CHARGES"))
 

@@ -117,10 +117,10 @@ def f01_kpis(t, f):
         _enc(t, f).agg(F.count(F.lit(1)).cast("double").alias("VALUE")).select(F.lit("ENCOUNTERS").alias("KPI"), "VALUE"),
         _rm(t, f).agg(C.rate_pct("READMIT_30_FLAG").alias("VALUE")).select(F.lit("READMIT_RATE").alias("KPI"), "VALUE"),
         _lk(t, f).agg(C.rate_pct("LEAKAGE_FLAG").alias("VALUE")).select(F.lit("LEAKAGE_RATE").alias("KPI"), "VALUE"),
-        _orc(t, f).agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("VALUE"))
+        _orc(t, f).agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("VALUE"))
                   .select(F.lit("OR_UTIL").alias("KPI"), "VALUE"),
         t.mart("mart_denials_revcycle").where(f.where("SERVICE_DATE", None))
-         .agg(F.round(C.sum_fixed("CHARGE_AMT"), 0).alias("VALUE")).select(F.lit("DENIED_AMT").alias("KPI"), "VALUE"),
+         .agg(F.round(C.exact_sum("CHARGE_AMT"), 0).alias("VALUE")).select(F.lit("DENIED_AMT").alias("KPI"), "VALUE"),
         models.prediction_inventory(t).agg(F.sum("ROW_COUNT").cast("double").alias("VALUE"))
               .select(F.lit("PREDICTION_ROWS").alias("KPI"), "VALUE"),
     ]
@@ -153,12 +153,12 @@ def f04a_top_drg(t, f):
 
 def f04b_top_spec(t, f):
     g = (_lk(t, f).where(F.col("LEAKAGE_FLAG") == True).groupBy("REFERRED_TO_SPECIALTY")  # noqa: E712
-         .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST")))
+         .agg(F.round(C.exact_sum("LOST_REVENUE"), 0).alias("LOST")))
     return top_k(g, 1, D("LOST"), A("REFERRED_TO_SPECIALTY"))
 
 
 def f04c_low_block(t, f):
-    g = _orc(t, f).groupBy("BLOCK_NAME").agg(F.round(C.avg_fixed("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
+    g = _orc(t, f).groupBy("BLOCK_NAME").agg(F.round(C.exact_avg("UTILIZATION_PCT") * 100, 1).alias("UTIL"))
     return top_k(g, 1, A("UTIL"), A("BLOCK_NAME"))
 
 
@@ -182,9 +182,9 @@ def f05b_anomalies(t, f):
 # ---------------------------------------------------------------- 2 readmission
 def f06_readmit_kpis(t, f):
     return _rm(t, f).agg(C.rate_pct("READMIT_30_FLAG").alias("READMIT_RATE"),
-                         F.round(C.avg_fixed("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"),
+                         F.round(C.exact_avg("LOS_INDEX"), 2).alias("AVG_LOS_INDEX"),
                          C.rate_pct("IS_LONG_STAY").alias("LONG_STAY_PCT"),
-                         F.round(C.avg_fixed("COST_PER_DAY"), 0).alias("AVG_CPD"), _cnt("TOTAL_ENC"))
+                         F.round(C.exact_avg("COST_PER_DAY"), 0).alias("AVG_CPD"), _cnt("TOTAL_ENC"))
 
 
 def f07_readmit_trend(t, f):
@@ -231,7 +231,7 @@ def f12_encounter_detail(t, f):
 def f13_leakage_kpis(t, f):
     hv = F.col("LEAKAGE_FLAG") & F.col("IS_HIGH_VALUE")
     return _lk(t, f).agg(C.rate_pct("LEAKAGE_FLAG").alias("LEAK_RATE"),
-                         F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV"),
+                         F.round(C.exact_sum("LOST_REVENUE"), 0).alias("LOST_REV"),
                          F.sum(F.when(hv, 1).otherwise(0)).cast("long").alias("HV_LEAKED"), _cnt("TOTAL_REF"))
 
 
@@ -248,14 +248,14 @@ def f15_leakage_trend(t, f):
 def f16_leakage_by_specialty(t, f):
     g = (_lk(t, f).groupBy(F.col("REFERRED_TO_SPECIALTY").alias("SPECIALTY"))
          .agg(_cnt("TOTAL"), _flag_sum("LEAKAGE_FLAG").alias("LEAKED"), C.rate_pct("LEAKAGE_FLAG").alias("RATE"),
-              F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV")))
+              F.round(C.exact_sum("LOST_REVENUE"), 0).alias("LOST_REV")))
     return top_k(g, 10, D("LOST_REV"), A("SPECIALTY"))
 
 
 def f17_lost_by_referring_specialty(t, f):
     return (_lk(t, f).where(F.col("LEAKAGE_FLAG") == True)  # noqa: E712
             .groupBy(F.col("REFERRING_SPECIALTY").alias("SPECIALTY"))
-            .agg(F.round(C.sum_fixed("LOST_REVENUE"), 0).alias("LOST_REV"), _cnt("REFERRALS"))
+            .agg(F.round(C.exact_sum("LOST_REVENUE"), 0).alias("LOST_REV"), _cnt("REFERRALS"))
             .orderBy(D("LOST_REV"), A("SPECIALTY")))
 
 
@@ -278,7 +278,7 @@ def f20_referral_detail(t, f):
 
 # ---------------------------------------------------------------- 4 OR capacity
 def _util(digits=1):
-    return F.round(C.avg_fixed("UTILIZATION_PCT") * 100, digits)
+    return F.round(C.exact_avg("UTILIZATION_PCT") * 100, digits)
 
 
 def f21_or_kpis(t, f):
@@ -327,41 +327,41 @@ def f27_case_detail(t, f):
 # ---------------------------------------------------------------- 5 staffing
 def _rr(extra=None):
     cond = F.col("READMIT_RATE").isNotNull() if extra is None else extra & F.col("READMIT_RATE").isNotNull()
-    return F.round(C.avg_fixed(F.when(cond, F.col("READMIT_RATE")), 3) * 100, 1)
+    return F.round(C.exact_avg(F.when(cond, F.col("READMIT_RATE"))) * 100, 1)
 
 
 def f28_staffing_kpis(t, f):
     u = F.col("IS_UNDERSTAFFED")
     return _st(t, f).agg(
-        F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("AVG_HRS_PER_PATIENT"),
-        F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("AVG_OT_PCT"),
+        F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("AVG_HRS_PER_PATIENT"),
+        F.round(C.exact_avg("OT_PCT") * 100, 1).alias("AVG_OT_PCT"),
         F.round(C.safe_div(F.sum(C.flag01("IS_UNDERSTAFFED")), F.count(F.lit(1))) * 100, 1).alias("UNDERSTAFFED_DAY_PCT"),
         _rr(u).alias("READMIT_UNDERSTAFFED"), _rr(~u).alias("READMIT_ADEQUATE"))
 
 
 def f29_staffing_trend(t, f):
     return (_st(t, f).groupBy(F.col("SHIFT_MONTH").alias("MONTH"))
-            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _rr().alias("READMIT_RATE"))
+            .agg(F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _rr().alias("READMIT_RATE"))
             .orderBy(A("MONTH")))
 
 
 def f30_staffing_scatter(t, f):
     return (_st(t, f).where(F.col("READMIT_RATE").isNotNull()).groupBy("DEPT_NAME", "DEPT_TYPE")
-            .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _rr().alias("READMIT_RATE"),
+            .agg(F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _rr().alias("READMIT_RATE"),
                  F.sum("PATIENT_CENSUS").cast("long").alias("TOTAL_PATIENTS"), _cnt("_n"))
             .where(F.col("_n") >= 30).drop("_n"))
 
 
 def f31_ot_by_department(t, f):
     g = (_st(t, f).groupBy("DEPT_NAME")
-         .agg(F.round(C.avg_fixed("OT_PCT") * 100, 1).alias("OT_PCT"), _rr().alias("READMIT_RATE"), _cnt("_n"))
+         .agg(F.round(C.exact_avg("OT_PCT") * 100, 1).alias("OT_PCT"), _rr().alias("READMIT_RATE"), _cnt("_n"))
          .where(F.col("_n") >= 30).drop("_n"))
     return top_k(g, 12, D("OT_PCT"), A("DEPT_NAME"))
 
 
 def f32_department_weekday_matrix(t, f):
     cells = (_st(t, f).groupBy("DAY_OF_WEEK", "DEPT_NAME")
-             .agg(F.round(C.avg_fixed("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _cnt("_n"))
+             .agg(F.round(C.exact_avg("HRS_PER_PATIENT"), 1).alias("HRS_PER_PATIENT"), _cnt("_n"))
              .where(F.col("_n") >= 5).drop("_n"))
     return pivot.pivot_matrix(cells, ["DEPT_NAME"], "DAY_OF_WEEK", "HRS_PER_PATIENT", pivot.WEEKDAYS, how="avg")
 
@@ -380,43 +380,43 @@ def f33_department_day_detail(t, f):
 
 # ---------------------------------------------------------------- 6 finance
 def _margin():
-    rev, exp = C.sum_fixed("TOTAL_REVENUE"), C.sum_fixed("TOTAL_EXPENSE")
+    rev, exp = C.exact_sum("TOTAL_REVENUE"), C.exact_sum("TOTAL_EXPENSE")
     return F.round(C.safe_div(rev - exp, rev) * 100, 1)
 
 
 def f34_finance_kpis(t, f):
-    return _fn(t, f).agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
-                         C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"),
-                         F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("AVG_COST_CMI"),
-                         F.round(C.avg_fixed("LABOR_PCT") * 100, 1).alias("AVG_LABOR_PCT"))
+    return _fn(t, f).agg(C.millions(C.exact_sum("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
+                         C.millions(C.exact_sum("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"),
+                         F.round(C.exact_avg("COST_PER_CMI_DISCHARGE"), 0).alias("AVG_COST_CMI"),
+                         F.round(C.exact_avg("LABOR_PCT") * 100, 1).alias("AVG_LABOR_PCT"))
 
 
 def f35_finance_trend(t, f):
     return (_fn(t, f).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 2).alias("REVENUE_M"),
-                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 2).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
+            .agg(C.millions(C.exact_sum("TOTAL_REVENUE"), 2).alias("REVENUE_M"),
+                 C.millions(C.exact_sum("TOTAL_EXPENSE"), 2).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
             .orderBy(A("MONTH")))
 
 
 def f36_cost_breakdown(t, f):
     return (_fn(t, f).groupBy(F.col("PERIOD_DATE").alias("MONTH"))
-            .agg(C.millions(C.sum_fixed("LABOR_COST"), 2).alias("LABOR"), C.millions(C.sum_fixed("SUPPLY_COST"), 2).alias("SUPPLIES"),
-                 C.millions(C.sum_fixed("OVERHEAD_COST"), 2).alias("OVERHEAD"),
-                 C.millions(C.sum_fixed("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
+            .agg(C.millions(C.exact_sum("LABOR_COST"), 2).alias("LABOR"), C.millions(C.exact_sum("SUPPLY_COST"), 2).alias("SUPPLIES"),
+                 C.millions(C.exact_sum("OVERHEAD_COST"), 2).alias("OVERHEAD"),
+                 C.millions(C.exact_sum("DEPRECIATION_COST"), 2).alias("DEPRECIATION"))
             .orderBy(A("MONTH")))
 
 
 def f37_department_cost(t, f):
     g = (_fn(t, f).where(F.col("COST_PER_CMI_DISCHARGE").isNotNull()).groupBy("DEPT_NAME")
-         .agg(F.round(C.avg_fixed("COST_PER_CMI_DISCHARGE"), 0).alias("COST_PER_CMI"),
-              F.round(C.avg_fixed("OPERATING_MARGIN") * 100, 1).alias("MARGIN_PCT")))
+         .agg(F.round(C.exact_avg("COST_PER_CMI_DISCHARGE"), 0).alias("COST_PER_CMI"),
+              F.round(C.exact_avg("OPERATING_MARGIN") * 100, 1).alias("MARGIN_PCT")))
     return top_k(g, 12, D("COST_PER_CMI"), A("DEPT_NAME"))
 
 
 def f38_facility_margin(t, f):
     return (_fn(t, f).groupBy("FACILITY_NAME")
-            .agg(C.millions(C.sum_fixed("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
-                 C.millions(C.sum_fixed("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
+            .agg(C.millions(C.exact_sum("TOTAL_REVENUE"), 1).alias("REVENUE_M"),
+                 C.millions(C.exact_sum("TOTAL_EXPENSE"), 1).alias("EXPENSE_M"), _margin().alias("MARGIN_PCT"))
             .orderBy(D("MARGIN_PCT"), A("FACILITY_NAME")))
 
 
@@ -434,12 +434,12 @@ def f39_department_month_detail(t, f):
 
 # ---------------------------------------------------------------- 7 denials
 def _charges():
-    return F.round(C.sum_fixed("CHARGE_AMT"), 0)
+    return F.round(C.exact_sum("CHARGE_AMT"), 0)
 
 
 def f40_denials_kpis(t, f):
     return _dn(t, f).agg(_charges().alias("TOTAL_DENIED"), C.rate_pct("IS_APPEALED").alias("APPEAL_RATE"),
-                         F.round(C.sum_fixed("ESTIMATED_RECOVERY"), 0).alias("EST_RECOVERY"),
+                         F.round(C.exact_sum("ESTIMATED_RECOVERY"), 0).alias("EST_RECOVERY"),
                          F.round(F.avg("DAYS_TO_FILE"), 1).alias("AVG_DTF"),
                          C.rate_pct("IS_TIMELY_FILED").alias("TIMELY_PCT"), _cnt("TOTAL_CLAIMS"))
 

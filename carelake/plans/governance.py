@@ -30,7 +30,6 @@ ROW_POLICIES = {
     "fct_or_case": "FACILITY_ID",
 }
 UNRESTRICTED = (MK.ADMIN, MK.ENGINEER)
-MAX_BROADCAST_KEYS = 1_000_000
 
 
 def role_dept_access(t: Tables) -> DataFrame:
@@ -57,10 +56,6 @@ def row_access(df: DataFrame, key: str, role: str, access: DataFrame) -> DataFra
     if any(r in roles for r in UNRESTRICTED):
         return df
     allowed = access.where(F.col("ROLE_NAME").isin(sorted(roles))).select(F.col(key).alias("_k")).distinct()
-    # The allow-list is dimension-sized (roles x departments); broadcast it
-    # only after checking its size, else let Spark shuffle both sides.
-    if allowed.count() <= MAX_BROADCAST_KEYS:
-        allowed = F.broadcast(allowed)
     return df.join(allowed, df[key] == allowed["_k"], "left_semi")
 
 
@@ -82,37 +77,54 @@ def secure(df: DataFrame, role: str, t: Tables, table: str | None = None) -> Dat
     return mask_columns(df, role)
 
 
-# Tag vocabulary and column tagging (attached as StructField metadata).
+# G11, fixed values: the tag vocabulary, the patient columns' tags and the tables' tags.
 TAG_VALUES = {
-    "DATA_CLASSIFICATION": ["PHI", "PII", "CONFIDENTIAL", "INTERNAL", "PUBLIC"],
-    "PII_TYPE": ["SSN", "DOB", "NAME", "MRN", "PHONE", "EMAIL", "ADDRESS"],
+    "DATA_CLASSIFICATION": ["PHI", "PII", "FINANCIAL", "RESTRICTED", "INTERNAL", "PUBLIC"],
+    "PII_TYPE": ["SSN", "NAME", "DOB", "ADDRESS", "PHONE", "EMAIL", "MRN"],
+    "DATA_DOMAIN": ["CLINICAL", "CLAIMS", "FINANCIAL", "DEMOGRAPHIC", "OPERATIONS", "WORKFORCE", "REFERENCE"],
+    "RETENTION_POLICY": ["30_DAYS", "90_DAYS", "1_YEAR", "3_YEARS", "7_YEARS", "INDEFINITE"],
 }
 PATIENT_TAGS = {
     "SSN": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "SSN"},
     "DOB": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "DOB"},
-    "FIRST_NAME": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "NAME"},
-    "LAST_NAME": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "NAME"},
+    "FIRST_NAME": {"DATA_CLASSIFICATION": "PII", "PII_TYPE": "NAME"},
+    "LAST_NAME": {"DATA_CLASSIFICATION": "PII", "PII_TYPE": "NAME"},
     "MRN": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "MRN"},
     "PHONE": {"DATA_CLASSIFICATION": "PII", "PII_TYPE": "PHONE"},
     "EMAIL": {"DATA_CLASSIFICATION": "PII", "PII_TYPE": "EMAIL"},
+    "ADDRESS": {"DATA_CLASSIFICATION": "PII", "PII_TYPE": "ADDRESS"},
 }
+TABLE_TAGS = {
+    "DIM_PATIENT": {"DATA_DOMAIN": "DEMOGRAPHIC", "RETENTION_POLICY": "7_YEARS"},
+    "FCT_ENCOUNTER": {"DATA_DOMAIN": "CLINICAL", "RETENTION_POLICY": "7_YEARS"},
+    "FCT_CLAIM_LINE": {"DATA_DOMAIN": "CLAIMS", "RETENTION_POLICY": "7_YEARS"},
+    "FCT_REMITTANCE": {"DATA_DOMAIN": "FINANCIAL", "RETENTION_POLICY": "7_YEARS"},
+    "FCT_LABOR_HOUR": {"DATA_DOMAIN": "WORKFORCE", "RETENTION_POLICY": "3_YEARS"},
+    "FCT_SUPPLY_USAGE": {"DATA_DOMAIN": "OPERATIONS", "RETENTION_POLICY": "3_YEARS"},
+}
+
+
+def _check_tags(tags: dict[str, str]) -> None:
+    for k, v in tags.items():
+        if v not in TAG_VALUES.get(k, []):
+            raise ValueError(f"{v!r} is not an allowed value of tag {k}")
 
 
 def tag_columns(df: DataFrame, tags: dict[str, dict[str, str]]) -> DataFrame:
-    for col, kv in tags.items():
-        for k, v in kv.items():
-            if v not in TAG_VALUES.get(k, [v]):
-                raise ValueError(f"{v!r} is not an allowed value of tag {k}")
+    """``df`` with the tags of its columns as field metadata; tags of columns it lacks are left out."""
+    for kv in tags.values():
+        _check_tags(kv)
     return df.select(*[F.col(c).alias(c, metadata={"tags": tags[c]}) if c in tags else F.col(c) for c in df.columns])
 
 
-def tag_report(df: DataFrame, table: str) -> list[tuple[str, str, str, str]]:
-    """(table, column, tag, value) for every tagged field (schema only)."""
-    out = []
-    for f in df.schema.fields:
-        for k, v in (f.metadata or {}).get("tags", {}).items():
-            out.append((table, f.name, k, v))
-    return out
+def tag_report(df: DataFrame, table: str) -> DataFrame:
+    """TABLE_NAME, COLUMN_NAME (null: the table itself), TAG, VALUE: the table's tags and those of its
+    columns. Reads the schema only."""
+    own = TABLE_TAGS.get(table.upper(), {})
+    _check_tags(own)
+    rows = [(table, None, k, v) for k, v in own.items()]
+    rows += [(table, f.name, k, v) for f in df.schema.fields for k, v in (f.metadata or {}).get("tags", {}).items()]
+    return df.sparkSession.createDataFrame(rows, TAG_REPORT_SCHEMA)
 
 
 TAG_REPORT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("TABLE_NAME", "COLUMN_NAME", "TAG", "VALUE")])
@@ -130,14 +142,22 @@ def phi_demo_patients(t: Tables, role: str) -> DataFrame:
 
 
 def visible_rows_by_role(t: Tables, table: str) -> DataFrame:
-    """Rows each role sees in a policy-bearing fact (G8/G9 check)."""
-    fact = t.get(table)
-    parts = [secure(fact.select(ROW_POLICIES[table]), r, t, table).agg(F.count(F.lit(1)).alias("VISIBLE_ROWS"))
-             .select(F.lit(r).alias("ROLE_NAME"), "VISIBLE_ROWS") for r in MK.ROLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows each role sees in a policy-bearing fact (G8/G9 check): the fact is
+    counted once per key, the counts meet the roles that see the key, and
+    each role adds up its keys."""
+    key = ROW_POLICIES[table]
+    access = role_dept_access(t) if key == "DEPT_ID" else role_facility_access(t)
+    granted = [(r, g) for r in MK.ROLES for g in sorted(MK.roles_in_session(r))]
+    sessions = F.broadcast(t.spark.createDataFrame(granted, "SESSION_ROLE string, ROLE_NAME string"))  # fixed list
+    sees = (access.join(sessions, "ROLE_NAME").groupBy(F.col(key).alias("_k"))
+                  .agg(F.collect_set("SESSION_ROLE").alias("SEEN_BY")))  # at most every role
+    always = F.array(*[F.lit(r) for r in MK.ROLES if any(u in MK.roles_in_session(r) for u in UNRESTRICTED)])
+    counts = t.get(table).groupBy(key).agg(F.count(F.lit(1)).alias("N"))
+    seen = counts.join(sees, F.col(key) == F.col("_k"), "left").select(
+        F.explode(F.array_union(F.coalesce("SEEN_BY", F.array().cast("array<string>")), always)).alias("ROLE_NAME"), "N")
+    totals = seen.groupBy("ROLE_NAME").agg(F.sum("N").alias("N"))
+    roles = t.spark.createDataFrame([(r,) for r in MK.ROLES], "ROLE_NAME string")
+    return roles.join(totals, "ROLE_NAME", "left").select("ROLE_NAME", F.coalesce("N", F.lit(0)).alias("VISIBLE_ROWS"))
 
 
 def _role_query(role):
@@ -146,7 +166,7 @@ def _role_query(role):
     return q
 
 
-QUERIES = {f"q59_phi_demo_patients_{r.split('_', 1)[1].lower()}": _role_query(r) for r in MK.ROLES}
+QUERIES = {f"q59_phi_demo_patients_{r.lower()}": _role_query(r) for r in MK.ROLES}
 QUERIES["g08_encounter_rows_by_role"] = lambda t: visible_rows_by_role(t, "fct_encounter")
 QUERIES["g08_labor_rows_by_role"] = lambda t: visible_rows_by_role(t, "fct_labor_hour")
 QUERIES["g09_or_case_rows_by_role"] = lambda t: visible_rows_by_role(t, "fct_or_case")

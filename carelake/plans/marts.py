@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions import compat as C
-from carelake.operators.stay_days import expand_stay_days
+from carelake.operators import stay_days
 from carelake.sources.adapter import Tables
 
 IP_OBS = ["INPATIENT", "OBSERVATION"]
@@ -276,27 +276,42 @@ def labor_daily(t: Tables) -> DataFrame:
 
 def census_daily(t: Tables) -> DataFrame:
     """Occupancy per (dept, facility, date): an encounter counts on every
-    calendar day of its stay inside the census window (J4 rewrite)."""
+    calendar day of its stay inside the census window (J4 rewrite).
+
+    Each stay is two changes (first day, day after the last) and the levels
+    per day are running sums, so the shuffles carry a few rows per stay, not
+    one per stay-day. PATIENT_CENSUS and ADMITS are distinct encounters: the
+    stays of an encounter are merged first, so one that is loaded twice counts
+    once. The averages are over rows."""
     prof = t.profile
     # The spine is the calendar dimension restricted to the window.
     lo = max(prof.census_start, prof.calendar_start)
     hi = min(prof.census_end, prof.calendar_end)
+    keys = ["DEPT_ID", "FACILITY_ID"]
     e = (t.get("fct_encounter").where(F.col("ENCOUNTER_TYPE").isin(IP_OBS))
-          .select("ENCOUNTER_ID", "DEPT_ID", "FACILITY_ID", "ADMIT_DATE", "DISCHARGE_DATE",
-                  "LOS_DAYS", "EXPECTED_LOS"))
-    days = expand_stay_days(e, "ADMIT_DATE", "DISCHARGE_DATE", lo, hi, out_col="CENSUS_DATE")
-    # ENCOUNTER_ID is the fact's primary key (checked by D14), so after the
-    # expansion (encounter, day) is unique and COUNT(DISTINCT encounter) per
-    # day equals COUNT(*): the aggregate combines map-side and the shuffle
-    # carries one row per (dept, facility, day) per task, not per stay-day.
-    return (days.groupBy("DEPT_ID", "FACILITY_ID", "CENSUS_DATE")
-                .agg(F.count(F.lit(1)).alias("PATIENT_CENSUS"),
-                     F.count_if(F.col("ADMIT_DATE") == F.col("CENSUS_DATE")).alias("ADMITS"),
-                     F.avg("LOS_DAYS").alias("AVG_LOS_DAYS"),
-                     # Average of ratios as a 1e-9 fixed-point sum: independent of
-                     # the order partial sums are combined in.
-                     C.avg_fixed(F.when(F.col("EXPECTED_LOS") > 0,
-                                        F.col("LOS_DAYS") / F.col("EXPECTED_LOS")), 9).alias("AVG_LOS_INDEX")))
+          .select("ENCOUNTER_ID", *keys, "ADMIT_DATE", "DISCHARGE_DATE", "LOS_DAYS", "EXPECTED_LOS"))
+    stays = stay_days.clip_stays(e, "ADMIT_DATE", "DISCHARGE_DATE", lo, hi)
+    index = F.when(F.col("EXPECTED_LOS") > 0, (F.col("LOS_DAYS") / F.col("EXPECTED_LOS")).cast("decimal(28,9)"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    known = F.col("ENCOUNTER_ID").isNotNull()
+    by_encounter = stay_days.merge_stays(stays.where(known), [*keys, "ENCOUNTER_ID"])
+    rows = stay_days.changes(stays, keys, {
+        "ROW_N": one, "LOS": F.coalesce(F.col("LOS_DAYS").cast("long"), none),
+        "LOS_N": F.col("LOS_DAYS").isNotNull().cast("long"),
+        "IDX": F.coalesce(index, F.lit(0).cast("decimal(28,9)")), "IDX_N": index.isNotNull().cast("long")})
+    heads = stay_days.changes(by_encounter, keys, {"PATIENT_CENSUS": one})
+    events = rows.unionByName(heads, allowMissingColumns=True)
+    levels = stay_days.daily_levels(events, keys, ["ROW_N", "PATIENT_CENSUS", "LOS", "LOS_N", "IDX", "IDX_N"], "CENSUS_DATE")
+    admits = (stays.where(known & (F.col("ADMIT_DATE").cast("date") == F.col("_s")))
+                   .select(*keys, F.col("_s").alias("CENSUS_DATE"), "ENCOUNTER_ID").distinct()
+                   .groupBy(*keys, "CENSUS_DATE").agg(F.count(F.lit(1)).alias("ADMITS")).alias("a"))
+    lv = levels.alias("lv")
+    same = [F.col(f"lv.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys] + [F.col("lv.CENSUS_DATE") == F.col("a.CENSUS_DATE")]
+    return lv.join(admits, same, "left").select(
+        *[F.col(f"lv.{k}").alias(k) for k in keys], F.col("lv.CENSUS_DATE").alias("CENSUS_DATE"),
+        F.coalesce("PATIENT_CENSUS", none).alias("PATIENT_CENSUS"), F.coalesce("ADMITS", none).alias("ADMITS"),
+        F.when(F.col("LOS_N") > 0, F.col("LOS") / F.col("LOS_N")).alias("AVG_LOS_DAYS"),
+        F.when(F.col("IDX_N") > 0, F.col("IDX").cast("double") / F.col("IDX_N")).alias("AVG_LOS_INDEX"))
 
 
 def discharge_daily(t: Tables) -> DataFrame:
@@ -412,7 +427,7 @@ def gl_monthly(t: Tables) -> DataFrame:
     gl = t.get("fct_gl_transaction").where(F.col("DEPT_ID").isNotNull())
     cats = {"REVENUE": "TOTAL_REVENUE", **GL_COST_COLUMNS}
     return (gl.groupBy("DEPT_ID", "FACILITY_ID", "FISCAL_YEAR", "FISCAL_PERIOD")
-              .agg(*[C.sum_fixed(F.when(F.col("CATEGORY") == k, F.col("AMOUNT")).otherwise(F.lit(0.0)), 2).alias(v)
+              .agg(*[C.exact_sum(F.when(F.col("CATEGORY") == k, F.col("AMOUNT")).otherwise(F.lit(0.0))).alias(v)
                      for k, v in cats.items()]))
 
 
@@ -425,7 +440,7 @@ def volume_monthly(t: Tables) -> DataFrame:
                       F.month("e.DISCHARGE_DATE").alias("FISCAL_PERIOD"))
              .agg(F.count(F.lit(1)).alias("DISCHARGES"),
                   F.sum("e.LOS_DAYS").cast("long").alias("PATIENT_DAYS"),
-                  C.sum_fixed(F.coalesce(F.col("drg.WEIGHT"), F.lit(1.0)), 1).alias("CMI_ADJUSTED_DISCHARGES")))
+                  C.exact_sum(F.coalesce(F.col("drg.WEIGHT"), F.lit(1.0))).alias("CMI_ADJUSTED_DISCHARGES")))
 
 
 def financial_performance(t: Tables) -> DataFrame:

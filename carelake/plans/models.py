@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from carelake.operators import control_chart, drivers, pivot, timeseries
 from carelake.plans import dashboards as Qd
 from carelake.plans import features as V
-from carelake.sources.adapter import Tables
+from carelake.sources.adapter import SPECIALTIES, Tables
 
 A, D = F.asc_nulls_last, F.desc_nulls_first
 
@@ -32,7 +32,7 @@ def _run_ts(t: Tables):
 def pred_encounter_volume(t: Tables) -> DataFrame:
     """L1: 90-day forecast of daily encounters per type."""
     f = timeseries.weekday_forecast(V.daily_encounter_volume(t), "ENCOUNTER_TYPE", "TS", "ENCOUNTER_COUNT",
-                                    t.profile.forecast_days, t.profile.forecast_history_days)
+                                    t.profile.forecast_days)
     return f.select(F.col("SERIES").alias("ENCOUNTER_TYPE"), F.col("TS").alias("FORECAST_DATE"),
                     F.round("FORECAST", 0).alias("FORECAST_COUNT"), F.round("LOWER", 0).alias("LOWER_BOUND"),
                     F.round("UPPER", 0).alias("UPPER_BOUND"), _run_ts(t).alias("MODEL_RUN_TS"))
@@ -56,14 +56,14 @@ def pred_denial_anomalies(t: Tables) -> DataFrame:
 def pred_readmission_drivers(t: Tables) -> DataFrame:
     """L3."""
     return drivers.key_drivers(V.readmission_drivers_input(t), "READMIT_METRIC", "LABEL",
-                               V.READMISSION_DIMS, t.profile.driver_min_support)
+                               V.READMISSION_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
 
 
 @materializable
 def pred_leakage_drivers(t: Tables) -> DataFrame:
     """L4."""
     return drivers.key_drivers(V.leakage_drivers_input(t), "LEAKAGE_METRIC", "LABEL",
-                               V.LEAKAGE_DIMS, t.profile.driver_min_support)
+                               V.LEAKAGE_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
 
 
 PREDICTION_TABLES = {
@@ -159,7 +159,7 @@ def k1_readmit_control_chart(t):
 
 
 def k2_readmit_facility_specialty_matrix(t):
-    return pivot.pivot_matrix(Qd.q22_readmit_fs_heatmap(t), ["FACILITY_NAME"], "SPECIALTY", "RATE")
+    return pivot.pivot_matrix(Qd.q22_readmit_fs_heatmap(t), ["FACILITY_NAME"], "SPECIALTY", "RATE", SPECIALTIES)
 
 
 def k3_or_block_weekday_matrix(t):

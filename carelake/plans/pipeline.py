@@ -71,6 +71,8 @@ class Refresh:
             k = max(1, n // 8)
             month, key = layout
             df = df.repartition(n, F.col(month), F.pmod(F.xxhash64(key), F.lit(k)))
+        if name in MARTS:
+            df = sinks.with_audit(df)
         p = sinks.write_version(df, self.path(name), self.run_id, partition_by=layout[0] if layout else None)
         # Row count from the written files (parquet footers), not a recompute.
         return self.spark.read.parquet(p).count()
@@ -80,7 +82,7 @@ class Refresh:
         try:
             rows = fn()
         except Exception as e:  # noqa: BLE001 - the log records the failure, then re-raises
-            self.log(task, "FAILURE", None, time.time() - t0, str(e)[:2000])
+            self.log(task, "FAILURE", None, time.time() - t0, str(e))
             raise
         self.log(task, "SUCCESS", rows, time.time() - t0)
         return rows

@@ -11,6 +11,7 @@ shared dimensions (never fact-to-fact).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -105,21 +106,21 @@ def _pct(flag: str) -> Column:
 # Metrics, name -> (table, aggregate builder).
 METRICS: dict[str, tuple[str, Callable[[], Column]]] = {
     "READMISSION_RATE": ("readmissions", lambda: _pct("READMIT_30_FLAG")),
-    "AVG_LOS_INDEX": ("readmissions", lambda: C.avg_fixed("LOS_INDEX")),
+    "AVG_LOS_INDEX": ("readmissions", lambda: C.exact_avg("LOS_INDEX")),
     "LONG_STAY_PCT": ("readmissions", lambda: _pct("IS_LONG_STAY")),
     "ENCOUNTER_COUNT": ("readmissions", lambda: F.count("ENCOUNTER_ID")),
-    "AVG_COST_PER_DAY": ("readmissions", lambda: C.avg_fixed("COST_PER_DAY")),
-    "TOTAL_NET_REVENUE": ("readmissions", lambda: C.sum_fixed("NET_REVENUE")),
+    "AVG_COST_PER_DAY": ("readmissions", lambda: C.exact_avg("COST_PER_DAY")),
+    "TOTAL_NET_REVENUE": ("readmissions", lambda: C.exact_sum("NET_REVENUE")),
     "LEAKAGE_RATE": ("leakage", lambda: _pct("LEAKAGE_FLAG")),
-    "TOTAL_LOST_REVENUE": ("leakage", lambda: C.sum_fixed("LOST_REVENUE")),
+    "TOTAL_LOST_REVENUE": ("leakage", lambda: C.exact_sum("LOST_REVENUE")),
     "REFERRAL_COUNT": ("leakage", lambda: F.count("REFERRAL_ID")),
     "HIGH_VALUE_LEAK_COUNT": ("leakage", lambda: F.sum(F.when(F.col("LEAKAGE_FLAG") & F.col("IS_HIGH_VALUE"), 1)
                                                        .otherwise(0)).cast("long")),
-    "AVG_UTILIZATION": ("or_cases", lambda: C.avg_fixed("UTILIZATION_PCT") * 100),
+    "AVG_UTILIZATION": ("or_cases", lambda: C.exact_avg("UTILIZATION_PCT") * 100),
     "FIRST_CASE_ON_TIME_PCT": ("or_cases", lambda: _pct("FIRST_CASE_ON_TIME")),
     "AVG_DELAY_MINUTES": ("or_cases", lambda: F.avg("DELAY_MINUTES")),
     "CASE_COUNT": ("or_cases", lambda: F.count("CASE_ID")),
-    "TOTAL_DENIED_CHARGES": ("denials", lambda: C.sum_fixed("CHARGE_AMT")),
+    "TOTAL_DENIED_CHARGES": ("denials", lambda: C.exact_sum("CHARGE_AMT")),
     "APPEAL_RATE": ("denials", lambda: _pct("IS_APPEALED")),
     "TIMELY_FILING_PCT": ("denials", lambda: _pct("IS_TIMELY_FILED")),
     "DENIED_CLAIM_COUNT": ("denials", lambda: F.count("CLAIM_LINE_SK")),
@@ -175,11 +176,29 @@ def metric_query(t: Tables, metrics: list[str], dims: list[str], where: Column |
     out = parts[0]
     names = [sem for _, sem, _ in resolved]
     for p in parts[1:]:
-        out = out.join(p, names, "full") if names else out.join(p)
+        if not names:
+            out = out.join(p)  # one row each
+            continue
+        # the null group of one base is the null group of the other
+        p = p.withColumnsRenamed({n: f"_{n}" for n in names})
+        same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+        j = out.join(p, same, "full")
+        out = j.select(*[F.coalesce(n, f"_{n}").alias(n) for n in names],
+                       *[c for c in j.columns if c not in names and c not in [f"_{n}" for n in names]])
     return out
 
 
 QUERIES = {
+    "x6_denials_and_cases_by_readmit_payer": lambda t: metric_query(
+        t, ["TOTAL_DENIED_CHARGES", "DENIED_CLAIM_COUNT", "CASE_COUNT"], ["readmissions.READMIT_PAYER_TYPE"]).select(
+        "READMIT_PAYER_TYPE", F.round("TOTAL_DENIED_CHARGES", 2).alias("TOTAL_DENIED_CHARGES"),
+        "DENIED_CLAIM_COUNT", "CASE_COUNT"),
+    "x6_cost_and_revenue_by_payer": lambda t: metric_query(
+        t, ["AVG_COST_PER_DAY", "TOTAL_NET_REVENUE"], ["readmissions.READMIT_PAYER_TYPE"]).select(
+        "READMIT_PAYER_TYPE", F.round("AVG_COST_PER_DAY", 4).alias("AVG_COST_PER_DAY"),
+        F.round("TOTAL_NET_REVENUE", 2).alias("TOTAL_NET_REVENUE")),
+    "x6_timely_filing": lambda t: metric_query(t, ["TIMELY_FILING_PCT", "DENIED_CLAIM_COUNT"], []).select(
+        F.round("TIMELY_FILING_PCT", 4).alias("TIMELY_FILING_PCT"), "DENIED_CLAIM_COUNT"),
     "x6_readmission_metrics_by_facility": lambda t: metric_query(
         t, ["READMISSION_RATE", "AVG_LOS_INDEX", "LONG_STAY_PCT", "ENCOUNTER_COUNT"], ["READMIT_FACILITY"]).select(
         "READMIT_FACILITY", F.round("READMISSION_RATE", 4).alias("READMISSION_RATE"),

@@ -1,10 +1,10 @@
-"""SparkSession construction and lineage-cutting helpers."""
+"""SparkSession construction."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC so dates and NTZ timestamps never shift,
 # AQE so join strategy / partition count / skew splits are chosen at runtime.
@@ -33,25 +33,4 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = builder.config("spark.driver.memory", os.environ.get("CARELAKE_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/carelake-checkpoints") -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``
-    when set (it is a static setting, read, never overwritten); otherwise the
-    context's checkpoint dir, or ``fallback`` for local tests."""
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        d = fallback
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d.rstrip("/")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor
-    loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -13,8 +13,6 @@ Every derivation is integer/float arithmetic on keys so the DuckDB oracle
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +54,9 @@ def pick(values: list, idx: Column) -> Column:
 
 
 def lpad_num(c: Column, n: int) -> Column:
-    return F.lpad(c.cast("string"), n, "0")
+    """At least ``n`` digits: longer numbers stay whole (``lpad`` alone would cut them)."""
+    s = c.cast("string")
+    return F.lpad(s, F.greatest(F.lit(n), F.length(s)), F.lit("0"))
 
 
 def facility_id(region_key: Column) -> Column:
@@ -76,19 +76,13 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 LINE_NATURAL_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def duplicate_rank() -> Column:
-    """1-based rank among lines sharing (order, line, part, supplier): 1 for
-    all but exact repeats. Partitioned by the whole natural key, so a hot
-    order spreads over many partitions."""
-    rest = [c for c in LINE_ORDER if c not in LINE_NATURAL_KEY]
-    return F.row_number().over(Window.partitionBy(*LINE_NATURAL_KEY).orderBy(*rest))
-
-
-def line_position() -> Column:
-    """1-based position of a line inside its order. The window is
-    partitioned by the order key, so after a join on that key it reuses the
-    join's hash partitioning instead of adding an exchange."""
-    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+def duplicate_rank(*also: str) -> Column:
+    """1-based rank among lines sharing (order, line, part, supplier) and the
+    columns ``also``: 1 for all but exact repeats. Partitioned by the whole
+    natural key, so a hot order spreads over many partitions, and a filter on
+    one of these columns is pushed below the window."""
+    keys = [*LINE_NATURAL_KEY, *also]
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in LINE_ORDER if c not in keys]))
 
 
 class Tables:
@@ -106,6 +100,7 @@ class Tables:
         # mart name -> DataFrame over a written table (set by the refresh
         # pipeline); queries then read the table instead of rebuilding it.
         self.materialized = dict(materialized or {})
+        self._built: dict[str, DataFrame] = {}
 
     def mart(self, name: str) -> DataFrame:
         if name in self.materialized:
@@ -210,7 +205,7 @@ class Tables:
             code.alias("DRG_CODE"),
             F.concat(F.lit("DRG "), code).alias("DESCRIPTION"),
             F.concat(F.lit("MDC "), (sk % 5 + 1).cast("string")).alias("MDC_DESCRIPTION"),
-            ((sk + 5).cast("double") / 10).alias("WEIGHT"),
+            ((sk * 1789 % 24000 + 5001).cast("double") / 10000).alias("WEIGHT"),
             F.when(sk % 12 != 0, (sk % 7 + 1).cast("double")).alias("GEOMETRIC_LOS"),
         )
 
@@ -258,16 +253,15 @@ class Tables:
         return self._with_dept(base, F.col("_nation")).drop("_nation", "DEPT_ID")
 
     def fct_claim_line(self) -> DataFrame:
-        li = self.raw("lineitem")
+        # Key: the line's natural columns, its return flag (the denial filter,
+        # which so passes the window) and a rank among exact repeats.
+        li = self.raw("lineitem").withColumn("_dup", duplicate_rank("l_returnflag"))
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-        # Surrogate key: order key x 65536 + position of the line inside its
-        # order. The window is partitioned by the join key, so it reuses the
-        # join's hash partitioning (no extra exchange).
-        pos = line_position()
         denied = F.col("l_returnflag") == "R"
         return j.select(
-            (F.col("l_orderkey") * 65536 + pos).alias("CLAIM_LINE_SK"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in (*LINE_NATURAL_KEY, "l_returnflag", "_dup")])
+             .alias("CLAIM_LINE_SK"),
             F.concat(F.lit("CLM-"), F.col("l_orderkey").cast("string")).alias("CLAIM_ID"),
             F.col("l_linenumber").alias("LINE_NUMBER"),
             F.concat(F.lit("ENC-"), F.col("l_orderkey").cast("string")).alias("ENCOUNTER_ID"),
@@ -305,7 +299,7 @@ class Tables:
             start.alias("ACTUAL_START"),
             F.when(ok % 53 != 0, F.timestamp_add("MINUTE", case_min.cast("long"), start)).alias("ACTUAL_END"),
             pick(BLOCKS, pk).alias("BLOCK_NAME"),
-            F.when(pk % 97 == 0, F.lit(0.0)).otherwise(F.lit(240.0)).alias("BLOCK_MINUTES"),
+            F.when(pk % 97 == 0, F.lit(0.0)).when(pk % 6 == 5, F.lit(360.0)).otherwise(F.lit(240.0)).alias("BLOCK_MINUTES"),
             case_min.alias("CASE_MINUTES"),
             (ln * 5 + 15).cast("double").alias("TURNOVER_MINUTES"),
             (ok % 61 <= 15).alias("FIRST_CASE_ON_TIME"),
@@ -343,6 +337,7 @@ class Tables:
         return self._with_dept(base, F.col("_nation")).drop("_nation")
 
     # -- cached accessor ----------------------------------------------------
-    @functools.cache  # noqa: B019 - one Tables per (session, dir)
     def get(self, name: str) -> DataFrame:
-        return getattr(self, name)()
+        if name not in self._built:
+            self._built[name] = getattr(self, name)()
+        return self._built[name]

@@ -30,11 +30,23 @@ def write_version(df: DataFrame, table_root: str, version: str | None = None,
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    fs, cur = _fs(spark, f"{table_root.rstrip('/')}/_CURRENT")
-    out = fs.create(cur, True)
+    _point_to(spark, table_root.rstrip("/"), version)
+    return path
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Writes the pointer beside the old one and renames it over that, so a
+    reader finds either the old or the new version, never an empty file."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, new = _fs(spark, f"{root}/_CURRENT.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    return path
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    cur = jvm.org.apache.hadoop.fs.Path(f"{root}/_CURRENT")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(cur).toUri(), hadoop).rename(
+        fs.makeQualified(new), fs.makeQualified(cur), replace)
 
 
 def current_path(spark: SparkSession, table_root: str) -> str | None:

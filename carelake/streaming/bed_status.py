@@ -5,20 +5,19 @@ derives anything from it. The Spark form is an incremental ingest into the
 FCT_BED_STATUS shape: ``readStream`` with a fixed schema (files arriving in
 the landing folder are picked up exactly once, tracked by the checkpoint),
 derived key columns, the default-filled load timestamp, and an append-only
-Parquet sink. The checkpoint lives in the shared folder the session names in
-``spark.checkpoint.dir``, so a restarted query (or a lost executor) resumes
-from the last committed batch.
+Parquet sink. The checkpoints live in a shared folder that the caller names,
+so a restarted query (or a lost executor) resumes from the last committed
+batch. Events that the fact's DDL refuses land in a table of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from carelake.functions import compat as C
-from carelake.session import ensure_checkpoint_dir
 
 # Event payload as it lands (IoT / RTLS).
 EVENT_SCHEMA = T.StructType([
@@ -34,16 +33,31 @@ EVENT_SCHEMA = T.StructType([
 STATUSES = ["OCCUPIED", "VACANT_CLEAN", "VACANT_DIRTY", "MAINTENANCE", "BLOCKED"]
 
 
+REQUIRED = ["BED_ID", "FACILITY_ID", "DEPT_ID", "STATUS", "STATUS_START"]
+
+
+def reject_reason() -> Column:
+    """Why the fact's DDL refuses an event; null if it doesn't."""
+    why = F.when(~F.col("STATUS").isin(STATUSES), F.lit("unknown STATUS"))
+    for c in reversed(REQUIRED):
+        why = F.when(F.col(c).isNull(), F.lit(f"{c} is null")).otherwise(why)
+    return why
+
+
+def to_rejected(events: DataFrame) -> DataFrame:
+    """The events that ``to_fact`` leaves out, with REJECT_REASON."""
+    return events.withColumn("REJECT_REASON", reject_reason()).where(F.col("REJECT_REASON").isNotNull()) \
+                 .withColumn("_LOADED_AT", F.current_timestamp())
+
+
 def to_fact(events: DataFrame) -> DataFrame:
     """Event rows -> FCT_BED_STATUS columns. Rows missing a NOT NULL column or
-    carrying an unknown status are dropped by the filter (the DDL rejects
-    them). The surrogate key is a hash of the natural key (S8: no global
-    numbering on a stream)."""
-    ok = (F.col("BED_ID").isNotNull() & F.col("FACILITY_ID").isNotNull() & F.col("DEPT_ID").isNotNull()
-          & F.col("STATUS").isin(STATUSES) & F.col("STATUS_START").isNotNull())
+    carrying an unknown status go to ``to_rejected``. The surrogate key is the
+    SHA-256 of the natural key (S8: no global numbering on a stream)."""
+    ok = reject_reason().isNull()
     dwell = C.minutes_between("STATUS_START", "STATUS_END").cast("double")
     return events.where(ok).select(
-        F.xxhash64("BED_ID", "STATUS_START", "STATUS").alias("BED_STATUS_SK"),
+        F.sha2(F.concat_ws("|", "BED_ID", F.col("STATUS_START").cast("string"), "STATUS"), 256).alias("BED_STATUS_SK"),
         "BED_ID", "FACILITY_ID", "DEPT_ID", "STATUS", "STATUS_START", "STATUS_END",
         dwell.alias("DWELL_TIME_MIN"),
         "PATIENT_SK",
@@ -59,12 +73,18 @@ def read_events(spark: SparkSession, landing: str, max_files_per_trigger: int |
     return reader.json(landing)
 
 
-def start_ingest(spark: SparkSession, landing: str, table_path: str, name: str = "bed_status_ingest",
-                 available_now: bool = True, checkpoint_root: str | None = None) -> StreamingQuery:
-    """Start the ingest. ``available_now`` processes what has landed and stops
-    (a scheduled batch); otherwise it runs continuously every minute."""
-    ckpt = f"{(checkpoint_root or ensure_checkpoint_dir(spark)).rstrip('/')}/{name}"
-    w = (to_fact(read_events(spark, landing)).writeStream.format("parquet")
-         .option("path", table_path).option("checkpointLocation", ckpt).outputMode("append").queryName(name))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+def start_ingest(spark: SparkSession, landing: str, table_path: str, rejected_path: str, checkpoint_root: str,
+                 name: str = "bed_status_ingest", available_now: bool = True) -> list[StreamingQuery]:
+    """Start the ingest: the fact rows and the rejected rows, each a query with
+    its own checkpoint below ``checkpoint_root`` (a folder all executors share).
+    ``available_now`` processes what has landed and stops (a scheduled batch);
+    otherwise they run continuously every minute."""
+    if not checkpoint_root:
+        raise ValueError("checkpoint_root must name a shared folder")
+    out = []
+    for part, rows, path in (("fact", to_fact, table_path), ("rejected", to_rejected, rejected_path)):
+        w = (rows(read_events(spark, landing)).writeStream.format("parquet").option("path", path)
+             .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/{name}-{part}")
+             .outputMode("append").queryName(f"{name}_{part}"))
+        out.append((w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start())
+    return out

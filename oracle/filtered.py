@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from carelake.config import TESTDATA as P
-from carelake.plans.filtered import PAGE_FILTERS, PAGE_OF, Filter
+from carelake.plans.filtered import PAGE_OF
+
+
+class Page(NamedTuple):
+    facility: str | None
+    lists: dict
+    start: str = "1996-01-01"
+    end: str = "2000-12-31"
+
+
+# what the registered page queries are asked for; no list, no condition
+PAGES = {
+    "provider360": Page("AMERICA", {}),
+    "readmission": Page("AMERICA", {"ENCOUNTER_TYPE": ["INPATIENT"], "PAYER_TYPE": ["MEDICARE", "MEDICAID", "COMMERCIAL"]}),
+    "leakage": Page("AMERICA", {"REFERRED_TO_SPECIALTY": ["Cardiology", "Oncology", "Neurology"]}),
+    "or": Page("AMERICA", {"BLOCK_NAME": ["A", "B", "C"], "CASE_DAY_OF_WEEK": ["Mon", "Tue", "Wed", "Thu", "Fri"]}),
+    "staffing": Page("AMERICA", {"DEPT_TYPE": ["INPATIENT", "ICU", "ED"]}),
+    "finance": Page("AMERICA", {"FACILITY_NAME": ["AMERICA", "ASIA"]}),
+    "denials": Page(None, {"PAYER_TYPE": ["MEDICARE", "COMMERCIAL"], "CPT_CATEGORY": ["ECONOMY", "PROMO"]}),
+}
 
 
-def where(f: Filter, date_col: str, facility_col: str | None = "FACILITY_NAME") -> str:
+def where(f: Page, date_col: str, facility_col: str | None = "FACILITY_NAME") -> str:
     cs = [f"{date_col} BETWEEN DATE '{f.start}' AND DATE '{f.end}'"]
     if facility_col and f.facility is not None:
         cs.append(f"{facility_col} = '{f.facility}'")
-    for c, vals in f.lists:
-        if vals:
-            cs.append(f"{c} IN (" + ", ".join(f"'{v}'" for v in vals) + ")")
+    for c, vals in f.lists.items():
+        cs.append(f"{c} IN (" + ", ".join(f"'{v}'" for v in vals) + ")")
     return " AND ".join(cs)
 
 
@@ -25,7 +45,7 @@ def fsum(flag):
 
 
 def _f(key):
-    return PAGE_FILTERS[PAGE_OF[key]]
+    return PAGES[PAGE_OF[key]]
 
 
 def rm(key):

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from carelake.config import TESTDATA as P
-from carelake.functions import masking as MK
-from carelake.plans import alerts as AL
-from carelake.plans import governance as G
-from carelake.plans import quality as DQ
 
 EXTRA_CTES: dict[str, str] = {}
 Q: dict[str, str] = {}
 
 # ---------------------------------------------------------------- governance
-_fin_depts = ", ".join(f"('{MK.FINANCE}', '{d}')" for d in G.FINANCE_DEPTS)
-_fin_facs = ", ".join(f"('{MK.FINANCE}', '{f}')" for f in G.FINANCE_FACILITIES)
-_all_roles = ", ".join(f"('{r}')" for r in G.ALL_SCOPE_ROLES)
+# role -> the roles that are active in its session
+SESSIONS = {
+    "ADMIN": ["ADMIN", "ENGINEER", "ANALYST", "CLINICIAN", "FINANCE", "EXEC"], "ENGINEER": ["ENGINEER"], "ANALYST": ["ANALYST"],
+    "CLINICIAN": ["CLINICIAN"], "FINANCE": ["FINANCE"], "EXEC": ["EXEC"],
+}
+SEES_ALL_ROWS = ["ADMIN", "ENGINEER"]
+ROW_KEYS = {"fct_encounter": "DEPT_ID", "fct_labor_hour": "DEPT_ID", "fct_or_case": "FACILITY_ID"}
+_fin_depts = ", ".join(f"('FINANCE', 'DEPT-{d:03}')" for d in (4, 5, 11, 19, 24))
+_fin_facs = ", ".join(f"('FINANCE', 'FAC-{f:03}')" for f in (1, 2, 3))
+_all_roles = "('CLINICIAN'), ('ANALYST'), ('EXEC')"
 EXTRA_CTES["role_dept_access"] = (
     f"SELECT r.ROLE_NAME, d.DEPT_ID FROM dim_department d CROSS JOIN (VALUES {_all_roles}) r(ROLE_NAME) "
     f"UNION ALL SELECT * FROM (VALUES {_fin_depts}) v(ROLE_NAME, DEPT_ID)")
@@ -24,21 +27,21 @@ EXTRA_CTES["role_facility_access"] = (
 
 
 def _in(role: str, *wanted: str) -> bool:
-    return any(w in MK.roles_in_session(role) for w in wanted)
+    return any(w in SESSIONS[role] for w in wanted)
 
 
 def _masked(role: str) -> str:
-    full = _in(role, MK.ADMIN, MK.CLINICIAN, MK.ENGINEER)
+    full = _in(role, "ADMIN", "CLINICIAN", "ENGINEER")
     name = "{c}" if full else "'PATIENT_' || left(sha256({c}), 8)"
-    if _in(role, MK.ADMIN):
+    if _in(role, "ADMIN"):
         ssn = "SSN"
-    elif _in(role, MK.CLINICIAN, MK.ENGINEER):
+    elif _in(role, "CLINICIAN", "ENGINEER"):
         ssn = "'XXX-XX-' || right(SSN, 4)"
     else:
         ssn = "'***-**-****'"
     if full:
         phone = "PHONE"
-    elif _in(role, MK.ANALYST):
+    elif _in(role, "ANALYST"):
         phone = "'(***) ***-' || right(PHONE, 4)"
     else:
         phone = "'**********'"
@@ -56,20 +59,20 @@ def _masked(role: str) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in cols)
 
 
-for _r in MK.ROLES:
-    Q[f"q59_phi_demo_patients_{_r.split('_', 1)[1].lower()}"] = (
+for _r in SESSIONS:
+    Q[f"q59_phi_demo_patients_{_r.lower()}"] = (
         f"SELECT {_masked(_r)} FROM (SELECT * FROM dim_patient WHERE IS_ACTIVE = TRUE ORDER BY PATIENT_SK LIMIT 25)")
 
 
 def _visible(table: str) -> str:
-    key = G.ROW_POLICIES[table]
+    key = ROW_KEYS[table]
     amap = "role_dept_access" if key == "DEPT_ID" else "role_facility_access"
     parts = []
-    for r in MK.ROLES:
-        if _in(r, *G.UNRESTRICTED):
+    for r in SESSIONS:
+        if r in SEES_ALL_ROWS:
             parts.append(f"SELECT '{r}' AS ROLE_NAME, count(*) AS VISIBLE_ROWS FROM {table}")
         else:
-            roles = ", ".join(f"'{x}'" for x in sorted(MK.roles_in_session(r)))
+            roles = ", ".join(f"'{x}'" for x in SESSIONS[r])
             parts.append(f"SELECT '{r}' AS ROLE_NAME, count(*) AS VISIBLE_ROWS FROM {table} t WHERE EXISTS "
                          f"(SELECT 1 FROM {amap} a WHERE a.{key} = t.{key} AND a.ROLE_NAME IN ({roles}))")
     return " UNION ALL ".join(parts)
@@ -82,12 +85,17 @@ Q["g10_role_dept_access"] = "SELECT * FROM role_dept_access"
 Q["g10_role_facility_access"] = "SELECT * FROM role_facility_access"
 
 # ---------------------------------------------------------------- quality
+# pass from, to; warn from, to
+BANDS = {"METRIC_READMISSION_RATE": (5, 25, 3, 30), "METRIC_LEAKAGE_RATE": (5, 30, 2, 40), "METRIC_OR_UTILIZATION": (60, 95, 40, 100)}
+KEYS = {"MART_PATIENT_LEAKAGE": ["REFERRAL_ID"], "MART_READMISSION_LOS": ["ENCOUNTER_ID"], "MART_OR_CAPACITY": ["CASE_ID"],
+        "MART_DENIALS_REVCYCLE": ["CLAIM_LINE_SK"], "MART_STAFFING_QUALITY": ["DEPT_ID", "SHIFT_DATE"],
+        "MART_FINANCIAL_PERFORMANCE": ["DEPT_ID", "FISCAL_YEAR", "FISCAL_PERIOD"]}
 MIN = P.row_minimums
 FD = P.freshness_date.isoformat()
 
 
 def _band(check: str, v: str) -> str:
-    pl, ph, wl, wh = DQ.RATE_BANDS[check]
+    pl, ph, wl, wh = BANDS[check]
     return f"CASE WHEN {v} BETWEEN {pl} AND {ph} THEN 'PASS' WHEN {v} BETWEEN {wl} AND {wh} THEN 'WARN' ELSE 'FAIL' END"
 
 
@@ -100,7 +108,7 @@ def _checks(table, src, pk, noun, rate=None, fresh=None) -> str:
          f"CAST(count_if({pk} IS NULL) AS VARCHAR), '{pk} should never be NULL' FROM {src}"]
     if rate:
         check, expr = rate
-        pl, ph, _, _ = DQ.RATE_BANDS[check]
+        pl, ph, _, _ = BANDS[check]
         q.append(f"SELECT '{table}', '{check}', {_band(check, expr)}, '{pl}-{ph}%', "
                  f"CAST(round({expr}, 2) AS VARCHAR) || '%', '{check} should lie in {pl}-{ph}%' FROM {src}")
     if fresh:
@@ -129,17 +137,22 @@ Q["d14_key_uniqueness"] = " UNION ALL ".join(
     f"'0' AS EXPECTED_VALUE, CAST(count(*) AS VARCHAR) AS ACTUAL_VALUE, "
     f"'duplicate keys on ({', '.join(keys)})' AS DETAILS "
     f"FROM (SELECT {', '.join(keys)} FROM {_mart_src[tb]} GROUP BY ALL HAVING count(*) > 1)"
-    for tb, keys in DQ.DECLARED_KEYS.items())
+    for tb, keys in KEYS.items())
 Q["d15_quality_summary"] = (
     "SELECT PASS_COUNT, FAIL_COUNT, WARN_COUNT, "
     "'{\"pass\":' || PASS_COUNT || ',\"fail\":' || FAIL_COUNT || ',\"warn\":' || WARN_COUNT || '}' AS METADATA, "
     "'DQ checks complete. PASS: ' || PASS_COUNT || ', FAIL: ' || FAIL_COUNT || ', WARN: ' || WARN_COUNT AS SUMMARY "
     "FROM (SELECT CAST(count_if(RESULT = 'PASS') AS BIGINT) AS PASS_COUNT, CAST(count_if(RESULT = 'FAIL') AS BIGINT) AS FAIL_COUNT, "
     "CAST(count_if(RESULT = 'WARN') AS BIGINT) AS WARN_COUNT FROM dq_checks)")
-Q["d16_latest_check_batch"] = "SELECT RESULT, count(*) AS N FROM dq_checks GROUP BY RESULT"
+Q["d16_latest_check_batch"] = (
+    "WITH log AS (SELECT RESULT, TIMESTAMP '2002-01-01' - CASE TABLE_NAME WHEN 'MART_READMISSION_LOS' THEN INTERVAL 0 MINUTE "
+    "WHEN 'MART_PATIENT_LEAKAGE' THEN INTERVAL 5 MINUTE WHEN 'MART_OR_CAPACITY' THEN INTERVAL 6 MINUTE ELSE INTERVAL 1 HOUR END AS ts "
+    "FROM dq_checks) SELECT RESULT, count(*) AS N FROM log WHERE ts >= (SELECT max(ts) FROM log) - INTERVAL 5 MINUTE GROUP BY RESULT")
 
 # ---------------------------------------------------------------- alerts
-_rules = ", ".join(f"('{m}', '{n}', '{o}', CAST({th!r} AS DOUBLE))" for m, n, o, th in AL.DEFAULT_RULES)
+_rules = """('readmission_rate', 'HIGH_READMISSION_RATE', 'exceeds', 15.0::DOUBLE), ('avg_los', 'HIGH_AVG_LOS', 'exceeds', 5.0),
+('or_utilization', 'LOW_OR_UTILIZATION', 'falls_below', 60.0), ('overtime_pct', 'HIGH_OVERTIME', 'exceeds', 10.0),
+('denial_rate', 'HIGH_DENIAL_RATE', 'exceeds', 8.0), ('operating_margin', 'LOW_OPERATING_MARGIN', 'falls_below', 5.0)"""
 EXTRA_CTES["alert_values"] = (
     "SELECT 'readmission_rate' AS METRIC, CAST(avg(CAST(READMIT_30_FLAG AS INTEGER)) * 100 AS DOUBLE) AS VALUE FROM m_readmit "
     "UNION ALL SELECT 'avg_los', CAST(avg(LOS_DAYS) AS DOUBLE) FROM m_readmit "
@@ -168,6 +181,18 @@ Q["x6_denied_charges_by_readmit_payer"] = (
     "count(d.CLAIM_LINE_SK) AS DENIED_CLAIM_COUNT, "
     "round(avg(CASE WHEN d.IS_APPEALED THEN 1 ELSE 0 END) * 100, 4) AS APPEAL_RATE "
     "FROM m_den d LEFT JOIN m_readmit r ON d.ENCOUNTER_ID = r.ENCOUNTER_ID GROUP BY 1")
+Q["x6_denials_and_cases_by_readmit_payer"] = (
+    "WITH line AS (SELECT r.PAYER_TYPE AS p, d.* FROM m_den d LEFT JOIN m_readmit r ON r.ENCOUNTER_ID = d.ENCOUNTER_ID), "
+    "den AS (SELECT p, sum(CHARGE_AMT) AS charges, count(CLAIM_LINE_SK) AS claims FROM line GROUP BY p), "
+    "ops AS (SELECT r.PAYER_TYPE AS p, count(o.CASE_ID) AS cases FROM m_or o LEFT JOIN m_readmit r ON r.ENCOUNTER_ID = o.ENCOUNTER_ID GROUP BY 1) "
+    "SELECT coalesce(den.p, ops.p) AS READMIT_PAYER_TYPE, round(charges, 2) AS TOTAL_DENIED_CHARGES, claims AS DENIED_CLAIM_COUNT, "
+    "cases AS CASE_COUNT FROM den FULL JOIN ops ON den.p IS NOT DISTINCT FROM ops.p")
+Q["x6_cost_and_revenue_by_payer"] = (
+    "SELECT PAYER_TYPE AS READMIT_PAYER_TYPE, round(avg(COST_PER_DAY), 4) AS AVG_COST_PER_DAY, "
+    "round(sum(NET_REVENUE), 2) AS TOTAL_NET_REVENUE FROM m_readmit GROUP BY 1")
+Q["x6_timely_filing"] = (
+    "SELECT round(avg(CASE WHEN IS_TIMELY_FILED THEN 1 ELSE 0 END) * 100, 4) AS TIMELY_FILING_PCT, "
+    "count(CLAIM_LINE_SK) AS DENIED_CLAIM_COUNT FROM m_den")
 Q["x6_leakage_metrics_by_specialty"] = (
     "SELECT REFERRING_SPECIALTY, round(avg(CASE WHEN LEAKAGE_FLAG THEN 1 ELSE 0 END) * 100, 4) AS LEAKAGE_RATE, "
     "round(sum(LOST_REVENUE), 2) AS TOTAL_LOST_REVENUE, count(REFERRAL_ID) AS REFERRAL_COUNT, "

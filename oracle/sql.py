@@ -228,75 +228,43 @@ def decimal_round(sql: str) -> str:
         i = k
 
 
-_RATE_CASE = re.compile(r"^CASE WHEN .*READMIT_RATE IS NOT NULL THEN READMIT_RATE END$")
-
-
-def fixed_avg(sql: str) -> str:
-    """``avg(col)`` over a fixed-point mart column -> exact scaled-integer
-    average, the same arithmetic as ``carelake.functions.compat.avg_fixed``."""
-    from carelake.functions.compat import FIXED_SCALE
-    out, i, low = [], 0, sql.lower()
-    while True:
-        j = low.find("avg(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
-            out.append(sql[i:j + 4])
-            i = j + 4
-            continue
-        depth, k = 1, j + 4
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            k += 1
-        arg = sql[j + 4:k - 1].strip()
-        scale = FIXED_SCALE.get(arg, 3 if _RATE_CASE.match(arg) else None)
-        out.append(sql[i:j])
-        if scale is None:
-            out.append(sql[j:k])
-        else:
-            m = 10 ** scale
-            out.append(f"(CASE WHEN count({arg}) > 0 THEN sum(CAST(({arg}) * {m} AS BIGINT)) / count({arg}) / {m} END)")
-        i = k
-
-
-def fixed_sum(sql: str) -> str:
-    """``sum(col)`` over a fixed-point money column -> exact scaled-integer
-    sum, the arithmetic of ``carelake.functions.compat.sum_fixed``."""
-    from carelake.functions.compat import FIXED_SUM_SCALE
-    out, i, low = [], 0, sql.lower()
-    while True:
-        j = low.find("sum(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
-            out.append(sql[i:j + 4])
-            i = j + 4
+# Columns of type DOUBLE whose sums and averages are taken over DECIMAL, so that no result depends on the
+# order of the additions. Integer columns need no such care.
+AMOUNTS = {
+    "AMOUNT", "CHARGE_AMT", "COST_PER_CMI_DISCHARGE", "COST_PER_DAY", "DENIED_CHARGES", "DEPRECIATION_COST", "ESTIMATED_RECOVERY",
+    "EXPECTED_REVENUE", "HRS_PER_PATIENT", "LABOR_COST", "LABOR_PCT", "LOS_INDEX", "LOST_REVENUE", "NET_REVENUE", "OPERATING_MARGIN",
+    "OT_PCT", "OVERHEAD_COST", "READMIT_RATE", "SUPPLY_COST", "TOTAL_EXPENSE", "TOTAL_REVENUE", "UTILIZATION_PCT",
+}
+_AMOUNT_CASE = re.compile(r"^CASE WHEN .*READMIT_RATE IS NOT NULL THEN READMIT_RATE END$")
+
+
+def exact(sql: str) -> str:
+    """``sum(x)`` and ``avg(x)`` of an amount as DECIMAL sums."""
+    out, i = [], 0
+    for m in re.finditer(r"(?i)(?<![A-Za-z0-9_])(sum|avg)\(", sql):
+        if m.start() < i:
             continue
-        depth, k = 1, j + 4
+        depth, k = 1, m.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[k], 0)
             k += 1
-        arg = sql[j + 4:k - 1].strip()
-        bare = arg.split(".")[-1]
-        scale = FIXED_SUM_SCALE.get(bare)
-        out.append(sql[i:j])
-        if scale is None:
-            out.append(sql[j:k])
-        else:
-            m = 10 ** scale
-            out.append(f"(sum(CAST(({arg}) * {m} AS BIGINT)) / {m})")
-        i = k
+        arg = sql[m.end():k - 1].strip()
+        if arg.split(".")[-1] in AMOUNTS or _AMOUNT_CASE.match(arg):
+            total = f"CAST(sum(CAST({arg} AS DECIMAL(28,6))) AS DOUBLE)"
+            out += [sql[i:m.start()], total if m[1].lower() == "sum" else f"({total} / nullif(count({arg}), 0))"]
+            i = k
+    return "".join(out) + sql[i:]
 
 
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = {**BASE_CTES, **(extra or {})}
     used = _referenced(sql, ctes)
+    if sql.startswith("WITH "):
+        sql = f"SELECT * FROM ({sql})"
     if not used:
-        return decimal_round(fixed_sum(fixed_avg(sql)))
+        return decimal_round(exact(sql))
     body = ",\n".join(f"{n} AS ({ctes[n]})" for n in used)
-    return decimal_round(fixed_sum(fixed_avg(f"WITH {body}\n{sql}")))
+    return decimal_round(exact(f"WITH {body}\n{sql}"))
 
 
 def oracle_sql() -> dict[str, str]:

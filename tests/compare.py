@@ -32,9 +32,21 @@ def _norm(v):
     return v
 
 
-def canon(rows, cols):
+def canon(rows, cols, in_order=False):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
+    out = [tuple(_norm(r[i]) for i in order) for r in rows]
+    return out if in_order else sorted(out, key=repr)
+
+
+def is_ordered(sql: str) -> bool:
+    """Does the statement itself (no subquery, no window) end in ORDER BY?"""
+    at = sql.upper().rfind("ORDER BY")
+    depth = 0
+    for ch in sql[at:] if at >= 0 else ")":
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if depth < 0:
+            return False
+    return True
 
 
 def compare(spark, sf_dir, names=None, verbose=True):
@@ -63,7 +75,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
             bad.append(name)
             print(f"DUCK-ERR {name}: {str(e)[:400]}")
             continue
-        ok = sorted(scols) == sorted(dcols) and canon(srows, scols) == canon(drows, dcols)
+        io = is_ordered(sql[name])
+        ok = sorted(scols) == sorted(dcols) and canon(srows, scols, io) == canon(drows, dcols, io)
         if not ok:
             bad.append(name)
             print(f"MISMATCH {name}: spark cols={scols} duck cols={dcols} rows {len(srows)} vs {len(drows)}")

@@ -75,7 +75,7 @@ def test_key_drivers_against_pandas(spark):
         rows.append((i % 3 == 0, "x" if i % 2 else "y", "p" if i % 5 else "q", i % 7 < 2 if i < 150 else i % 7 < 4))
     pdf = pd.DataFrame(rows, columns=["L", "D1", "D2", "M"]).assign(M=lambda d: d.M.astype(int))
     df = spark.createDataFrame(pdf)
-    got = {r.CONTRIBUTOR: r for r in drivers.key_drivers(df, "M", "L", ["D1", "D2"], min_support=5).collect()}
+    got = {r.CONTRIBUTOR: r for r in drivers.key_drivers(df, "M", "L", ["D1", "D2"]).collect()}
     t, c = pdf[pdf.L], pdf[~pdf.L]
     change = abs(t.M.mean() - c.M.mean())
     segs = [({"D1": v},) for v in "xy"] + [({"D2": v},) for v in "pq"] + \
@@ -96,14 +96,14 @@ def test_forecast_and_anomaly_shapes(spark):
     rows = [(s, base + dt.timedelta(days=i), (i % 7) + (3 if s == "a" else 0))
             for s in ("a", "b") for i in range(200) if not (s == "b" and i % 10 == 0)]
     df = spark.createDataFrame(rows, "S string, TS date, Y long")
-    fc = timeseries.weekday_forecast(df, "S", "TS", "Y", horizon=30, history_days=56).collect()
+    fc = timeseries.weekday_forecast(df, "S", "TS", "Y", horizon=30).collect()
     assert len(fc) == 60
     a = [r for r in fc if r.SERIES == "a"]
     assert all(r.LOWER == r.FORECAST == r.UPPER for r in a)   # perfectly periodic -> zero spread
     an = timeseries.weekday_anomalies(df, "S", "TS", "Y", eval_months=2).collect()
     assert {r.SERIES for r in an} == {"a", "b"}
-    zero_days = [r for r in an if r.SERIES == "b" and r.Y == 0]
-    assert zero_days  # densified days are scored with actual 0
+    # one scored row per row of the evaluation side; days without a row are not made up
+    assert sorted((r.SERIES, r.TS.date()) for r in an) == sorted((s, d) for s, d, _ in rows if d >= D(2024, 5, 18))
     cdf = spark.range(1).select(normal_cdf(F.lit(0.0)).alias("a"), normal_cdf(F.lit(1.96)).alias("b"),
                                 normal_cdf(F.lit(-1.0)).alias("c")).first()
     assert cdf.a == pytest.approx(0.5, abs=1e-7) and cdf.b == pytest.approx(0.9750021, abs=1e-6)
@@ -177,7 +177,59 @@ def test_row_access_by_role(spark):
 def test_tags_are_validated(spark):
     df = spark.createDataFrame([("1", "a")], "SSN string, X string")
     tagged = G.tag_columns(df, {"SSN": {"DATA_CLASSIFICATION": "PHI", "PII_TYPE": "SSN"}})
-    assert sorted(G.tag_report(tagged, "DIM_PATIENT")) == [("DIM_PATIENT", "SSN", "DATA_CLASSIFICATION", "PHI"),
-                                                           ("DIM_PATIENT", "SSN", "PII_TYPE", "SSN")]
+    report = G.tag_report(tagged, "DIM_PATIENT")
+    assert report.columns == ["TABLE_NAME", "COLUMN_NAME", "TAG", "VALUE"]
+    assert {tuple(r)[1:] for r in report.collect()} == {
+        ("SSN", "DATA_CLASSIFICATION", "PHI"), ("SSN", "PII_TYPE", "SSN"),
+        (None, "DATA_DOMAIN", "DEMOGRAPHIC"), (None, "RETENTION_POLICY", "7_YEARS")}
     with pytest.raises(ValueError):
         G.tag_columns(df, {"SSN": {"DATA_CLASSIFICATION": "SECRET"}})
+
+
+def test_visible_rows_count_the_fact_once(spark):
+    frames = {
+        "dim_department": spark.createDataFrame(
+            [(f"DEPT-{i:03d}", f"D{i}", "INPATIENT", "FAC-001") for i in range(1, 26)], fakes.DEPT),
+        "fct_encounter": spark.createDataFrame([(f"DEPT-{i % 30:03d}",) for i in range(300)] + [(None,)], "DEPT_ID string"),
+    }
+    t = FakeTables(spark, frames)
+    got = {r.ROLE_NAME: r.VISIBLE_ROWS for r in G.visible_rows_by_role(t, "fct_encounter").collect()}
+    assert got == {r: G.secure(frames["fct_encounter"], r, t, "fct_encounter").count() for r in MK.ROLES}
+    assert got[MK.ADMIN] == 301 and got[MK.FINANCE] == 50
+
+
+def test_daily_levels_equal_expanded_days(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), f"E{rnd.randrange(60)}", D(2024, 1, 1) + dt.timedelta(days=rnd.randrange(90)), rnd.randrange(-2, 20))
+            for _ in range(200)]
+    rows = [(k, e, s, None if n == 19 else s + dt.timedelta(days=n)) for k, e, s, n in rows]
+    df = spark.createDataFrame(rows, "K string, E string, S date, T date")
+    lo, hi = D(2024, 1, 20), D(2024, 3, 10)
+    want = {}
+    for r in stay_days.expand_stay_days(df, "S", "T", lo, hi).collect():
+        n, seen = want.setdefault((r.K, r.DAY), [0, set()])
+        want[(r.K, r.DAY)][0] += 1
+        seen.add(r.E)
+    clipped = stay_days.clip_stays(df, "S", "T", lo, hi)
+    one = F.lit(1).cast("long")
+    events = stay_days.changes(clipped, ["K"], {"N": one}).unionByName(
+        stay_days.changes(stay_days.merge_stays(clipped, ["K", "E"]), ["K"], {"H": one}), allowMissingColumns=True)
+    got = {(r.K, r.DAY): (r.N, r.H) for r in stay_days.daily_levels(events, ["K"], ["N", "H"]).collect()}
+    assert got == {k: (n, len(seen)) for k, (n, seen) in want.items()}
+
+
+def test_numbers_longer_than_their_width_stay_whole(spark):
+    from carelake.sources.adapter import lpad_num
+    got = [r[0] for r in spark.range(1).select(F.explode(F.array(F.lit(7), F.lit(1234567), F.lit(12345670))).alias("x"))
+           .select(lpad_num(F.col("x"), 7)).collect()]
+    assert got == ["0000007", "1234567", "12345670"]
+
+
+def test_sums_keep_four_decimals_and_do_not_depend_on_order(spark):
+    from carelake.functions import compat as C
+    df = spark.createDataFrame([(1.7893,), (1.0672,), (None,)], "W double")
+    assert df.agg(C.exact_sum("W")).first()[0] == 2.8565
+    big = spark.createDataFrame([(0.1,)] * 1000 + [(1e9,), (-1e9,)], "W double")
+    assert {big.repartition(n).agg(C.exact_sum("W")).first()[0] for n in (1, 3, 7)} == {100.0}
+    assert df.where("W is null").agg(C.exact_avg("W")).first()[0] is None

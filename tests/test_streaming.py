@@ -22,7 +22,15 @@ def test_bed_status_ingest_is_incremental(spark, tmp_path):
     ])
     ckpt = str(tmp_path / "ckpt")
     name = f"beds_{uuid.uuid4().hex[:8]}"
-    bed_status.start_ingest(spark, str(landing), table, name=name, checkpoint_root=ckpt).awaitTermination(120)
+    rejected = str(tmp_path / "rejected")
+
+    def ingest():
+        for q in bed_status.start_ingest(spark, str(landing), table, rejected, ckpt, name=name):
+            q.awaitTermination(120)
+
+    ingest()
+    bad = spark.read.parquet(rejected).collect()
+    assert [(r.BED_ID, r.REJECT_REASON) for r in bad] == [("B2", "unknown STATUS")]
     first = spark.read.parquet(table)
     assert first.count() == 1
     r = first.first()
@@ -30,5 +38,5 @@ def test_bed_status_ingest_is_incremental(spark, tmp_path):
     _write(landing / "b.json", [
         {"BED_ID": "B3", "FACILITY_ID": "FAC-002", "DEPT_ID": "DEPT-004", "STATUS": "VACANT_CLEAN",
          "STATUS_START": "2024-01-02T09:00:00"}])
-    bed_status.start_ingest(spark, str(landing), table, name=name, checkpoint_root=ckpt).awaitTermination(120)
+    ingest()
     assert spark.read.parquet(table).count() == 2   # a.json not re-read
