@@ -35,10 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def saved_dir(spark: SparkSession) -> str:
+    """Where this application's saved tables are."""
+    return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Deletes the tables that this application has saved. Call it when the results are written:
+    results that are not yet computed read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(saved_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: cuts the
     lineage, survives lost executors, and is computed once however often it is read."""
-    path = f"{shared_dir(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
+    path = f"{saved_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

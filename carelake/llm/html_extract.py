@@ -53,15 +53,15 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ma
             "sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter subscribe "
             "signup login share sharing social comment comments disqus reply replies respond related recommended widget "
             "pagination pager toolbar skip hidden".split())
-HEADER_NOISE = {"header", "topbar"}
+HEADERS = {"header", "topbar"}  # of the page; inside an article they hold its title
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "children")
+    __slots__ = ("tag", "noise", "header", "children")
 
-    def __init__(self, tag: str, noise: bool = False):
-        self.tag, self.noise, self.children = tag, noise, []
+    def __init__(self, tag: str, noise: bool = False, header: bool = False):
+        self.tag, self.noise, self.header, self.children = tag, noise, header, []
 
 
 class Tree(HTMLParser):
@@ -89,7 +89,7 @@ class Tree(HTMLParser):
             self._close({"p"}, SCOPES)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        node = Node(tag, _is_noise(tag, attrs))
+        node = Node(tag, _is_noise(tag, attrs), tag == "header" or _named(tag, attrs, HEADERS))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -106,18 +106,21 @@ class Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _named(tag: str, attrs, words: set) -> bool:
+    """Does a class, id or role of the element hold one of the words?"""
+    return tag not in ("html", "body", "article", "main") and any(
+        value and name in ("class", "id", "role") and not words.isdisjoint(w.lower() for w in CLASS_WORD.findall(value))
+        for name, value in attrs)
+
+
 def _is_noise(tag: str, attrs) -> bool:
-    if tag in NO_TEXT:
+    if tag in NO_TEXT or _named(tag, attrs, NOISE):
         return True
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in CLASS_WORD.findall(value)}
-            if words & NOISE or words & HEADER_NOISE and tag not in ("h1", "h2"):
-                return True
         if name in ("class", "id") and value and tag == "article" and {"comment", "comments", "reply"} & set(re.split(r"\W+", value.lower())):
             return True
     return False
@@ -200,7 +203,7 @@ def blocks(node: Node, templates: frozenset = frozenset(), hashes: dict | None =
             if not skip:
                 parts.append(n)
             continue
-        gone = n is not node and (n.noise or n.tag == "header" and not inside
+        gone = n is not node and (n.noise or n.header and not inside
                                   or hashes is not None and hashes.get(id(n)) in templates and not (inside and n.tag in PROSE))
         if n.tag in BLOCKS:
             flush() if not skip else None

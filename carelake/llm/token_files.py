@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import arrow_batches, shared_dir, small, table
+from carelake.llm.common import arrow_batches, saved_dir, small, table
 
 BLOCK = 4096
 PERCENTILE = 0.9
@@ -296,7 +296,7 @@ def read_documents(chunks: DataFrame) -> DataFrame:
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    path = f"{shared_dir(spark)}/llm/tokens-{uuid.uuid4().hex}"
+    path = f"{saved_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     arrow_batches(spark, 8)  # rows are chunks of megabytes here
     return read_documents(spark.read.schema(CHUNK).parquet(path))

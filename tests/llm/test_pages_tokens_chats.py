@@ -40,7 +40,7 @@ def test_test_pages(spark):
 FULL = """<!doctype html><html><head><title>T</title><script>var a="</p><article>x</article>";</script></head><body>
 <header class="site"><h1>Site</h1></header><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice">We use cookies</div><aside>Side</aside>
-<main><article><h1>Title &amp; more</h1><!-- c --><p>One&nbsp; two<br>three <b>bold</b> <i>text</i>&#33;<p>Second
+<div class="page-header">Top</div><main><article><div class="entry-header"><h1>Title &amp; more</h1></div><!-- c --><p>One&nbsp; two<br>three <b>bold</b> <i>text</i>&#33;<p>Second
 paragraph<ul><li>a<li>b</ul><div class="ad-box">Buy</div><form><p>Mail</form><table><tr><td>x<td>y</table>
 <section id="comments"><p>First!</p></section></article></main><footer>Foot</footer></body></html>"""
 
@@ -225,3 +225,13 @@ def test_prefilter_drops_nothing(spark):
     assert sum(n for n, _ in got.values()) > 10
     odd = odd_documents(spark)
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(odd.where(F.lit(False))).count() == 0
+
+
+def test_saved_tables_can_be_removed(spark):
+    from carelake.llm import common
+    common.save(spark.range(3), "x")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.saved_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(path)
+    common.remove_saved(spark)
+    assert not fs.exists(path)
