@@ -40,8 +40,9 @@ from carelake.llm.common import arrow_batches, saved_dir, small, table
 BLOCK = 4096
 PERCENTILE = 0.9
 CHUNK_TOKENS = 1 << 20
-ENCODE_BYTES = 8 << 20    # texts encoded at a time
-MEMO_WORDS = 1_000_000    # words whose ids a worker remembers
+ENCODE_BYTES = 4 << 20    # texts prepared at a time
+ENCODE_ROWS = 4096        # words or texts that the tokenizer gets at a time
+MEMO_WORDS = 1_000_000      # words whose ids a worker remembers
 END_ID = 0
 
 CHUNK = ("shard int, chunk int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
@@ -160,7 +161,8 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), ENCODE_ROWS)
+                for e in self.tokenizer.encode_batch_fast(texts[at:at + ENCODE_ROWS], add_special_tokens=False)]
 
     def _plain(self, text: str) -> bool:
         return not (any(x in text for x in SPACING) or not text.isascii() and any(x in text for x in WIDE_SPACING)
@@ -207,6 +209,7 @@ class Encoder:
             out[i] = np.frombuffer(ids, "<u4")
         for i, ids in zip(plain, self._words([texts[i] for i in plain]) if plain else ()):
             out[i] = ids
+        pa.default_memory_pool().release_unused()  # two workers share an executor's memory with the JVM
         return out
 
 
