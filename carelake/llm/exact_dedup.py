@@ -4,10 +4,11 @@
 2. ``directory``: starts as one bucket over the whole key range and doubles while a bucket
    holds more distinct keys than ``capacity``; only overfull buckets split. A directory slot
    (the leading ``depth`` bits of a key) names its bucket; shallow buckets own several slots.
-3. ``index``: each bucket's owner groups its key range by (key, bytes of the normalised text).
-   Texts that share a key but differ in bytes form a chain. Copies are combined before the
-   shuffle, so a group holding a third of all rows sends one row per task. The index keeps
-   digests only, no texts.
+3. ``index``: texts are grouped by (key, bytes of the normalised text). Copies are combined
+   before the shuffle, so a group holding a third of all rows sends one row per task. One narrow
+   row per distinct text then goes to its bucket's owner, the task that writes the bucket's key
+   range: texts that share a key but differ in bytes form a chain there. The index keeps digests
+   only, no texts.
 4. every document looks its bucket and key up in the index; only where a chain has several
    links does the text's digest choose the link.
 
@@ -35,6 +36,10 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def hash_key(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
 def _slot(key: Column, depth: int) -> Column:
     """The leading ``depth`` bits of a 64-bit key."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
@@ -75,36 +80,37 @@ def build_index(docs: DataFrame, text: str, id_col: str, directory: DataFrame, d
     chain), links, sha, keep_id, group_size; written by bucket."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     d = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"), normalised(F.col("text")).alias("norm"))
-    d = d.withColumn("key", F.xxhash64("norm"))
+    d = d.withColumn("key", hash_key(F.col("norm")))
     best = F.max_by("doc_id", F.struct("len", F.col("doc_id").isNotNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long")))))
     texts = d.groupBy("key", "norm").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
                                          F.max("len").alias("len"))
-    chains = texts.select("key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size", "len")
-    links = Window.partitionBy("key")
-    chains = chains.withColumn("link", F.row_number().over(links.orderBy("sha"))) \
-                   .withColumn("links", F.count(F.lit(1)).over(links))
-    chains = chains.withColumn("slot", _slot(F.col("key"), depth)).join(directory, "slot", "left")
-    return chains.drop("slot")
+    entries = texts.select("key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size", "len")
+    entries = entries.withColumn("slot", _slot(F.col("key"), depth)).join(small(directory), "slot").drop("slot")
+    # each bucket goes to its owner, which orders its key range and numbers the links of its chains
+    owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key", "sha")
+    chain = Window.partitionBy("bucket", "key")
+    return owned.withColumn("link", F.row_number().over(chain.orderBy("sha"))) \
+                .withColumn("links", F.count(F.lit(1)).over(chain))
 
 
 def duplicate_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                      capacity: int = BUCKET_CAPACITY) -> DataFrame:
     """One row per document: doc_id, len, key, bucket, link, keep_id, group_size, text_sha256, kept."""
     entries = save(docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("doc_len"),
-                               F.xxhash64(normalised(F.col(text))).alias("key")), "entries")
+                               hash_key(normalised(F.col(text))).alias("key")), "entries")
     directory, depth = build_directory(entries.select("key").distinct(), capacity)
     directory = save(directory, "directory")
     index = save(build_index(docs, text, id_col, directory, depth), "index")
 
     # Owners probe their key ranges. Chains of one link (all, but for hash collisions) need no text.
     single = index.where("links = 1")
-    out = entries.withColumn("slot", _slot(F.col("key"), depth)).join(directory.select("slot", "bucket"), "slot") \
+    out = entries.withColumn("slot", _slot(F.col("key"), depth)).join(small(directory.select("slot", "bucket")), "slot") \
                  .join(single, ["bucket", "key"])
     chained = index.where("links > 1")
     if not chained.isEmpty():
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
         d = d.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("doc_len"), normalised(F.col("text")).alias("norm"))
-        d = d.select("doc_id", "doc_len", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("sha"))
+        d = d.select("doc_id", "doc_len", hash_key(F.col("norm")).alias("key"), F.sha2("norm", 256).alias("sha"))
         out = out.unionByName(d.join(chained, ["key", "sha"]), allowMissingColumns=True)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("doc_len") == F.col("len"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"),
@@ -121,7 +127,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     out = docs.columns
     key, rank = fresh("dedup_key", out), fresh("dedup_rank", out)
     entries = save(docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("doc_len"),
-                               F.xxhash64(normalised(F.col(text))).alias("key")), "entries")
+                               hash_key(normalised(F.col(text))).alias("key")), "entries")
     directory, depth = build_directory(entries.select("key").distinct(), capacity)
     index = save(build_index(docs, text, id_col, save(directory, "directory"), depth), "index")
     side = save(index.where("links > 1 or group_size > 1"), "copies")
@@ -135,7 +141,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     alone = F.col(f"{key}_key").isNull()
     keeper = F.col(id_col).eqNullSafe(F.col(f"{key}_keep_id")) & \
         (F.length(F.coalesce(text, F.lit(""))) == F.col(f"{key}_len"))
-    kept = docs.withColumn(key, F.xxhash64(norm)).join(small(side), same, "left").where(alone | keeper)
+    kept = docs.withColumn(key, hash_key(norm)).join(small(side), same, "left").where(alone | keeper)
     if twins.isEmpty():
         return kept.select(*out)
     one = Window.partitionBy(f"{key}_key", f"{key}_sha").orderBy(F.xxhash64(text))

@@ -50,6 +50,16 @@ def test_exact_dedup_is_brute_force(spark, docs, capacity):
     assert got == want
 
 
+def test_exact_dedup_chains_colliding_keys(spark, docs, monkeypatch):
+    want = rows_of(exact_dedup.duplicate_groups(docs).drop("bucket", "key", "link"))
+    kept = rows_of(exact_dedup.drop_duplicates(docs).select("doc_id"))
+    monkeypatch.setattr(exact_dedup, "hash_key", lambda norm: F.length(norm) % 97 * (1 << 56))  # texts of one length collide
+    got = exact_dedup.duplicate_groups(docs, capacity=10)
+    assert got.agg(F.max("link")).first()[0] > 3
+    assert rows_of(got.drop("bucket", "key", "link")) == want
+    assert rows_of(exact_dedup.drop_duplicates(docs, capacity=10).select("doc_id")) == kept
+
+
 def test_directory_doubles_until_no_bucket_is_overfull(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     directory, depth = exact_dedup.build_directory(keys, capacity=300)
