@@ -24,7 +24,6 @@ repeated whole are written as often. Empty tables give no chunks. Long texts are
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,9 +39,9 @@ from carelake.llm.common import arrow_batches, saved_dir, small, table
 BLOCK = 4096
 PERCENTILE = 0.9
 CHUNK_TOKENS = 1 << 20
-ENCODE_BYTES = 4 << 20    # texts prepared at a time
-ENCODE_ROWS = 4096        # words or texts that the tokenizer gets at a time
-MEMO_WORDS = 1_000_000      # words whose ids a worker remembers
+ENCODE_BYTES = 8 << 20   # texts prepared at a time
+ENCODE_ROWS = 8192       # words or texts that the tokenizer gets at a time
+MEMO_WORDS = 2_000_000   # words whose ids a worker remembers (some 40 bytes each)
 END_ID = 0
 
 CHUNK = ("shard int, chunk int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
@@ -137,28 +136,27 @@ def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
 # Byte-level BPE never merges across the places where its pattern parts a text, and it always parts before
 # a single space or line feed between words. So a text of plain spacing is the sum of its words, each of
 # which the tokenizer encodes once. Texts with any of these go to the tokenizer whole.
-SPACING = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+FIRST = "\x01"
+SPACING = (FIRST, "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 WIDE_SPACING = ("\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200c)), "\u2028", "\u2029", "\u202f",
                 "\u205f", "\u2060", "\u3000", "\ufeff")
 
 
-# A word and the comma or full stop after it are parted as well; Latin-1 letters, on which all versions of
-# Unicode agree.
-STOPPED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[,.]")
-
-
 class Encoder:
-    """Texts to ids by a tokenizers file; remembers the ids of words."""
+    """Texts to ids by a tokenizers file; remembers the ids of words, in arrays: word, place, size."""
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.memo: dict[str, bytes] = {}
         spec = self.tokenizer.pre_tokenizer
         self.by_word = type(spec).__name__ == "ByteLevel" and not spec.add_prefix_space and self.tokenizer.normalizer is None
-        self.stops = dict(zip(",.", self._ids([",", "."])))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.start, self.size = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), ENCODE_ROWS)
@@ -168,36 +166,35 @@ class Encoder:
         return not (any(x in text for x in SPACING) or not text.isascii() and any(x in text for x in WIDE_SPACING)
                     or any(x in text for x in self.special))
 
-    def _words(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts of plain spacing. "a b\\nc" is "a", " b", "\\nc"; the memo's keys leave the space out."""
-        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+    def _learn(self, words: pa.Array) -> None:
+        """Adds words to the memo."""
+        known = self._ids([w[1:] if w[:1] == FIRST else w if w[:1] == "\n" else " " + w for w in words.to_pylist()])
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        self.start = np.concatenate((self.start, np.cumsum(size, dtype=np.int32) - size + len(self.ids)))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(known), "<u4")))
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _plain_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of plain spacing: "a b\\nc" is "a", " b", "\\nc". In the memo FIRST marks a text's
+        first word, and words after a space stand without it."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array([FIRST + x for x in texts], pa.large_string()), "\n", " \n"), " ")
         ends = parts.offsets.to_numpy()
-        is_first = np.zeros(ends[-1], bool)
-        is_first[ends[:-1]] = True
-        words = parts.flatten()
-        coded = words.filter(pa.array(~is_first)).dictionary_encode()
-        memo, distinct = self.memo, coded.dictionary.to_pylist()
-        ids: dict[str, bytes] = {}
-        stems = {w: w[:-1] for w in distinct if w not in memo and STOPPED.fullmatch(w)}
-        wanted = {stems.get(w, w) for w in distinct if w not in memo}
-        new = [w for w in wanted if w not in memo]
-        ids.update(zip(new, self._ids([w if w[:1] == "\n" else " " + w for w in new])))
-        ids.update((w, (ids[s] if s in ids else memo[s]) + self.stops[w[-1]]) for w, s in stems.items())
-        if len(memo) + len(ids) <= MEMO_WORDS:
-            memo.update(ids)
-            known = [memo[w] for w in distinct]
-        else:
-            known = [memo[w] if w in memo else ids[w] for w in distinct]
-        known += self._ids(words.filter(pa.array(is_first)).to_pylist())
+        coded = parts.flatten().dictionary_encode()
+        if len(self.words) > MEMO_WORDS:
+            self._forget()
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        if at.null_count:
+            new = coded.dictionary.filter(at.is_null())
+            first_new = len(self.words)
+            self._learn(new)
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = np.arange(first_new, len(self.words))
+        code = np.asarray(at, np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
         # the words' ids stand in one array; every place takes its word's stretch of it
-        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        start = np.cumsum(size, dtype=np.int32) - size
-        code = np.empty(len(is_first), np.int32)
-        code[is_first] = np.arange(len(distinct), len(known))
-        code[~is_first] = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[code]
+        n = self.size[code]
         until = np.cumsum(n, dtype=np.int32)  # a batch is a few million ids
-        out = np.frombuffer(b"".join(known), "<u4")[np.repeat(start[code] - until + n, n) + np.arange(until[-1], dtype=np.int32)]
+        out = self.ids[np.repeat(self.start[code] - until + n, n) + np.arange(until[-1], dtype=np.int32)]
         return np.split(out, until[ends[1:-1] - 1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -207,9 +204,8 @@ class Encoder:
         whole = sorted(set(range(len(texts))).difference(plain))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = np.frombuffer(ids, "<u4")
-        for i, ids in zip(plain, self._words([texts[i] for i in plain]) if plain else ()):
+        for i, ids in zip(plain, self._plain_texts([texts[i] for i in plain]) if plain else ()):
             out[i] = ids
-        pa.default_memory_pool().release_unused()  # two workers share an executor's memory with the JVM
         return out
 
 
