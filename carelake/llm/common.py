@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +64,25 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Batches of few rows for Python stages on whole texts: some texts are very long."""
+    """Readies the session for Python stages on whole texts: batches of few rows, as some texts are
+    very long, and this package's modules sent to the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package's modules to the executors (once per application), whose Python workers
+    import them: they need not be installed there, nor be in the driver's working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='llm-ship-')}/carelake_llm.zip"  # the driver serves this file
+    with zipfile.ZipFile(path, "w") as z:
+        for f in [here.parent / "__init__.py", *sorted(here.glob("*.py"))]:
+            z.write(f, str(f.relative_to(here.parent.parent)))
+    sc.addPyFile(path)
+    sc._llm_shipped = True
 
 
 def n_words(text: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import n_words, save, table
+from carelake.llm.common import n_words, save, ship, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 128
@@ -86,6 +86,7 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                    overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES, length: Column | None = None) -> DataFrame:
     """One row per piece (SCHEMA): where it starts in its document and in which bin of which shard it
     lies; (shard, bin) names a sequence of ``capacity`` tokens of which ``bin_used`` are filled."""
+    ship(docs.sparkSession)
     length = n_words(F.col(text)) + 1 if length is None else length
     rows = save(pieces(docs, length, id_col, max(lengths)), "pieces")
     shards = -(-rows.count() // shard_pieces) or 1
