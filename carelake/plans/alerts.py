@@ -37,10 +37,8 @@ def metric_values(t: Tables) -> DataFrame:
         (F.sum(F.when(F.col("CLAIM_STATUS") == "DENIED", 1).otherwise(0)) * 100.0
          / F.when(F.count(F.lit(1)) != 0, F.count(F.lit(1)))).cast("double").alias("denial_rate"))
     fn = t.mart("mart_financial_performance").agg((C.exact_avg("OPERATING_MARGIN") * 100).alias("operating_margin"))
-    parts = []
-    for df in (rm, orc, st, dn, fn):
-        for c in df.columns:
-            parts.append(df.select(F.lit(c).alias("METRIC"), F.col(c).cast("double").alias("VALUE")))
+    parts = [df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("METRIC"), F.col(c).cast("double").alias("VALUE"))
+                                           for c in df.columns])).alias("x")).select("x.*") for df in (rm, orc, st, dn, fn)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -30,20 +30,30 @@ def _patient_name(p: str = "p"):
     return C.concat_strict(F.col(f"{p}.FIRST_NAME"), F.lit(" "), F.col(f"{p}.LAST_NAME"))
 
 
+def _join(fact: DataFrame, t: Tables, dim: str, alias: str, key: str, on: str, how: str = "left") -> DataFrame:
+    """``fact`` with a dimension under ``alias``: ``alias.key`` equals column ``on`` of the fact side."""
+    return fact.join(t.get(dim).alias(alias), F.col(f"{alias}.{key}") == F.col(on), how)
+
+
+def _facility(fact: DataFrame, t: Tables, on: str, how: str = "left") -> DataFrame:
+    return _join(fact, t, "dim_facility", "f", "FACILITY_ID", on, how)
+
+
+def _provider(fact: DataFrame, t: Tables, on: str, how: str = "left") -> DataFrame:
+    return _join(fact, t, "dim_provider", "prov", "PROVIDER_SK", on, how)
+
+
+def _patient(fact: DataFrame, t: Tables, on: str) -> DataFrame:
+    return _join(fact, t, "dim_patient", "p", "PATIENT_SK", on, "inner")
+
+
 # ---------------------------------------------------------------------------
 # M1 patient leakage (grain: referral)
 # ---------------------------------------------------------------------------
 def patient_leakage(t: Tables) -> DataFrame:
-    r = t.get("fct_referral").alias("r")
-    p = t.get("dim_patient").alias("p")
-    prov = t.get("dim_provider").alias("prov")
-    py = t.get("dim_payer").alias("py")
-    f = t.get("dim_facility").alias("f")
     as_of = F.lit(t.profile.as_of.isoformat()).cast("date")
-    j = (r.join(p, F.col("p.PATIENT_SK") == F.col("r.PATIENT_SK"), "inner")
-          .join(prov, F.col("prov.PROVIDER_SK") == F.col("r.REFERRING_PROVIDER_SK"), "inner")
-          .join(py, F.col("py.PAYER_ID") == F.col("p.PRIMARY_PAYER_ID"), "left")
-          .join(f, F.col("f.FACILITY_ID") == F.col("r.FACILITY_ID"), "left"))
+    j = _provider(_patient(t.get("fct_referral").alias("r"), t, "r.PATIENT_SK"), t, "r.REFERRING_PROVIDER_SK", "inner")
+    j = _facility(_join(j, t, "dim_payer", "py", "PAYER_ID", "p.PRIMARY_PAYER_ID"), t, "r.FACILITY_ID")
     return j.select(
         F.col("r.REFERRAL_ID"),
         F.col("p.MRN"),
@@ -74,18 +84,10 @@ def patient_leakage(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 def readmission_los(t: Tables) -> DataFrame:
     e = t.get("fct_encounter").where(F.col("ENCOUNTER_TYPE").isin(IP_OBS)).alias("e")
-    p = t.get("dim_patient").alias("p")
-    prov = t.get("dim_provider").alias("prov")
-    drg = t.get("dim_drg").alias("drg")
-    py = t.get("dim_payer").alias("py")
-    d = t.get("dim_department").alias("d")
-    f = t.get("dim_facility").alias("f")
-    j = (e.join(p, F.col("p.PATIENT_SK") == F.col("e.PATIENT_SK"), "inner")
-          .join(prov, F.col("prov.PROVIDER_SK") == F.col("e.PROVIDER_SK"), "left")
-          .join(drg, F.col("drg.DRG_SK") == F.col("e.DRG_SK"), "left")
-          .join(py, F.col("py.PAYER_SK") == F.col("e.PAYER_SK"), "left")
-          .join(d, F.col("d.DEPT_ID") == F.col("e.DEPT_ID"), "left")
-          .join(f, F.col("f.FACILITY_ID") == F.col("e.FACILITY_ID"), "left"))
+    j = _provider(_patient(e, t, "e.PATIENT_SK"), t, "e.PROVIDER_SK")
+    for dim, alias, key in (("dim_drg", "drg", "DRG_SK"), ("dim_payer", "py", "PAYER_SK"), ("dim_department", "d", "DEPT_ID")):
+        j = _join(j, t, dim, alias, key, f"e.{key}")
+    j = _facility(j, t, "e.FACILITY_ID")
     exp = F.coalesce(F.col("drg.GEOMETRIC_LOS"), F.col("e.EXPECTED_LOS"))
     los = F.col("e.LOS_DAYS")
     ratio = los / exp
@@ -131,13 +133,8 @@ def readmission_los(t: Tables) -> DataFrame:
 # M3 OR capacity (grain: case)
 # ---------------------------------------------------------------------------
 def or_capacity(t: Tables) -> DataFrame:
-    orc = t.get("fct_or_case").alias("orc")
-    prov = t.get("dim_provider").alias("prov")
-    f = t.get("dim_facility").alias("f")
-    cpt = t.get("dim_procedure").alias("cpt")
-    j = (orc.join(prov, F.col("prov.PROVIDER_SK") == F.col("orc.SURGEON_SK"), "left")
-            .join(f, F.col("f.FACILITY_ID") == F.col("orc.FACILITY_ID"), "left")
-            .join(cpt, F.col("cpt.PROC_SK") == F.col("orc.PRIMARY_CPT_SK"), "left"))
+    j = _facility(_provider(t.get("fct_or_case").alias("orc"), t, "orc.SURGEON_SK"), t, "orc.FACILITY_ID")
+    j = _join(j, t, "dim_procedure", "cpt", "PROC_SK", "orc.PRIMARY_CPT_SK")
     block, case_m = F.col("orc.BLOCK_MINUTES"), F.col("orc.CASE_MINUTES")
     return j.select(
         F.col("orc.CASE_ID"),
@@ -200,16 +197,9 @@ def recovery_rate(reason):
 
 def denials_revcycle(t: Tables) -> DataFrame:
     cl = t.get("fct_claim_line").where(F.col("DENIED_FLAG") == True).alias("cl")  # noqa: E712
-    pt = t.get("dim_patient").alias("pt")
-    py = t.get("dim_payer").alias("py")
-    prov = t.get("dim_provider").alias("prov")
-    cpt = t.get("dim_procedure").alias("cpt")
-    dx = t.get("dim_diagnosis").alias("dx")
-    j = (cl.join(pt, F.col("pt.PATIENT_SK") == F.col("cl.PATIENT_SK"), "inner")
-           .join(py, F.col("py.PAYER_SK") == F.col("cl.PAYER_SK"), "inner")
-           .join(prov, F.col("prov.PROVIDER_SK") == F.col("cl.PROVIDER_SK"), "left")
-           .join(cpt, F.col("cpt.PROC_SK") == F.col("cl.PROC_SK"), "left")
-           .join(dx, F.col("dx.DX_SK") == F.col("cl.DX_SK"), "left"))
+    j = _join(_patient(cl, t, "cl.PATIENT_SK"), t, "dim_payer", "py", "PAYER_SK", "cl.PAYER_SK", "inner")
+    j = _provider(j, t, "cl.PROVIDER_SK")
+    j = _join(_join(j, t, "dim_procedure", "cpt", "PROC_SK", "cl.PROC_SK"), t, "dim_diagnosis", "dx", "DX_SK", "cl.DX_SK")
     status, reason = F.col("cl.CLAIM_STATUS"), F.col("cl.DENIAL_REASON")
     days = C.days_between("cl.SERVICE_DATE", "cl.FILING_DATE")
     limit = F.col("py.TIMELY_FILING_DAYS")
@@ -218,8 +208,8 @@ def denials_revcycle(t: Tables) -> DataFrame:
         F.col("cl.CLAIM_ID"),
         F.col("cl.LINE_NUMBER"),
         F.col("cl.ENCOUNTER_ID"),
-        F.col("pt.MRN"),
-        _patient_name("pt").alias("PATIENT_NAME"),
+        F.col("p.MRN"),
+        _patient_name().alias("PATIENT_NAME"),
         F.col("cl.PAYER_SK"),
         F.col("py.PAYER_NAME"),
         F.col("py.PAYER_TYPE"),

@@ -159,6 +159,11 @@ class Refresh:
         names = list(MARTS) + list(n.lower() for n in models.PREDICTION_TABLES) + ["data_quality_checks"]
         return sinks.table_inventory(self.spark, {n.upper(): self.path(n) for n in names})
 
+    def prediction_tables(self) -> DataFrame:
+        """Q58 on a live refresh: TABLE_NAME, ROW_COUNT, BYTES, LAST_ALTERED of the written prediction tables."""
+        return sinks.table_inventory(self.spark, {n: self.path(n.lower()) for n in models.PREDICTION_TABLES}) \
+                    .orderBy(F.asc_nulls_last("TABLE_NAME"))
+
     # -- O4 ordering ----------------------------------------------------------------
     def run(self) -> dict:
         marts = self.refresh_marts()
@@ -185,7 +190,12 @@ def latest_runs(log: DataFrame, n: int = 50) -> DataFrame:
     return log.orderBy(F.desc_nulls_first("RUN_TS")).limit(n)
 
 
-def model_metrics_pivot(model_log: DataFrame) -> DataFrame:
-    """Latest value of each metric per model, one column per metric."""
+# Metrics that the refresh logs for its models.
+MODEL_METRICS = ["ANOMALY_COUNT", "PREDICTION_COUNT"]
+
+
+def model_metrics_pivot(model_log: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Latest value of each metric per model, one column per metric
+    (given, so no job looks for them)."""
     latest = model_log.groupBy("MODEL_NAME", "METRIC_NAME").agg(F.max_by("METRIC_VALUE", "LOG_TS").alias("V"))
-    return latest.groupBy("MODEL_NAME").pivot("METRIC_NAME").agg(F.first("V"))
+    return latest.groupBy("MODEL_NAME").pivot("METRIC_NAME", metrics or MODEL_METRICS).agg(F.first("V"))

@@ -8,7 +8,7 @@ duplicate keys leaves the aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions import compat as C
@@ -126,10 +126,13 @@ def summary(checks: DataFrame) -> DataFrame:
 
 def latest_batch(check_log: DataFrame, window_minutes: int = 5) -> DataFrame:
     """Checks within ``window_minutes`` of the newest CHECK_TS, counted
-    by result (scalar subquery for the newest timestamp)."""
-    newest = check_log.select(F.max("CHECK_TS")).scalar()
-    recent = check_log.where(F.col("CHECK_TS") >= newest - F.expr(f"INTERVAL {window_minutes} MINUTES"))
-    return recent.groupBy("RESULT").agg(F.count(F.lit(1)).alias("N"))
+    by result. The log is read once: it is counted by (time, result) first, and
+    the newest time is a window over those few rows."""
+    counts = check_log.groupBy("CHECK_TS", "RESULT").agg(F.count(F.lit(1)).alias("N"))
+    newest = F.max("CHECK_TS").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    recent = counts.withColumn("_newest", newest).where(
+        F.col("CHECK_TS") >= F.col("_newest") - F.expr(f"INTERVAL {window_minutes} MINUTES"))
+    return recent.groupBy("RESULT").agg(F.sum("N").alias("N"))
 
 
 # Minutes between a mart's checks and the newest ones in the registered D16 query.

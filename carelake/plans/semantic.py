@@ -151,6 +151,18 @@ def _source_for(t: Tables, base: str, dim_tables: set[str]) -> DataFrame:
     return df
 
 
+def fact_query(t: Tables, table: str, facts: list[str] | None = None, dims: list[str] | None = None,
+               where: Column | None = None) -> DataFrame:
+    """Rows of a logical table under the semantic names of its facts and
+    dimensions (all facts, no dimensions unless named)."""
+    known, by = FACTS[table], DIMENSIONS[table]
+    src = TABLES[table].source(t)
+    if where is not None:
+        src = src.where(where)
+    return src.select(*[F.col(by[d]).alias(d) for d in dims or []],
+                      *[F.col(known[f]).alias(f) for f in (known if facts is None else facts)])
+
+
 def metric_query(t: Tables, metrics: list[str], dims: list[str], where: Column | None = None,
                  verify_keys: bool = False) -> DataFrame:
     """X6."""
@@ -197,6 +209,8 @@ QUERIES = {
         t, ["AVG_COST_PER_DAY", "TOTAL_NET_REVENUE"], ["readmissions.READMIT_PAYER_TYPE"]).select(
         "READMIT_PAYER_TYPE", F.round("AVG_COST_PER_DAY", 4).alias("AVG_COST_PER_DAY"),
         F.round("TOTAL_NET_REVENUE", 2).alias("TOTAL_NET_REVENUE")),
+    "x3_or_case_facts": lambda t: fact_query(t, "or_cases", dims=["CASE_ID", "OR_FACILITY"]),
+    "x3_anomaly_facts": lambda t: fact_query(t, "denial_anomalies", dims=["ANOMALY_CATEGORY", "ANOMALY_DATE"]),
     "x6_timely_filing": lambda t: metric_query(t, ["TIMELY_FILING_PCT", "DENIED_CLAIM_COUNT"], []).select(
         F.round("TIMELY_FILING_PCT", 4).alias("TIMELY_FILING_PCT"), "DENIED_CLAIM_COUNT"),
     "x6_readmission_metrics_by_facility": lambda t: metric_query(

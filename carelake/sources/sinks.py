@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,9 +69,14 @@ def read_current(spark: SparkSession, table_root: str) -> DataFrame:
     return spark.read.parquet(p)
 
 
+_APPENDING = threading.Lock()
+
+
 def append(df: DataFrame, path: str) -> None:
-    """Append rows to a log table."""
-    df.write.mode("append").parquet(path)
+    """Append rows to a log table. One job at a time: two that write to
+    one folder share its temporary directory, and the first to commit removes it."""
+    with _APPENDING:
+        df.write.mode("append").parquet(path)
 
 
 def with_audit(df: DataFrame, loaded_at_col: str = "_LOADED_AT") -> DataFrame:
@@ -80,8 +86,8 @@ def with_audit(df: DataFrame, loaded_at_col: str = "_LOADED_AT") -> DataFrame:
 
 def table_inventory(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """(TABLE_NAME, ROW_COUNT, BYTES, LAST_ALTERED) of written tables.
-    Row counts come from Spark (parquet footers); sizes and times from the
-    file system listing of the current version only."""
+    Row counts come from Spark (parquet footers); size and time are two calls
+    to the file system per table, on the folder of its current version."""
     rows = []
     counts = None
     for name, root in roots.items():
@@ -89,13 +95,7 @@ def table_inventory(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         if p is None:
             continue
         fs, path = _fs(spark, p)
-        size, mtime = 0, 0
-        it = fs.listFiles(path, True)
-        while it.hasNext():
-            st = it.next()
-            size += st.getLen()
-            mtime = max(mtime, st.getModificationTime())
-        rows.append((name, int(size), int(mtime)))
+        rows.append((name, int(fs.getContentSummary(path).getLength()), int(fs.getFileStatus(path).getModificationTime())))
         c = spark.read.parquet(p).agg(F.count(F.lit(1)).alias("ROW_COUNT")).select(F.lit(name).alias("TABLE_NAME"), "ROW_COUNT")
         counts = c if counts is None else counts.unionByName(c)
     meta = spark.createDataFrame(rows, "TABLE_NAME string, BYTES long, MTIME_MS long")

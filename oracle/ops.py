@@ -190,6 +190,11 @@ Q["x6_denials_and_cases_by_readmit_payer"] = (
 Q["x6_cost_and_revenue_by_payer"] = (
     "SELECT PAYER_TYPE AS READMIT_PAYER_TYPE, round(avg(COST_PER_DAY), 4) AS AVG_COST_PER_DAY, "
     "round(sum(NET_REVENUE), 2) AS TOTAL_NET_REVENUE FROM m_readmit GROUP BY 1")
+Q["x3_or_case_facts"] = ("SELECT CASE_ID, FACILITY_NAME AS OR_FACILITY, DELAY_MINUTES, CASE_MINUTES, TURNOVER_MINUTES, BLOCK_MINUTES, "
+                         "UTILIZATION_PCT FROM m_or")
+Q["x3_anomaly_facts"] = (
+    "SELECT DENIAL_CATEGORY AS ANOMALY_CATEGORY, TS AS ANOMALY_DATE, EXPECTED_COUNT AS ANOM_EXPECTED_COUNT, "
+    "ACTUAL_COUNT AS ANOM_ACTUAL_COUNT, ACTUAL_CHARGES AS ANOM_ACTUAL_CHARGES, PERCENTILE AS ANOM_PERCENTILE FROM pred_denial_anomalies")
 Q["x6_timely_filing"] = (
     "SELECT round(avg(CASE WHEN IS_TIMELY_FILED THEN 1 ELSE 0 END) * 100, 4) AS TIMELY_FILING_PCT, "
     "count(CLAIM_LINE_SK) AS DENIED_CLAIM_COUNT FROM m_den")

@@ -38,6 +38,7 @@ def test_versioned_write_swaps_current(spark, tmp_path):
     sinks.write_version(spark.range(3), root, "v1")
     sinks.write_version(spark.range(5), root, "v2")
     assert sinks.read_current(spark, root).count() == 5
+    assert sorted(p.name for p in (tmp_path / "tbl").iterdir() if not p.name.startswith(".")) == ["_CURRENT", "v=v1", "v=v2"]
 
 
 def test_refresh_pipeline_end_to_end(spark, tmp_path):
@@ -55,5 +56,10 @@ def test_refresh_pipeline_end_to_end(spark, tmp_path):
     inv = {row.TABLE_NAME: row for row in r.inventory().collect()}
     assert inv["MART_READMISSION_LOS"].ROW_COUNT == out["marts"]["mart_readmission_los"]
     assert inv["MART_READMISSION_LOS"].BYTES > 0
+    preds = r.prediction_tables().collect()
+    assert [p.TABLE_NAME for p in preds] == ["PRED_DENIAL_ANOMALIES", "PRED_ENCOUNTER_VOLUME", "PRED_LEAKAGE_DRIVERS",
+                                             "PRED_READMISSION_DRIVERS"]
+    assert all(p.BYTES > 0 and p.LAST_ALTERED is not None for p in preds)
+    assert "_LOADED_AT" in r.table("mart_readmission_los").columns
     piv = model_metrics_pivot(spark.read.parquet(r.path("model_performance_log"))).collect()
     assert {p.MODEL_NAME for p in piv} == {"FORECAST_ENCOUNTER_VOLUME", "ANOMALY_DENIAL_VOLUME"}
