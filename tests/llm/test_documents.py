@@ -266,6 +266,72 @@ def test_secret_lexer_is_quick_on_long_words():
 
 # --- pipeline ---
 
+def test_every_stage_is_brute_force_on_its_own_input(spark, tmp_path):
+    """quality, exact and near duplicates, mix and bins of sf0.01, each worked out in Python from the stage's input."""
+    from tests.llm.test_near import brute
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def step(name, d):
+        stages[name](spark, d, SF).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    rows = {r.doc_id: r for r in docs.collect()}
+    measured = {d: brute_measures(r.text) for d, r in rows.items()}
+    base = {d for d, (n, _, _, _, rep) in measured.items() if n < 50 or 100 * rep > 50 * n}
+    soft = {d for d, (n, chars, sym, dup, _) in measured.items() if sym > 0.1 * n or 100 * dup > 5 * n or not 2 * n <= chars <= 15 * n}
+    n, bad = Counter(r.source for r in rows.values()), Counter(rows[d].source for d in base | soft)
+    mu = sum(bad.values()) / sum(n.values())
+    rates = [bad[h] / n[h] for h in n]
+    v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / (len(rates) - 1)
+    k = max(mu * (1 - mu) / v - 1, 1.0) if v > 0 else 100.0
+    rejected = {h for h in n if (bad[h] + mu * k) / (n[h] + k) > 0.5}
+    good = step("quality_rules", docs)
+    left = {r.doc_id: r for r in good.collect()}
+    assert set(left) == {d for d in rows if d not in base and not (d in soft and rows[d].source in rejected)}
+    assert good.columns == docs.columns and all(left[d] == rows[d] for d in left)
+
+    unique = step("exact_dedup", good)
+    want = {min(ms, key=lambda m: (-m[1], m[0]))[0] for ms in groups_of((d, r.text) for d, r in left.items()).values()}
+    left = {r.doc_id: r for r in unique.collect()}
+    assert set(left) == want
+
+    far = step("ngram_jaccard_join", unique)
+    classes = brute([(d, r.text) for d, r in left.items()])
+    left = {r.doc_id: r for r in far.collect()}
+    assert set(left) == {c for c, _ in classes.values()}
+
+    mixed = step("mixing", far)
+    size = {d: len(WORDS.findall(r.text)) for d, r in left.items()}
+    by = defaultdict(list)
+    for d, r in left.items():
+        by[r.source].append(d)
+    target, total, capped = {}, sum(size.values()), set()
+    weight = {h: (5, 2, 1)[i % 3] for i, h in enumerate(sorted(by))}
+    full = {h: sum(size[d] for d in by[h]) for h in by}
+    while True:
+        rest = total - sum(3 * full[h] for h in capped)
+        target = {h: 3 * full[h] if h in capped else rest * weight[h] / sum(w for x, w in weight.items() if x not in capped) for h in by}
+        over = {h for h in by if h not in capped and target[h] > 3 * full[h]}
+        if not over:
+            break
+        capped |= over
+    times = Counter()
+    for h, ids in by.items():
+        epochs, rest = divmod(int(target[h]), full[h])
+        for d in sorted(ids, key=lambda d: hashlib.md5(f"mix-1:{d}".encode()).hexdigest()):
+            times[d] += epochs + (2 * min(size[d], max(rest, 0)) >= size[d] and rest > 0)
+            rest -= size[d]
+    got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert got == +times
+
+    bins = step("best_fit_packing", mixed)
+    lens = Counter()
+    for d, c in got.items():
+        lens[d] += c * (size[d] + 1)
+    assert check_bins(bins.collect(), packing.LENGTHS, lens) > 0.95
+
+
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "exact_dedup", "ngram_jaccard_join", "mixing", "best_fit_packing"]
