@@ -14,7 +14,8 @@
 The text: what is left of the article elements (else of main, else of the body); blocks in page
 order, joined by a line feed; white space inside a block, line breaks included, becomes one space.
 
-Null, empty and unparsable pages give an empty text. Null or malformed urls are one host. Rows
+Malformed declarations are comments up to the next ">" and references to no character are U+FFFD; the
+text behind them counts. Null and empty pages give an empty text. Null or malformed urls are one host. Rows
 repeated whole give the same text and count once. An empty table gives an empty result. Pages are
 read whole; batches hold few rows.
 """
@@ -55,6 +56,8 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ma
             "pagination pager toolbar skip hidden".split())
 HEADERS = {"header", "topbar"}  # of the page; inside an article they hold its title
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ZEROS = re.compile(r"&#0+(?=[0-9])")
+FAR_REFERENCE = re.compile(r"&#[0-9]{1000,};?")  # no code point; int() refuses very long ones
 
 
 class Node:
@@ -105,6 +108,12 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except (AssertionError, ValueError):  # "<![foo]>": a bogus comment up to ">", as in HTML
+            return self.parse_bogus_comment(i)
+
 
 def _named(tag: str, attrs, words: set) -> bool:
     """Does a class, id or role of the element hold one of the words?"""
@@ -128,11 +137,8 @@ def _is_noise(tag: str, attrs) -> bool:
 
 def parse(html: str | None) -> Node:
     t = Tree()
-    try:
-        t.feed(html or "")
-        t.close()
-    except (AssertionError, ValueError):  # malformed declarations: what came before them counts
-        pass
+    t.feed(FAR_REFERENCE.sub("\ufffd", ZEROS.sub("&#", html or "")))
+    t.close()
     return t.root
 
 

@@ -56,6 +56,13 @@ def test_parts_of_a_page():
     assert html_extract.main_text(deep) == "x"
 
 
+@pytest.mark.parametrize("stray", ["<![foo]>", "<![ x>", "<![>", "<![foo bar[x]]>", "<!x>", "&#" + "9" * 5000 + ";"])
+def test_text_behind_malformed_markup_is_kept(stray):
+    got = html_extract.main_text(f"<article><p>a</p>{stray}<p>b</p></article><p>no</p>").split("\n")
+    assert got[0] == "a" and got[-1] == "b" and len(got) <= 3
+    assert html_extract.main_text(f"<article><p>a</p><![foo <p>b</p><p>c</p></article>") == "a\nb\nc"
+
+
 def test_recurring_subtrees_go_and_copies_do_not(spark):
     def page(i, body):
         return f"<body><div><p>Welcome to our site</p><p>Call us</p></div><div><p>{body}</p></div><div>Legal {i % 2}</div></body>"
