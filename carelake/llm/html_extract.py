@@ -8,6 +8,8 @@
    Counts are combined before the shuffle; a host with a third of all pages is no hot spot.
 3. Each page is parsed again and its template subtrees are deleted, together with what the markup
    itself names as no part of an article (navigation, asides, forms, scripts, adverts, comments, ...).
+   Names count as whole ("ad-box", not "has-sidebar"); what holds an article element or most of the page's
+   text is never deleted for its name or as a form.
    Inside an article element, paragraphs, headings and the like are its text however often they
    recur; only other containers are deleted as template there.
 
@@ -54,6 +56,10 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ma
             "sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter subscribe "
             "signup login share sharing social comment comments disqus reply replies respond related recommended widget "
             "pagination pager toolbar skip hidden".split())
+# words that may stand beside them in one name ("ad-box"); any other ("has-sidebar", "comments-open") speaks of something else
+BESIDE = set("area bar block body bottom box button buttons col column container entry first footer form global group head "
+             "header holder icon icons inner item items last left link links list main media message page panel post posts "
+             "primary right row secondary section site slot thread title top unit widgets wrap wrapper zone".split())
 HEADERS = {"header", "topbar"}  # of the page; inside an article they hold its title
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ZEROS = re.compile(r"&#0+(?=[0-9])")
@@ -61,10 +67,10 @@ FAR_REFERENCE = re.compile(r"&#[0-9]{1000,};?")  # no code point; int() refuses
 
 
 class Node:
-    __slots__ = ("tag", "noise", "header", "children")
+    __slots__ = ("tag", "noise", "named", "header", "children")
 
-    def __init__(self, tag: str, noise: bool = False, header: bool = False):
-        self.tag, self.noise, self.header, self.children = tag, noise, header, []
+    def __init__(self, tag: str, noise: bool = False, named: bool = False, header: bool = False):
+        self.tag, self.noise, self.named, self.header, self.children = tag, noise, named, header, []
 
 
 class Tree(HTMLParser):
@@ -92,7 +98,8 @@ class Tree(HTMLParser):
             self._close({"p"}, SCOPES)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        node = Node(tag, _is_noise(tag, attrs), tag == "header" or _named(tag, attrs, HEADERS))
+        node = Node(tag, _is_noise(tag, attrs), tag == "form" or _named(tag, attrs, NOISE),
+                    tag == "header" or _named(tag, attrs, HEADERS))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -115,15 +122,21 @@ class Tree(HTMLParser):
             return self.parse_bogus_comment(i)
 
 
+def _names(token: str, words: set) -> bool:
+    """Is a class, id or role made of the words, but for numbers and words of BESIDE?"""
+    held = [w.lower() for w in CLASS_WORD.findall(token)]
+    return not words.isdisjoint(held) and all(w in words or w in BESIDE or w.isdigit() for w in held)
+
+
 def _named(tag: str, attrs, words: set) -> bool:
-    """Does a class, id or role of the element hold one of the words?"""
+    """Does a class, id or role of the element name one of the words?"""
     return tag not in ("html", "body", "article", "main") and any(
-        value and name in ("class", "id", "role") and not words.isdisjoint(w.lower() for w in CLASS_WORD.findall(value))
-        for name, value in attrs)
+        value and name in ("class", "id", "role") and any(_names(t, words) for t in value.split()) for name, value in attrs)
 
 
 def _is_noise(tag: str, attrs) -> bool:
-    if tag in NO_TEXT or _named(tag, attrs, NOISE):
+    """Noise by its tag or as hidden, whatever it holds."""
+    if tag in NO_TEXT and tag != "form":
         return True
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -139,9 +152,39 @@ def parse(html: str | None) -> Node:
     t = Tree()
     t.feed(FAR_REFERENCE.sub("\ufffd", ZEROS.sub("&#", html or "")))
     t.close()
+    _settle(t.root)
     return t.root
 
 
+def _settle(root: Node) -> None:
+    """Makes noise of the forms and of what is named so, but for what holds an article or main that is not
+    itself in an article, or most of the page's text."""
+    sums: list[list] = [[0, False]]  # of each open element: characters of shown text, does it hold an article
+    held: list[tuple[Node, int, bool]] = []
+    noise = articles = 0
+    for n, leaving in walk(root):
+        if not isinstance(n, Node):
+            if not noise:
+                sums[-1][0] += len("".join(n.split()))
+        elif not leaving:
+            noise += n.noise
+            articles += n.tag == "article"
+            sums.append([0, False])
+        else:
+            noise -= n.noise
+            articles -= n.tag == "article"
+            chars, holds = sums.pop()
+            if n.named or n.header:
+                held.append((n, chars, holds and not articles))
+            sums[-1][0] += chars
+            sums[-1][1] |= holds or n.tag in ("article", "main") and not n.noise and not noise
+    for n, chars, holds in held:
+        if holds or 2 * chars > sums[0][0]:
+            n.header = False
+        else:
+            n.noise |= n.named
+
+
 def walk(node: Node):
     """(node, is it leaving) in page order, without recursion: trees may be deep."""
     stack = [(node, False)]

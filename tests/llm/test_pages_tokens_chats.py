@@ -63,6 +63,17 @@ def test_text_behind_malformed_markup_is_kept(stray):
     assert html_extract.main_text(f"<article><p>a</p><![foo <p>b</p><p>c</p></article>") == "a\nb\nc"
 
 
+@pytest.mark.parametrize("start, end", [
+    *((f'<div class="{c}">', "</div>") for c in ("layout has-sidebar", "no-sidebar", "content-share", "comments-open", "sidebar", "related")),
+    ("<form>", "</form>"), ('<form><div id="header">', "</div></form>"), ('<div role="alert">', "</div>")])
+def test_names_of_wrappers_delete_no_article(start, end):
+    rest = '<nav>menu</nav><div class="ad-box">Buy</div>'
+    assert html_extract.main_text(f"{rest}{start}<article><p>one</p>{rest}<p>two</p></article>{end}") == "one\ntwo"
+    assert html_extract.main_text(f"{rest}{start}<main><p>one</p>{rest}</main>{end}") == "one"
+    assert html_extract.main_text(f"{rest}{start}{rest}<p>most of the text of the page</p>{end}") == "most of the text of the page"
+    assert html_extract.main_text(f"<article>{rest}{start}{rest}<p>most of the text of the page</p>{end}</article>") == "most of the text of the page"
+
+
 def test_recurring_subtrees_go_and_copies_do_not(spark):
     def page(i, body):
         return f"<body><div><p>Welcome to our site</p><p>Call us</p></div><div><p>{body}</p></div><div>Legal {i % 2}</div></body>"
