@@ -4,7 +4,8 @@
    children) and go out with the page's host and a fingerprint of its article.
 2. Spark counts, per host and subtree hash, the different articles it stands beside. Copies of one
    article (campaign links, reposts) count once, so an article never becomes its own template. A
-   subtree with MIN_PAGES different articles and MIN_SHARE of the host's is part of the site template.
+   subtree with MANY_PAGES different articles is part of the site template, however large the host; on
+   small hosts MIN_PAGES are enough if they are MIN_SHARE of the host's articles.
    Counts are combined before the shuffle; a host with a third of all pages is no hot spot.
 3. Each page is parsed again and its template subtrees are deleted, together with what the markup
    itself names as no part of an article (navigation, asides, forms, scripts, adverts, comments, ...).
@@ -25,6 +26,7 @@ read whole; batches hold few rows.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,6 +39,7 @@ from carelake.llm.common import arrow_batches, fresh, save, table
 
 MIN_PAGES = 3
 MIN_SHARE = 0.3
+MANY_PAGES = 20
 
 # Fixed values of HTML: elements without content, elements whose text is never shown as an article's,
 # elements that start a block of their own, and elements that an opening tag closes.
@@ -52,7 +55,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = set("article section div main body html td th li nav header footer aside form table ul ol dl blockquote".split())
 # words of class, id and role that name no part of an article
-NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead ad ads advert advertisement adverts "
+NOISE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead ad ads advert advertisement adverts "
             "sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter subscribe "
             "signup login share sharing social comment comments disqus reply replies respond related recommended widget "
             "pagination pager toolbar skip hidden".split())
@@ -60,7 +63,7 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ma
 BESIDE = set("area bar block body bottom box button buttons col column container entry first footer form global group head "
              "header holder icon icons inner item items last left link links list main media message page panel post posts "
              "primary right row secondary section site slot thread title top unit widgets wrap wrapper zone".split())
-HEADERS = {"header", "topbar"}  # of the page; inside an article they hold its title
+HEADERS = frozenset({"header", "topbar"})  # of the page; inside an article they hold its title
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ZEROS = re.compile(r"&#0+(?=[0-9])")
 FAR_REFERENCE = re.compile(r"&#[0-9]{1000,};?")  # no code point; int() refuses very long ones
@@ -122,13 +125,14 @@ class Tree(HTMLParser):
             return self.parse_bogus_comment(i)
 
 
-def _names(token: str, words: set) -> bool:
+@lru_cache(10_000)
+def _names(token: str, words: frozenset) -> bool:
     """Is a class, id or role made of the words, but for numbers and words of BESIDE?"""
     held = [w.lower() for w in CLASS_WORD.findall(token)]
     return not words.isdisjoint(held) and all(w in words or w in BESIDE or w.isdigit() for w in held)
 
 
-def _named(tag: str, attrs, words: set) -> bool:
+def _named(tag: str, attrs, words: frozenset) -> bool:
     """Does a class, id or role of the element name one of the words?"""
     return tag not in ("html", "body", "article", "main") and any(
         value and name in ("class", "id", "role") and any(_names(t, words) for t in value.split()) for name, value in attrs)
@@ -159,13 +163,13 @@ def parse(html: str | None) -> Node:
 def _settle(root: Node) -> None:
     """Makes noise of the forms and of what is named so, but for what holds an article or main that is not
     itself in an article, or most of the page's text."""
-    sums: list[list] = [[0, False]]  # of each open element: characters of shown text, does it hold an article
+    sums: list[list] = [[0, False]]  # of each open element: length of its shown text, does it hold an article
     held: list[tuple[Node, int, bool]] = []
     noise = articles = 0
     for n, leaving in walk(root):
         if not isinstance(n, Node):
-            if not noise:
-                sums[-1][0] += len("".join(n.split()))
+            if not noise and not n.isspace():
+                sums[-1][0] += len(n)
         elif not leaving:
             noise += n.noise
             articles += n.tag == "article"
@@ -270,18 +274,37 @@ def main_text(html: str | None, templates=()) -> str:
     return "\n".join(b for c in contents(root) for b in blocks(c, frozenset(templates), hashes))
 
 
-PAGE = T.StructType([T.StructField("article", T.LongType()), T.StructField("subtrees", T.ArrayType(T.LongType()))])
+def deletable(root: Node, hashes: dict[int, int]) -> set[int]:
+    """Hashes of the subtrees that ``blocks`` would delete as template; the markup settles the others."""
+    out = set()
+    for content in contents(root):
+        inside, skip = content.tag in ("article", "main"), 0
+        for n, leaving in walk(content):
+            if not isinstance(n, Node) or n is content:
+                continue
+            if n.noise or n.header and not inside:
+                skip += -1 if leaving else 1
+            elif not skip and not leaving and id(n) in hashes and not (inside and n.tag in PROSE):
+                out.add(hashes[id(n)])
+    return out
+
+
+PAGE = T.StructType([T.StructField("article", T.LongType()), T.StructField("subtrees", T.ArrayType(T.LongType())),
+                     T.StructField("own", T.ArrayType(T.LongType()))])
 
 
 @F.arrow_udf(PAGE)
 def page_subtrees(pages: pa.Array) -> pa.Array:
-    articles, subtrees = [], []
+    articles, subtrees, own = [], [], []
     for html in pages.to_pylist():
         root = parse(html)
         text = "\n".join(b for c in contents(root) for b in blocks(c))
         articles.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1)
-        subtrees.append(sorted(set(subtree_hashes(root).values())))
-    return pa.StructArray.from_arrays([pa.array(articles, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], PAGE.names)
+        hashes = subtree_hashes(root)
+        subtrees.append(sorted(set(hashes.values())))
+        own.append(sorted(deletable(root, hashes)))
+    lists = [pa.array(x, pa.list_(pa.int64())) for x in (subtrees, own)]
+    return pa.StructArray.from_arrays([pa.array(articles, pa.int64()), *lists], PAGE.names)
 
 
 @F.arrow_udf(T.StringType())
@@ -299,8 +322,8 @@ def site_templates(known: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
     hosts = known.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
     hosts = hosts.withColumnRenamed("host", "h")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= MIN_SHARE * F.col("articles")) \
-                 .select("host", "subtree")
+    many = (F.col("n") >= MANY_PAGES) | (F.col("n") >= MIN_SHARE * F.col("articles"))
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(many).select("host", "subtree")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -310,7 +333,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     known = save(pages.select(host(F.col(url)).alias("host"), digest.alias("digest"), page_subtrees(F.col(html)).alias("x"))
                  .select("host", "digest", "x.*").dropDuplicates(["host", "digest"]), "subtrees")
     templates = save(site_templates(known), "templates").select(F.col("host").alias("h"), F.col("subtree").alias("s"))
-    mine = known.select("host", "digest", F.explode("subtrees").alias("subtree")) \
+    mine = known.select("host", "digest", F.explode("own").alias("subtree")) \
         .join(templates, F.col("host").eqNullSafe(F.col("h")) & (F.col("subtree") == F.col("s")))
     lists = save(mine.groupBy("host", "digest").agg(F.collect_list("subtree").alias(f"{out}_templates")), "page-templates") \
         .withColumnsRenamed({"host": f"{out}_host", "digest": f"{out}_digest"})

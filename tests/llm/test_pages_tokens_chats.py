@@ -91,6 +91,17 @@ def test_recurring_subtrees_go_and_copies_do_not(spark):
     assert html_extract.extract(d.where(F.lit(False))).count() == 0
 
 
+def test_templates_of_one_layout_of_a_large_host_go(spark):
+    def page(i):
+        return f"<body><div><p>{'Season ticket offer' if i % 10 == 0 else f'lead {i}'}</p></div><div><p>story {i}</p><p>seen {i // 15}</p></div></body>"
+
+    rows = [(i, u, page(i)) for i in range(300) for u in (f"http://a.example/{i}", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for r in html_extract.extract(d).collect():
+        lead = "" if r.page_id % 10 == 0 else f"lead {r.page_id}\n"
+        assert r[-1] == f"{lead}story {r.page_id}\nseen {r.page_id // 15}"
+
+
 def test_article_paragraphs_stay_however_often_they_recur(spark):
     rows = [(i, "http://a.example/%d" % i, f"<article><p>shared passage</p><p>own {i}</p><div>Share this</div></article>") for i in range(9)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
