@@ -246,6 +246,37 @@ def test_license_notices(text, found):
     assert [x.split(":")[0] for x in got.split(",") if x] == found and n == len(found)
 
 
+GNU = "is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; " \
+      "either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("text, found", [
+    ("This program " + GNU.format("General Public License", "2"), ["GPL-2.0-or-later"]),
+    ("This library " + GNU.format("Lesser General Public License", "2.1"), ["LGPL-2.1-or-later"]),
+    ("This program " + GNU.format("Lesser General Public License", "3"), ["LGPL-3.0-or-later"]),
+    ("This program " + GNU.format("Affero General Public License", "3"), ["AGPL-3.0-or-later"]),
+    ("This program " + GNU.format("General Public License", "3"), ["GPL-3.0-or-later"]),
+    ("distributed under the MIT license", ["MIT"]), ("This is available under the Apache License 2.0", ["Apache-2.0"]),
+    ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]), ("published under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+    ("released under the GNU Lesser General Public License v3", ["LGPL-3.0"]), ("licensed under GPLv3", ["GPL-3.0"]),
+])
+def test_license_siblings_and_wordings(text, found):
+    n, got = licenses.scan("some words " + text + "\nand more", KNOWN)
+    assert [x.split(":")[0] for x in got.split(",") if x] == found
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEXTS))
+def test_whole_license_texts(name):
+    words = licenses.TEXTS[name].split()
+    telling = {w for n, must, x in licenses.TEMPLATES if x == licenses.TEXTS[name] for w in must.split()}
+    changed = " ".join(w for i, w in enumerate(words) if i % 15 != 5 or any(x in w.lower() for x in telling))  # words are gone
+    for text, least in ((" ".join(words), 100), (changed, 85)):
+        _, got = licenses.scan("before. " + text + " after", KNOWN)
+        best = max(got.split(","), key=lambda x: int(x.split(":")[2]) - int(x.split(":")[1])).split(":")
+        assert best[0] == name and int(best[3]) >= least and int(best[2]) - int(best[1]) > 0.95 * len(text)
+
+
 def test_prefilter_drops_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     everything = [t._replace(triggers=("",)) for t in KNOWN]
