@@ -9,7 +9,8 @@ Base kinds (plain patterns, leftmost and non-overlapping each, too short ones dr
 The lexer adds spans of literals that are bound to a sensitive name. It reads source and configuration
 syntax statement by statement (``name = literal``, ``name: literal``, ``name := literal``,
 ``"name" => literal``, ``name=literal`` as keyword argument or in a query string, ``export NAME=...``,
-``<name>literal</name>``) into name-literal pairs. Right sides are joined (``"ab" + "cd"``, adjacent
+``<name>literal</name>``, ``name: type = literal``, ``var name type = literal``, ``name[] = literal``,
+``#define name literal``, ``a = name = literal``, literals in parentheses) into name-literal pairs. Right sides are joined (``"ab" + "cd"``, adjacent
 strings) and propagated: ``x = "..."`` then ``password = x`` marks the literal of x, through any number
 of steps. A literal's score adds up how sensitive the words of its names are and how much it looks like
 a secret (length, kinds of characters, entropy); placeholders and references score nothing.
@@ -60,6 +61,17 @@ NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"  # possessive:
 BINDING = re.compile(
     rf"""(?P<quote>["'])?(?P<name>{NAME})(?(quote)(?P=quote))\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
     rf"""(?P<value>(?:(?:{STRING})|{NAME}(?![\w.+/=-]))(?:[ \t]*\+?[ \t]*(?:{STRING})|[ \t]*\+[ \t]*{NAME})*|[^\s"'`,;&<>(){{}}\[\]]+)""")
+# Declarations whose literal BINDING does not reach; each with a text without which it can't match.
+LITERALS = rf"""(?:\([ \t\r\n]*+)?(?P<value>(?:(?:{STRING})|{NAME}(?![\w.+/=(-]))(?:[ \t\r\n]*+\+?[ \t\r\n]*+(?:{STRING})|[ \t]*\+[ \t]*{NAME})*)"""
+TYPE = (r"[&*]?(?:'\w++[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][\w.:]*+(?:[ \t]*[<\[][^\n=\"';]{0,60}[>\]])?(?:[ \t]*\|[ \t]*[\w.]++){0,4}[?*]?"
+        r"(?:\[\w*\])?")
+DECLARED = [(need, re.compile(x)) for need, x in (
+    (":", rf"(?P<name>{NAME})[?!]?[ \t]*:[ \t]*{TYPE}[ \t]*=(?![=>])[ \t]*{LITERALS}"),           # password: str = ".."
+    ("]", rf"(?P<name>{NAME})[ \t]*\[\w*\][ \t]*=(?![=>])[ \t]*{LITERALS}"),                      # char password[] = ".."
+    ("define", rf"#[ \t]*define[ \t]+(?P<name>{NAME})[ \t]+{LITERALS}"),
+    (" ", rf"\b(?:var|const|let|static)[ \t]+(?P<name>{NAME}[ \t]+{NAME})[ \t]*=(?![=>])[ \t]*{LITERALS}"),  # var password string = ".."
+    ("=", rf"(?P<name>{NAME}(?:[ \t]*=[ \t]*{NAME}){{1,8}})[ \t]*=(?![=>])[ \t]*{LITERALS}"),       # a = password = ".."
+    ("(", rf"""(?P<quote>["'])?(?P<name>{NAME})(?(quote)(?P=quote))\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\(){LITERALS}"""))]
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\s]+)</(?P=name)>")
 PART = re.compile(rf"(?P<string>{STRING})|(?P<name>{NAME})")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -96,7 +108,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def bindings(text: str):
     """(name, parts) in the order of the text; a part is a name (str) or a literal (start, end)."""
-    for m in sorted([*BINDING.finditer(text), *(ELEMENT.finditer(text) if "</" in text else ())], key=lambda m: m.start()):
+    declared = [m for need, x in DECLARED if need in text for m in x.finditer(text)] if '"' in text or "'" in text else []
+    taken = {m.start("name") for m in declared}
+    plain = [m for m in BINDING.finditer(text) if m.start("name") not in taken]
+    for m in sorted([*plain, *declared, *(ELEMENT.finditer(text) if "</" in text else ())], key=lambda m: m.start("name")):
+        if m.start("name") in taken:  # several targets, or a name and its type
+            parts = [(m.start("value") + p.start() + 1, m.start("value") + p.end() - 1) if p["string"] else p["name"]
+                     for p in PART.finditer(m["value"])]
+            for name in re.findall(NAME, m["name"]):
+                yield name, parts, None
+            continue
         at, value = m.start("value"), m["value"]
         if value[0] in "\"'" or PART.fullmatch(value) or "+" in value and PART.match(value):
             parts = [(at + p.start() + 1, at + p.end() - 1) if p["string"] else p["name"] for p in PART.finditer(value)]
@@ -108,7 +129,7 @@ def bindings(text: str):
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name."""
-    if not ("=" in text or ":" in text or "</" in text):
+    if not ("=" in text or ":" in text or "</" in text or "define" in text):
         return []
     bound: dict[str, list] = {}
     out = set()

@@ -259,6 +259,24 @@ def test_secret_lexer(text, found):
     assert got == found
 
 
+@pytest.mark.parametrize("text", [
+    'password: str = "@"', 'const apiKey: string = "@";', 'var password string = "@"', 'let token: &str = "@";',
+    "let token: &'static str = \"@\";", 'char password[] = "@";', '#define PASSWORD "@"', 'a = passphrase = "@"', 'passphrase = b = "@"',
+    'password = ("@")', 'password: Optional[str] = "@"', 'password: str | None = ("@")', 'const char *password[32] = "@";'])
+def test_secret_declarations(text):
+    for line in (text, f"x = 1\n{text}\ny = 2"):
+        line = line.replace("@", "Zk81mQ0sLw7hunter2")
+        assert [f"{secrets.KINDS[k]}:{line[a:b]}" for a, k, b in secrets.lexed_spans(line)] == ["literal:Zk81mQ0sLw7hunter2"]
+
+
+def test_secret_constants_of_declarations():
+    for text in ('base: str = "Zk81mQ0sLw"\npassword = base', 'const k: string = "Zk81mQ0sLw"\nconst password: string = k',
+                 'var k string = "Zk81mQ0sLw"\npassword := k'):
+        assert [f"{secrets.KINDS[k]}:{text[a:b]}" for a, k, b in secrets.lexed_spans(text)] == ["constant:Zk81mQ0sLw"]
+    for text in ("x: a = " * 20_000, "x[" * 50_000 + "'='", "a=(" * 50_000 + '"', "var x y" * 30_000 + '"='):
+        secrets.scan(text)
+
+
 def test_secret_lexer_is_quick_on_long_words():
     for text in ("a" * 300_000 + "=", "a." * 100_000 + ":", "'" * 20_000 + "=", "x=" * 50_000):
         secrets.scan(text)
