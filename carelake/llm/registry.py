@@ -14,11 +14,12 @@ from carelake.llm.quality_rules import op5_quality_rules
 from carelake.llm.runs import op12_periodic_runs
 from carelake.llm.secrets import op7_secret_scan
 from carelake.llm.token_files import op8_token_files
+from carelake.llm.toxicity import op13_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_html_extraction, op3_best_fit_packing, op4_ngram_jaccard_join, op5_quality_rules,
     op6_mixing, op7_secret_scan, op8_token_files, op9_chat_format, op10_license_scan,
-    op11_prefix_trie, op12_periodic_runs)}
+    op11_prefix_trie, op12_periodic_runs, op13_toxicity)}
 
 # Where SQL can't say it, tests/llm/ hold the query against brute force.
 ORACLE = {
