@@ -31,7 +31,7 @@ def _run_ts(t: Tables):
 @materializable
 def pred_encounter_volume(t: Tables) -> DataFrame:
     """L1: 90-day forecast of daily encounters per type."""
-    f = timeseries.weekday_forecast(V.daily_encounter_volume(t), "ENCOUNTER_TYPE", "TS", "ENCOUNTER_COUNT",
+    f = timeseries.seasonal_forecast(V.daily_encounter_volume(t), "ENCOUNTER_TYPE", "TS", "ENCOUNTER_COUNT",
                                     t.profile.forecast_days)
     return f.select(F.col("SERIES").alias("ENCOUNTER_TYPE"), F.col("TS").alias("FORECAST_DATE"),
                     F.round("FORECAST", 0).alias("FORECAST_COUNT"), F.round("LOWER", 0).alias("LOWER_BOUND"),
@@ -41,8 +41,8 @@ def pred_encounter_volume(t: Tables) -> DataFrame:
 @materializable
 def pred_denial_anomalies(t: Tables) -> DataFrame:
     """L2: anomalies in daily denials per category over the last months."""
-    a = timeseries.weekday_anomalies(V.daily_denial_volume(t), "DENIAL_CATEGORY", "TS", "DENIAL_COUNT",
-                                     t.profile.eval_months, extra=["DENIED_CHARGES"])
+    a = timeseries.quantile_anomalies(V.daily_denial_volume(t), "DENIAL_CATEGORY", "TS", "DENIAL_COUNT",
+                                      t.profile.eval_months, extra=["DENIED_CHARGES"])
     return a.select(F.col("SERIES").alias("DENIAL_CATEGORY"), "TS",
                     F.round("EXPECTED", 0).alias("EXPECTED_COUNT"), F.round("LOWER", 0).alias("LOWER_BOUND"),
                     F.round("UPPER", 0).alias("UPPER_BOUND"), "IS_ANOMALY",

@@ -36,6 +36,46 @@ def days(lo: str, hi: str) -> str:
             f"INTERVAL 1 DAY)) AS DATE) AS D")
 
 
+# the terms of a day between LO and HI: level, trend, Monday to Saturday, two waves of a year
+N_TERMS = 12
+
+
+def terms(d: str) -> str:
+    span = "CAST(greatest(date_diff('day', LO, HI), 1) AS DOUBLE)"
+    on = f"(CASE WHEN {span} >= 730 THEN 1.0 ELSE 0.0 END)"
+    turn = f"(date_diff('day', DATE '1970-01-01', {d}) * {dbl(6.283185307179586 / 365.25)})"
+    marks = [f"CASE WHEN dayofweek({d}) = {k} THEN 1.0 ELSE 0.0 END" for k in range(1, 7)]
+    waves = [f"{on} * {f}({turn} * {k})" for k in (1, 2) for f in ("sin", "cos")]
+    return "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in ["1", f"date_diff('day', LO, {d}) / {span}", *marks, *waves]) + "]"
+
+
+def lin(b: str, x: str) -> str:
+    return f"list_dot_product({b}, {x})"
+
+
+def quad(c: str, x: str) -> str:
+    return f"list_dot_product({x}, list_transform({c}, lambda row: list_dot_product(row, {x})))"
+
+
+def least_squares(prefix: str, src: str) -> dict[str, str]:
+    """{prefix}_model: SERIES, N, B, C (inverse), by Gauss-Jordan elimination in a recursive query."""
+    ij = range(1, N_TERMS + 1)
+    row = lambda i: ", ".join([f"sum(X[{i}] * X[{j}])" + (" + 1e-6" if i == j > 1 else "") for j in ij]
+                              + [f"sum(X[{i}] * Y)"] + [str(float(i == j)) for j in ij])
+    return {
+        f"{prefix}_sums": f"SELECT SERIES, count(*) AS N, CAST([{', '.join(f'[{row(i)}]' for i in ij)}] AS DOUBLE[][]) AS M FROM {src} GROUP BY 1",
+        f"{prefix}_model": f"""SELECT SERIES, N, list_transform(M, lambda r: r[{N_TERMS + 1}]) AS B,
+                    list_transform(M, lambda r: r[{N_TERMS + 2}:]) AS C
+             FROM (WITH RECURSIVE g AS (
+                     SELECT SERIES, N, 1 AS K, M FROM {prefix}_sums
+                     UNION ALL
+                     SELECT SERIES, N, K + 1, list_transform(M, lambda r, i: list_transform(r, lambda v, j:
+                       CASE WHEN i = K THEN v / M[K][K] ELSE v - M[i][K] * M[K][j] / M[K][K] END))
+                     FROM g WHERE K <= {N_TERMS})
+                   SELECT * FROM g WHERE K = {N_TERMS + 1})""",
+    }
+
+
 def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, str]:
     segs = ["{'A': -1, 'B': -1, 'VA': CAST(NULL AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}"]
     segs += [f"{{'A': {i}, 'B': -1, 'VA': CAST({d} AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}}" for i, d in enumerate(dims)]
@@ -94,38 +134,44 @@ EXTRA_CTES: dict[str, str] = {
                     CAST(IS_HIGH_VALUE AS VARCHAR) AS IS_HIGH_VALUE, FACILITY_NAME, STATUS,
                     REFERRAL_DATE >= CAST((SELECT max(REFERRAL_DATE) FROM m_leak) - INTERVAL {P.label_months} MONTH AS DATE) AS LABEL
              FROM m_leak""",
-    # L1 forecast
-    "x_fc_daily": "SELECT ENCOUNTER_TYPE AS SERIES, CAST(TS AS DATE) AS D, sum(ENCOUNTER_COUNT) AS Y FROM v1 GROUP BY 1, 2",
-    "x_fc_b": "SELECT min(D) AS MN, max(D) AS MX FROM x_fc_daily",
+    # L1 forecast: least squares on trend, weekday and year over the zero-filled days
+    "x_fc_daily": "SELECT ENCOUNTER_TYPE AS SERIES, CAST(TS AS DATE) AS D, CAST(sum(ENCOUNTER_COUNT) AS DOUBLE) AS Y FROM v1 GROUP BY 1, 2",
+    "x_fc_b": "SELECT min(D) AS LO, max(D) AS HI FROM x_fc_daily",
     "x_fc_keys": "SELECT DISTINCT SERIES FROM x_fc_daily",
-    "x_fc_dense": f"""SELECT k.SERIES, g.D, COALESCE(d.Y, 0) AS Y
-             FROM x_fc_keys k CROSS JOIN ({days('MN', 'MX')} FROM x_fc_b) g
+    "x_fc_dense": f"""SELECT k.SERIES, g.D, COALESCE(d.Y, 0) AS Y, {terms('g.D')} AS X
+             FROM x_fc_keys k CROSS JOIN x_fc_b CROSS JOIN ({days('LO', 'HI')} FROM x_fc_b) g
              LEFT JOIN x_fc_daily d ON d.SERIES = k.SERIES AND d.D = g.D""",
-    "x_fc_prof": """SELECT SERIES, dayofweek(D) AS DOW, avg(Y) AS MU, COALESCE(stddev_samp(Y), 0.0) AS SD
-             FROM x_fc_dense GROUP BY 1, 2""",
+    **least_squares("x_fc", "x_fc_dense"),
+    "x_fc_res": f"""SELECT SERIES, sum((Y - {lin('B', 'X')}) ** 2) / greatest(count(*) - {N_TERMS}, 1) AS V
+             FROM x_fc_dense JOIN x_fc_model USING (SERIES) GROUP BY 1""",
+    "x_fc_out": f"""SELECT SERIES, D, {lin('B', 'X')} AS F, sqrt(V * (1 + {quad('C', 'X')})) AS E
+             FROM (SELECT m.SERIES, B, C, V, g.D, {terms('g.D')} AS X
+                   FROM x_fc_model m JOIN x_fc_res USING (SERIES) CROSS JOIN x_fc_b
+                   CROSS JOIN ({days('HI + 1', f'HI + {P.forecast_days}')} FROM x_fc_b) g)""",
     "pred_encounter_volume": f"""
-             SELECT k.SERIES AS ENCOUNTER_TYPE, CAST(g.D AS TIMESTAMP) AS FORECAST_DATE,
-                    round(p.MU, 0) AS FORECAST_COUNT, round(p.MU - {Z} * p.SD, 0) AS LOWER_BOUND,
-                    round(p.MU + {Z} * p.SD, 0) AS UPPER_BOUND, {RUN_TS} AS MODEL_RUN_TS
-             FROM x_fc_keys k CROSS JOIN ({days('MX + 1', f'MX + {P.forecast_days}')} FROM x_fc_b) g
-             LEFT JOIN x_fc_prof p ON p.SERIES = k.SERIES AND p.DOW = dayofweek(g.D)""",
-    # L2 anomalies
-    "x_an_daily": """SELECT DENIAL_CATEGORY AS SERIES, CAST(TS AS DATE) AS D, sum(DENIAL_COUNT) AS Y,
+             SELECT SERIES AS ENCOUNTER_TYPE, CAST(D AS TIMESTAMP) AS FORECAST_DATE, round(F, 0) AS FORECAST_COUNT,
+                    round(F - {Z} * E, 0) AS LOWER_BOUND, round(F + {Z} * E, 0) AS UPPER_BOUND, {RUN_TS} AS MODEL_RUN_TS
+             FROM x_fc_out""",
+    # L2 anomalies: the same model on the days before the cut, bounds by quantiles of its residuals
+    "x_an_daily": """SELECT DENIAL_CATEGORY AS SERIES, CAST(TS AS DATE) AS D, CAST(sum(DENIAL_COUNT) AS DOUBLE) AS Y,
                     sum(DENIED_CHARGES) AS DENIED_CHARGES FROM v2 GROUP BY 1, 2""",
-    "x_an_cut": f"SELECT CAST(max(D) - INTERVAL {P.eval_months} MONTH AS DATE) AS CUT FROM x_an_daily",
-    "x_an_prof": """SELECT SERIES, dayofweek(D) AS DOW, avg(Y) AS MU, COALESCE(stddev_samp(Y), 0.0) AS SD
-             FROM x_an_daily CROSS JOIN x_an_cut WHERE D < CUT GROUP BY 1, 2""",
+    "x_an_b": f"SELECT min(D) AS LO, CAST(max(D) - INTERVAL {P.eval_months} MONTH AS DATE) AS HI FROM x_an_daily",
+    "x_an_x": f"SELECT SERIES, D, Y, DENIED_CHARGES, HI, {terms('D')} AS X FROM x_an_daily CROSS JOIN x_an_b",
+    **least_squares("x_an", "(SELECT * FROM x_an_x WHERE D < HI)"),
+    "x_an_fit": f"""SELECT SERIES, D, Y, DENIED_CHARGES, D < HI AS PAST, CASE WHEN N >= {2 * N_TERMS} THEN {lin('B', 'X')} END AS EXPECTED
+             FROM x_an_x LEFT JOIN x_an_model USING (SERIES)""",
+    "x_an_r": "SELECT *, round(Y - EXPECTED, 6) AS R FROM x_an_fit",
+    "x_an_q": f"""SELECT SERIES, quantile_cont(R, 0.025) AS QL, quantile_cont(R, 0.975) AS QH, count(*) AS N
+             FROM x_an_r WHERE PAST GROUP BY 1""",
     "pred_denial_anomalies": f"""
-             SELECT d.SERIES AS DENIAL_CATEGORY, CAST(d.D AS TIMESTAMP) AS TS,
-                    round(p.MU, 0) AS EXPECTED_COUNT, round(p.MU - {Z} * p.SD, 0) AS LOWER_BOUND,
-                    round(p.MU + {Z} * p.SD, 0) AS UPPER_BOUND,
-                    (d.Y < p.MU - {Z} * p.SD OR d.Y > p.MU + {Z} * p.SD) AS IS_ANOMALY,
-                    round({cdf('(CASE WHEN p.SD > 0 THEN (d.Y - p.MU) / p.SD END)')}, 4) AS PERCENTILE,
-                    CAST(d.Y AS BIGINT) AS ACTUAL_COUNT, round(d.DENIED_CHARGES, 2) AS ACTUAL_CHARGES,
-                    {RUN_TS} AS MODEL_RUN_TS
-             FROM x_an_daily d CROSS JOIN x_an_cut
-             LEFT JOIN x_an_prof p ON p.SERIES = d.SERIES AND p.DOW = dayofweek(d.D)
-             WHERE d.D >= CUT""",
+             SELECT e.SERIES AS DENIAL_CATEGORY, CAST(e.D AS TIMESTAMP) AS TS, round(e.EXPECTED, 0) AS EXPECTED_COUNT,
+                    round(e.EXPECTED + QL, 0) AS LOWER_BOUND, round(e.EXPECTED + QH, 0) AS UPPER_BOUND,
+                    (e.R < QL OR e.R > QH) AS IS_ANOMALY,
+                    CASE WHEN e.EXPECTED IS NOT NULL THEN
+                      round((SELECT sum(CASE WHEN p.R < e.R THEN 1.0 WHEN p.R = e.R THEN 0.5 ELSE 0 END) FROM x_an_r p
+                             WHERE p.PAST AND p.SERIES = e.SERIES) / q.N, 4) END AS PERCENTILE,
+                    CAST(e.Y AS BIGINT) AS ACTUAL_COUNT, round(e.DENIED_CHARGES, 2) AS ACTUAL_CHARGES, {RUN_TS} AS MODEL_RUN_TS
+             FROM x_an_r e LEFT JOIN x_an_q q ON q.SERIES = e.SERIES WHERE NOT e.PAST""",
     **_drivers("x_d3", "v3", "READMIT_METRIC", READMISSION_DIMS),
     **_drivers("x_d4", "v4", "LEAKAGE_METRIC", LEAKAGE_DIMS),
     "pred_readmission_drivers": "SELECT * FROM x_d3_out",
