@@ -107,7 +107,8 @@ def quantile_anomalies(df: DataFrame, series: str, ts: str, y: str, eval_months:
     the percentile (share of past residuals below, ties half) are those of the residuals, to six decimals.
 
     A series' window holds its daily rows, so it is bounded by the days of history. A series with fewer than twice as many
-    past rows as the model has terms has no expectation (nulls)."""
+    past rows as the model has terms has no expectation (nulls). The model's own error is not in the quantiles, which
+    shows where noise ends sharply: exponential noise alarms a point more often than ``alarm`` after four years of history."""
     extra = extra or []
     daily = _daily(df, series, ts, y, extra)
     span = df.agg(F.struct(F.min(F.col(ts).cast("date")).alias("LO"), F.max(F.col(ts).cast("date")).alias("HI"))).scalar()
