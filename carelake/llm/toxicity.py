@@ -5,10 +5,10 @@
 2. ``lexicon``: terms whose counts differ by more than chance among all terms tried (G^2 > 2 ln of their number) and lean to
    label 1. A stem that one longer term almost covers gives way to it, a term that says no more than a shorter one goes. At
    most MAX_TERMS stay, the most significant; that is the model's size and the bound of what is sent to the tasks.
-3. ``scan``: every distinct word becomes a Levenshtein automaton (bit-parallel, one state set per error) that is run along
-   the trie of the lexicon; branches on which no state is left are cut. So misspelled terms are found: one error from 5
-   letters on, two from 9. Stems match the word's beginning. A word belongs to its nearest, then longest term. Around each
-   hit a window of CONTEXT words and the quotation marks of its line give a cue: bare, reported, quoted, or both.
+3. ``scan``: the Levenshtein automata of all terms run along the trie of the lexicon, made deterministic as words come, so a
+   word costs a look-up per letter, and most end after a few letters with no state left. So misspelled terms are found: one
+   error from 5 letters on, two from 9. Stems match the word's beginning. A word belongs to its nearest, then longest term.
+   Around each hit a window of CONTEXT words and the quotation marks of its line give a cue: bare, reported, quoted, or both.
 4. ``weigh``: per (term, errors) the log odds of its hits, shrunk to a part of the term's own for unseen misspellings; per
    cue the share of abuse among its hits, shrunk to a prior that counts quotation as less. A hit weighs their product.
 5. ``fit``: a ridge logistic model on five figures of the weights (largest, second, sum, number, density), by Newton steps
@@ -39,7 +39,7 @@ from carelake.llm.common import arrow_batches, fresh, save, small, table
 MIN_STEM, MAX_STEM = 3, 10
 MAX_WORD = 40            # letters of a word that count
 MAX_TERMS = 4096         # terms of the model
-MEMO = 300_000           # words a task remembers (of MAX_WORD letters at most)
+STATES = 50_000          # states of the automaton that a task keeps
 FLUSH = 300_000          # terms a task adds up before it passes them on
 COVERED = 0.9            # share of a stem's toxic texts that a longer term must hold to replace it
 GAIN = 0.3               # log odds by which a longer term must beat a shorter one
@@ -67,62 +67,99 @@ def errors(term: str) -> int:
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
-class Trie:
-    """Terms by letter. ``word`` and ``stem`` are the numbers of the terms that end at a node, ``k`` the most errors that a
-    term below allows."""
+class Node:
+    """A node of the lexicon trie. ``word`` and ``stem`` are the numbers of the terms that end here, ``allowed`` their errors,
+    ``k`` the most errors that a term here or below allows."""
 
-    __slots__ = ("next", "word", "stem", "size", "k")
+    __slots__ = ("next", "word", "stem", "size", "allowed", "k", "id")
 
-    def __init__(self):
-        self.next, self.word, self.stem, self.size, self.k = {}, None, None, 0, 0
+    def __init__(self, number: int, size: int):
+        self.next, self.word, self.stem, self.size, self.allowed, self.k, self.id = {}, None, None, size, 0, 0, number
 
-    @classmethod
-    def of(cls, terms: list[str]) -> "Trie":
-        root = cls()
-        for i, term in enumerate(terms):
-            node, letters, k = root, term.rstrip(END), errors(term)
+
+def trie(terms: list[str]) -> Node:
+    root = Node(0, 0)
+    n = 1
+    for i, term in enumerate(terms):
+        node, k = root, errors(term)
+        node.k = max(node.k, k)
+        for c in term.rstrip(END):
+            if c not in node.next:
+                node.next[c] = Node(n, node.size + 1)
+                n += 1
+            node = node.next[c]
             node.k = max(node.k, k)
-            for c in letters:
-                node = node.next.setdefault(c, cls())
-                node.k = max(node.k, k)
-            node.size = len(letters)
-            if term.endswith(END):
-                node.word = i
-            else:
-                node.stem = i
-        return root
-
-
-def nearest(trie: Trie, word: str) -> tuple[int, int] | None:
-    """(term, errors) of the nearest, then longest term; a whole word before a stem. The automaton's state set d has bit i
-    where i letters of the word are read with at most d errors."""
-    n = len(word)
-    full, last = (1 << (n + 1)) - 1, 1 << n
-    at: dict[str, int] = {}
-    for i, c in enumerate(word):
-        at[c] = at.get(c, 0) | 1 << i
-    best = None
-    todo = [(trie, [(1 << (d + 1)) - 1 & full for d in range(trie.k + 1)])]
-    while todo:
-        node, states = todo.pop()
-        if node.word is not None or node.stem is not None:
-            allowed = 0 if node.size < 5 else 1 if node.size < 9 else 2
-            for d in range(allowed + 1):
-                if states[d]:
-                    whole = node.word is not None and states[d] & last
-                    if whole or node.stem is not None:
-                        found = (d, -node.size, not whole, node.word if whole else node.stem)
-                        if best is None or found < best:
-                            best = found
-                        break
-        for c, child in node.next.items():
-            mask, k = at.get(c, 0), child.k
-            row = [(states[0] & mask) << 1]
-            for d in range(1, k + 1):
-                row.append(((states[d] & mask) << 1 | states[d - 1] | states[d - 1] << 1 | row[d - 1] << 1) & full)
-            if row[k]:
-                todo.append((child, row))
-    return best and (best[3], best[0])
+        node.allowed = k
+        if term.endswith(END):
+            node.word = i
+        else:
+            node.stem = i
+    return root
+
+
+class Automaton:
+    """The Levenshtein automata of all terms at once, run along their trie and made deterministic as words come.
+
+    A state is the set of (trie node, fewest errors) that the letters read so far can reach; nodes whose errors exceed what a
+    term below allows are left out, so after a few letters most words have no state left. Letters that no term has are one
+    letter. The table of states is cleared when it holds STATES of them."""
+
+    def __init__(self, terms: list[str]):
+        self.root = trie(terms)
+        self.letters = {c for t in terms for c in t.rstrip(END)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[tuple, list] = {}
+        self.start = self.state({self.root: 0})
+
+    def state(self, reached: dict[Node, int]) -> list:
+        """[reached, steps by letter, best whole word, best stem] of a set, letters of terms skipped on the way."""
+        todo = list(reached)
+        while todo:
+            node = todo.pop()
+            e = reached[node] + 1
+            for child in node.next.values():
+                if e <= child.k and e < reached.get(child, 99):
+                    reached[child] = e
+                    todo.append(child)
+        key = tuple(sorted((node.id, e) for node, e in reached.items()))
+        if key not in self.states:
+            ends = [(e, -n.size, n) for n, e in reached.items() if e <= n.allowed]
+            words = [(e, size, False, n.word) for e, size, n in ends if n.word is not None]
+            stems = [(e, size, True, n.stem) for e, size, n in ends if n.stem is not None]
+            self.states[key] = [reached, {}, min(words, default=None), min(stems, default=None)]
+        return self.states[key]
+
+    def step(self, state: list, c: str) -> list:
+        reached: dict[Node, int] = {}
+        for node, e in state[0].items():
+            if e < node.k and e + 1 < reached.get(node, 99):  # a letter too many
+                reached[node] = e + 1
+            for letter, child in node.next.items():
+                cost = e if letter == c else e + 1
+                if cost <= child.k and cost < reached.get(child, 99):
+                    reached[child] = cost
+        out = state[1][c] = self.state(reached)
+        return out
+
+    def find(self, word: str) -> tuple[int, int] | None:
+        """(term, errors) of the nearest, then longest term; a whole word before a stem. Stems match the word's beginning."""
+        if len(self.states) > STATES:
+            self.clear()
+        state, letters = self.start, self.letters
+        best = state[3]
+        for c in word[:MAX_WORD]:
+            if c not in letters:
+                c = ""
+            state = state[1].get(c) or self.step(state, c)
+            if state[3] and (best is None or state[3] < best):
+                best = state[3]
+            if not state[0]:
+                break
+        if state[2] and (best is None or state[2] < best):
+            best = state[2]
+        return best and (best[3], best[0])
 
 
 # --- counts and lexicon ---
@@ -214,40 +251,26 @@ def hits_in(text: str | None, find) -> tuple[int, list[tuple[int, int, int]]]:
     """(number of words, hits (term, errors, cue)); ``find`` gives a word's (term, errors) or None."""
     low = text.lower() if text else ""
     words = TOKEN.findall(low)
-    if not any(find(w) for w in set(words)):
+    found = {w: hit for w in set(words) if (hit := find(w))}
+    if not found:
         return len(words), []
     out = []
     for i, m in enumerate(TOKEN.finditer(low)):
-        hit = find(m.group())
+        hit = found.get(m.group())
         if hit:
             near = words[max(0, i - CONTEXT):i] + words[i + 1:i + 1 + CONTEXT]
             out.append((*hit, 2 * quoted(low, m.start(), m.end()) + (not REPORTING.isdisjoint(near))))
     return len(words), out
 
 
-def finder(terms: list[str]):
-    """Word -> (term, errors) or None, remembered for MEMO words."""
-    trie, known = Trie.of(terms), {}
-
-    def find(word: str):
-        word = word[:MAX_WORD]
-        if word in known:
-            return known[word]
-        if len(known) >= MEMO:
-            known.clear()
-        known[word] = out = nearest(trie, word)
-        return out
-    return find
-
-
 def scan(terms: list[str], text: Column) -> Column:
-    find = []  # one per worker: the trie is built there
+    made = []  # one automaton per worker
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        if not find:
-            find.append(finder(terms))
-        rows = [hits_in(t.as_py(), find[0]) for t in texts]
+        if not made:
+            made.append(Automaton(terms))
+        rows = [hits_in(t.as_py(), made[0].find) for t in texts]
         return pa.array([{"n_words": n, "hits": [dict(zip(("term", "errors", "cue"), h)) for h in hs]} for n, hs in rows], HITS_ARROW)
     return hits(text)
 

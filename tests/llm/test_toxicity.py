@@ -36,20 +36,20 @@ def test_automaton_is_edit_distance():
     rng, hits = random.Random(1), 0
     for _ in range(300):
         terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(3, 12))) + rng.choice(["$", ""]) for _ in range(rng.randrange(1, 9))})
-        trie = tox.Trie.of(terms)
+        automaton = tox.Automaton(terms)
         for _ in range(30):
             w = list(rng.choice(terms).rstrip("$"))
             for _ in range(rng.randrange(0, 4)):
                 k = rng.randrange(len(w) + 1)
                 w[k:k + rng.randrange(2)] = rng.choice(["", "a", "b", "cc"])
-            got, want = tox.nearest(trie, "".join(w)), brute_nearest(terms, "".join(w))
+            got, want = automaton.find("".join(w)), brute_nearest(terms, "".join(w))
             assert got == (want and (want[3], want[0])), (terms, w)
             hits += got is not None
     assert hits > 3000
 
 
 def test_cues():
-    find = tox.finder(["idiot$"])
+    find = tox.Automaton(["idiot$"]).find
     cues = lambda t: [h[2] for h in tox.hits_in(t, find)[1]]
     assert cues("you idiot go away") == [0]
     assert cues("he said idiot and left") == [1]
