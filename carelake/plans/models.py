@@ -55,15 +55,15 @@ def pred_denial_anomalies(t: Tables) -> DataFrame:
 @materializable
 def pred_readmission_drivers(t: Tables) -> DataFrame:
     """L3."""
-    return drivers.key_drivers(V.readmission_drivers_input(t), "READMIT_METRIC", "LABEL",
-                               V.READMISSION_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
+    return drivers.segment_drivers(V.readmission_drivers_input(t), "READMIT_METRIC", "LABEL",
+                                   V.READMISSION_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
 
 
 @materializable
 def pred_leakage_drivers(t: Tables) -> DataFrame:
     """L4."""
-    return drivers.key_drivers(V.leakage_drivers_input(t), "LEAKAGE_METRIC", "LABEL",
-                               V.LEAKAGE_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
+    return drivers.segment_drivers(V.leakage_drivers_input(t), "LEAKAGE_METRIC", "LABEL",
+                                   V.LEAKAGE_DIMS).withColumn("MODEL_RUN_TS", _run_ts(t))
 
 
 PREDICTION_TABLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carelake.plans import alerts, dashboards, filtered, governance, marts, models, quality, semantic
+from carelake.plans import alerts, dashboards, filtered, governance, marts, models, positions, quality, semantic
 
 
 def all_queries() -> dict:
@@ -15,4 +15,5 @@ def all_queries() -> dict:
     reg.update(alerts.QUERIES)
     reg.update(semantic.QUERIES)
     reg.update(filtered.QUERIES)
+    reg.update(positions.QUERIES)
     return reg

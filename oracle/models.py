@@ -77,15 +77,12 @@ def least_squares(prefix: str, src: str) -> dict[str, str]:
 
 
 def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, str]:
-    segs = ["{'A': -1, 'B': -1, 'VA': CAST(NULL AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}"]
-    segs += [f"{{'A': {i}, 'B': -1, 'VA': CAST({d} AS VARCHAR), 'VB': CAST(NULL AS VARCHAR)}}" for i, d in enumerate(dims)]
-    segs += [f"{{'A': {i}, 'B': {j}, 'VA': CAST({dims[i]} AS VARCHAR), 'VB': CAST({dims[j]} AS VARCHAR)}}"
-             for i, j in itertools.combinations(range(len(dims)), 2)]
+    # every segment of up to three dimensions, counted from the rows; then support and redundancy
+    subsets = [c for k in range(4) for c in itertools.combinations(range(len(dims)), k)]
+    value = [f"coalesce(CAST({d} AS VARCHAR), 'NULL')" for d in dims]
+    segs = [f"{{'S': CAST([{', '.join(map(str, c))}] AS INTEGER[]), 'W': CAST([{', '.join(value[i] for i in c)}] AS VARCHAR[])}}" for c in subsets]
     names = "[" + ", ".join(f"'{d}'" for d in dims) + "]"
 
-    def part(i, v):
-        return f"'\"' || list_extract({names}, {i} + 1) || ' = ' || coalesce({v}, 'NULL') || '\"'"
-
     rt = "CASE WHEN TEST_COUNT > 0 THEN S_T / TEST_COUNT END"
     rc = "CASE WHEN CONTROL_COUNT > 0 THEN S_C / CONTROL_COUNT END"
     contrib = "CASE WHEN NT > 0 AND NC > 0 THEN S_T / NT - S_C / NC END"
@@ -93,24 +90,32 @@ def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, s
     return {
         f"{prefix}_x": f"SELECT {metric} AS M, LABEL AS L, unnest([{', '.join(segs)}]) AS S FROM {src}",
         f"{prefix}_agg": f"""
-            SELECT S.A AS A, S.B AS B, S.VA AS VA, S.VB AS VB,
+            SELECT S.S AS S, S.W AS W,
                    CAST(sum(CASE WHEN L THEN 1 ELSE 0 END) AS BIGINT) AS TEST_COUNT,
                    CAST(sum(CASE WHEN L THEN M ELSE 0 END) AS BIGINT) AS S_T,
                    CAST(sum(CASE WHEN NOT L THEN 1 ELSE 0 END) AS BIGINT) AS CONTROL_COUNT,
                    CAST(sum(CASE WHEN NOT L THEN M ELSE 0 END) AS BIGINT) AS S_C
-            FROM {prefix}_x GROUP BY 1, 2, 3, 4""",
-        f"{prefix}_o": f"SELECT TEST_COUNT AS NT, CONTROL_COUNT AS NC, S_T AS ST, S_C AS SC FROM {prefix}_agg WHERE A = -1",
+            FROM {prefix}_x GROUP BY 1, 2""",
+        f"{prefix}_o": f"SELECT TEST_COUNT AS NT, CONTROL_COUNT AS NC, S_T AS ST, S_C AS SC FROM {prefix}_agg WHERE len(S) = 0",
+        f"{prefix}_part": f"""
+            SELECT S, W, N, list_filter(S, lambda v, i: i <> AX) AS PS, list_filter(W, lambda v, i: i <> AX) AS PW
+            FROM (SELECT S, W, TEST_COUNT + CONTROL_COUNT AS N, unnest(range(1, len(S) + 1)) AS AX FROM {prefix}_agg WHERE len(S) > 1)""",
+        f"{prefix}_same": f"""
+            SELECT DISTINCT p.S, p.W FROM {prefix}_part p JOIN {prefix}_agg a ON a.S = p.PS AND a.W = p.PW
+            WHERE 100 * p.N >= 98 * (a.TEST_COUNT + a.CONTROL_COUNT)""",
         f"{prefix}_out": f"""
-            SELECT CASE WHEN A = -1 THEN '["Overall"]'
-                        WHEN B = -1 THEN '[' || {part('A', 'VA')} || ']'
-                        ELSE '[' || {part('A', 'VA')} || ', ' || {part('B', 'VB')} || ']' END AS CONTRIBUTOR,
+            SELECT CASE WHEN len(S) = 0 THEN '["Overall"]'
+                        ELSE '[' || array_to_string(list_transform(S, lambda d, i: '"' || ({names})[d + 1] || ' = ' || W[i] || '"'), ', ') || ']'
+                   END AS CONTRIBUTOR,
                    round({rc}, 6) AS METRIC_CONTROL,
                    round({rt}, 6) AS METRIC_TEST,
                    round({contrib}, 6) AS CONTRIBUTION,
                    round(CASE WHEN {change} > 0 THEN ({contrib}) / {change} END, 6) AS RELATIVE_CONTRIBUTION,
                    round(CASE WHEN ({rc}) > 0 THEN ({rt}) / ({rc}) - 1 END, 6) AS GROWTH_RATE,
                    CONTROL_COUNT, TEST_COUNT, {RUN_TS} AS MODEL_RUN_TS
-            FROM {prefix}_agg CROSS JOIN {prefix}_o""",
+            FROM {prefix}_agg CROSS JOIN {prefix}_o
+            WHERE len(S) = 0 OR (100 * (TEST_COUNT + CONTROL_COUNT) >= NT + NC
+                                 AND NOT EXISTS (SELECT 1 FROM {prefix}_same s WHERE s.S = {prefix}_agg.S AND s.W = {prefix}_agg.W))""",
     }
 
 

@@ -268,9 +268,9 @@ def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracle import filtered, models, ops
-    extra = {**models.EXTRA_CTES, **ops.EXTRA_CTES}
-    return {k: with_ctes(v, extra) for k, v in {**Q, **models.Q, **ops.Q, **filtered.Q}.items()}
+    from oracle import filtered, models, ops, positions
+    extra = {**models.EXTRA_CTES, **ops.EXTRA_CTES, **positions.EXTRA_CTES}
+    return {k: with_ctes(v, extra) for k, v in {**Q, **models.Q, **ops.Q, **filtered.Q, **positions.Q}.items()}
 
 
 ORACLE_SQL = Q
