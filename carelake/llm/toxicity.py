@@ -3,7 +3,7 @@
 1. ``count_terms``: over all labelled training rows, in how many texts of each label a word, or a stem (a word's first
    MIN_STEM to MAX_STEM letters), stands. Tasks add up before the shuffle.
 2. ``lexicon``: terms whose counts differ by more than chance among all terms tried (G^2 > 2 ln of their number) and lean to
-   label 1. A stem that one longer term almost covers gives way to it, a term that says no more than a shorter one goes. At
+   label 1; a term counts no more often than there are words before it, so copies of a text don't vote. A stem that one longer term almost covers gives way to it, a term that says no more than a shorter one goes. At
    most MAX_TERMS stay, the most significant; that is the model's size and the bound of what is sent to the tasks.
 3. ``scan``: the Levenshtein automata of all terms run along the trie of the lexicon, made deterministic as words come, so a
    word costs a look-up per letter, and most end after a few letters with no state left. So misspelled terms are found: one
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +41,7 @@ MAX_WORD = 40            # letters of a word that count
 MAX_TERMS = 4096         # terms of the model
 STATES = 50_000          # states of the automaton that a task keeps
 FLUSH = 300_000          # terms a task adds up before it passes them on
+CONTEXTS = 63            # kinds of places in which a term is seen
 COVERED = 0.9            # share of a stem's toxic texts that a longer term must hold to replace it
 GAIN = 0.3               # log odds by which a longer term must beat a shorter one
 GIVEN = 4.0              # log odds of terms that the caller gives
@@ -168,38 +169,54 @@ def words_in(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def terms_in(text: str | None) -> set[str]:
-    out = set()
-    for w in set(words_in(text)):
-        w = w[:MAX_WORD]
-        out.add(w + END)
-        out.update(w[:k] for k in range(MIN_STEM, min(MAX_STEM, len(w)) + 1))
+def terms_in(text: str | None) -> dict[str, int]:
+    """The text's words and stems, each with the places that it is seen in as a bit set: the word before, of CONTEXTS kinds."""
+    out: dict[str, int] = {}
+    seen, before = set(), ""
+    for w in words_in(text):
+        if w not in seen:
+            seen.add(w)
+            bit = 1 << zlib.crc32(before.encode()) % CONTEXTS
+            short = w[:MAX_WORD]
+            for term in (short + END, *(short[:k] for k in range(MIN_STEM, min(MAX_STEM, len(short)) + 1))):
+                out[term] = out.get(term, 0) | bit
+        before = w
     return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> (term, n0, n1), added up over a task's texts; the term '' counts the texts."""
+    """(text, label) -> (term, n0, n1, places), added up over a task's texts; the term '' counts the texts. ``places`` are those
+    in texts of label 1."""
+    sums: dict[str, list[int]] = {}
+
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(both), pa.string()), *(pa.array([sums[y][t] for t in both], pa.int64()) for y in (0, 1))],
-                                          names=["term", "n0", "n1"])
-    sums = (Counter(), Counter())
+        cols = [list(sums), *zip(*sums.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 3))],
+                                          names=["term", "n0", "n1", "places"])
     for b in batches:
         for text, label in zip(b.column(0), b.column(1).to_pylist()):
-            sums[label].update(terms_in(text.as_py()))
-            sums[label][""] += 1
-            if len(sums[0]) + len(sums[1]) > FLUSH:
-                both = sums[0].keys() | sums[1].keys()
+            for term, places in (terms_in(text.as_py()) | {"": 0}).items():
+                s = sums.get(term)
+                if s is None:
+                    s = sums[term] = [0, 0, 0]
+                s[label] += 1
+                if label:
+                    s[2] |= places
+            if len(sums) > FLUSH:
                 yield out()
-                sums = (Counter(), Counter())
-    both = sums[0].keys() | sums[1].keys()
-    if both:
+                sums.clear()
+    if sums:
         yield out()
 
 
 def count_terms(train: DataFrame) -> DataFrame:
-    """Rows (text, label 0 or 1) -> term, n0, n1: texts of either label with the term."""
-    return save(train.mapInArrow(_count, "term string, n0 long, n1 long").groupBy("term")
-                .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-terms")
+    """Rows (text, label 0 or 1) -> term, n0, n1: texts of either label with the term; spread: about how many different
+    words stand before it in texts of label 1 (linear counting over the bit set)."""
+    kinds = F.lit(float(CONTEXTS))
+    spread = -kinds * F.log((kinds - F.least(F.bit_count("places"), F.lit(CONTEXTS - 0.5))) / kinds)
+    return save(train.mapInArrow(_count, "term string, n0 long, n1 long, places long").groupBy("term")
+                .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("places").alias("places"))
+                .select("term", "n0", "n1", spread.alias("spread")), "toxic-terms")
 
 
 def lexicon(counts: DataFrame, terms: tuple[str, ...] = ()) -> tuple[list[str], list[float], int, int]:
@@ -211,13 +228,15 @@ def lexicon(counts: DataFrame, terms: tuple[str, ...] = ()) -> tuple[list[str],
         return given, [GIVEN] * len(given), n0, n1
     tried = max(counts.count() - 1, 2)
     x = lambda part, n, total: F.when(part > 0, part * F.log(part * F.lit(float(n0 + n1)) / (F.lit(float(n)) * total))).otherwise(0.0)
-    total = F.col("n0") + F.col("n1")
-    g2 = 2 * (x(F.col("n0"), n0, total) + x(F.col("n1"), n1, total)
-              + x(n0 - F.col("n0"), n0, n0 + n1 - total) + x(n1 - F.col("n1"), n1, n0 + n1 - total))
+    # a word of one text that has a thousand copies stands in one place: it counts as often as it has places
+    hits = F.least(F.col("n1").cast("double"), F.col("spread"))
+    total = F.col("n0") + hits
+    g2 = 2 * (x(F.col("n0"), n0, total) + x(hits, n1, total)
+              + x(n0 - F.col("n0"), n0, n0 + n1 - total) + x(n1 - hits, n1, n0 + n1 - total))
     parent = F.expr("substring(term, 1, length(term) - 1)")
     longer = counts.where("n1 > 0 and length(term) > 1").groupBy(parent.alias("term")).agg(F.max("n1").alias("top"))
     found = counts.where("term != '' and n1 > 1").withColumn("g2", g2) \
-        .where((F.col("g2") > 2 * math.log(tried)) & (F.col("n1") * n0 > F.col("n0") * n1)) \
+        .where((F.col("g2") > 2 * math.log(tried)) & (hits * n0 > F.col("n0") * n1)) \
         .join(longer, "term", "left").where(F.col("term").endswith(END) | (F.coalesce("top", F.lit(0)) < COVERED * F.col("n1")))
     rows = found.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).select("term", "n0", "n1").collect()  # MAX_TERMS at most
     odds = {r.term: math.log((r.n1 + 0.5) / (n1 + 1)) - math.log((r.n0 + 0.5) / (n0 + 1)) for r in rows}
