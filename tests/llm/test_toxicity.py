@@ -62,7 +62,7 @@ def test_cues():
 def labelled(spark, n=900):
     """Invented texts; toxic ones insult, some clean ones quote the same words."""
     rng, rows = random.Random(2), []
-    filler = ["stone", "river", "garden", "window", "copper", "yellow", "market", "winter", "bottle", "paper"]
+    filler = [a + b for a in ("stone", "river", "garden", "window", "copper", "yellow") for b in ("", "bank", "side", "house", "way", "town", "light", "field")]
     for i in range(n):
         words = [rng.choice(filler) for _ in range(60)]
         toxic = int(i % 5 == 1)
