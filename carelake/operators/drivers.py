@@ -18,6 +18,7 @@ lattice of segments level by level, up to three dimensions or more, as follows.
 * Only segments with MIN_PCT percent of all rows stay. A cell makes candidates of the next level only from its own frequent
   segments, and only those of which every smaller part is frequent: no row or cell is exploded into all subsets. There are at
   most C(d, k) * 100 / MIN_PCT frequent segments on level k, whatever the data.
+* The cells and each level's frequent segments are written (checkpoint), as the next level and the report read them again.
 * A segment that keeps COVER percent of the rows of a part of it says nothing new and goes.
 
 Plan of ``key_drivers``: the rows are first counted by all dimensions and the label (map-side
@@ -32,6 +33,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.operators.numbering import checkpointed
+
 OVERALL = '["Overall"]'
 MIN_PCT = 1
 COVER = 98
@@ -95,26 +98,25 @@ def segment_drivers(df: DataFrame, metric: str, label: str, dims: list[str], max
     """Frequent segments of up to ``max_dims`` dimensions that are not redundant, and the overall row. Null dimension values
     read NULL."""
     values = F.array(*[F.coalesce(F.col(d).cast("string"), F.lit("NULL")) for d in dims])
-    cells = df.groupBy(*dims).agg(*[x.cast("long").alias(m) for x, m in zip(_sums(metric, label), MEASURES)]) \
-              .select(values.alias("V"), *MEASURES)
+    cells = checkpointed(df.groupBy(*dims).agg(*[x.cast("long").alias(m) for x, m in zip(_sums(metric, label), MEASURES)])
+                           .select(values.alias("V"), *MEASURES))
     total = cells.agg(*[F.sum(m).alias(m) for m in MEASURES])
     ov = total.select(F.struct(*[F.col(m).alias(k) for m, k in zip(MEASURES, ("NT", "ST", "NC", "SC"))])).scalar()
     least = (ov.getField("NT") + ov.getField("NC")) * min_pct
 
     rows = F.col("TEST_COUNT") + F.col("CONTROL_COUNT")
     out = [total.select(F.array().cast("array<int>").alias("S"), F.array().cast("array<string>").alias("W"), *MEASURES)]
-    # S: the segment's dimensions in order, W: their values
-    held = cells.select("V", *MEASURES, F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(dims) - 1)), lambda i: F.array(i))).alias("S"))
+    # S: the segment's dimensions in order, W: their values, M: the dimensions as bits
+    held = cells.select("V", *MEASURES, F.explode(_sets(len(dims), 1)).alias("C"))
     smaller = None
-    for k in range(1, max_dims + 1):
-        held = held.withColumn("W", F.transform("S", lambda i: F.element_at("V", i + 1)))
-        frequent = held.groupBy("S", "W").agg(*[F.sum(m).alias(m) for m in MEASURES]).where(100 * rows >= least)
+    for k in range(1, min(max_dims, len(dims)) + 1):
+        held = held.select("V", *MEASURES, "C.M", "C.S", F.transform("C.S", lambda i: F.element_at("V", i + 1)).alias("W"))
+        frequent = checkpointed(held.groupBy("S", "W").agg(*[F.sum(m).alias(m) for m in MEASURES]).where(100 * rows >= least))
         out.append(frequent if k == 1 else _telling(frequent, smaller, cover))
-        if k == max_dims or k == len(dims):
-            break
-        # the cell's frequent segments; two that differ in the last dimension make a candidate
-        mine = held.join(frequent.select("S", "W"), ["S", "W"]).groupBy("V", *MEASURES).agg(F.collect_set("S").alias("P"))
-        held, smaller = mine.select("V", *MEASURES, F.explode(_candidates(F.col("P"), k)).alias("S")), frequent
+        if k < min(max_dims, len(dims)):
+            mine = held.join(frequent.select("S", "W"), ["S", "W"]).groupBy("V", *MEASURES).agg(F.collect_set("M").alias("P"))
+            grown = F.filter(_sets(len(dims), k + 1), lambda c: F.forall(c["PARTS"], lambda m: F.array_contains("P", m)))
+            held, smaller = mine.select("V", *MEASURES, F.explode(grown).alias("C")), frequent
 
     segments = out[0]
     for x in out[1:]:
@@ -125,15 +127,13 @@ def segment_drivers(df: DataFrame, metric: str, label: str, dims: list[str], max
     return _report(segments, ov, contributor, digits)
 
 
-def _candidates(p, k: int):
-    """Sets of k + 1 dimensions of which all sets of k are in the array ``p``."""
-    joined = F.flatten(F.transform(p, lambda a: F.transform(
-        F.filter(p, lambda b: (F.slice(a, 1, k - 1) == F.slice(b, 1, k - 1)) & (F.element_at(b, -1) > F.element_at(a, -1))) if k > 1
-        else F.filter(p, lambda b: F.element_at(b, 1) > F.element_at(a, 1)),
-        lambda b: F.concat(a, F.slice(b, k, 1)))))
-    if k == 1:
-        return joined
-    return F.filter(joined, lambda s: F.forall(s, lambda d: F.array_contains(p, F.array_remove(s, d))))
+def _sets(d: int, k: int):
+    """All sets of k of d dimensions: M as bits, S in order, PARTS the bits of the sets that lack one of them."""
+    def struct(c: tuple) -> str:
+        bits = sum(1 << i for i in c)
+        parts = ", ".join(f"{bits - (1 << i)}L" for i in c)
+        return f"named_struct('M', {bits}L, 'S', array({', '.join(map(str, c))}), 'PARTS', array({parts}))"
+    return F.expr(f"array({', '.join(struct(c) for c in itertools.combinations(range(d), k))})")
 
 
 def _telling(frequent: DataFrame, smaller: DataFrame, cover: int) -> DataFrame:

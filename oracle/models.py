@@ -89,14 +89,15 @@ def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, s
     change = "abs(CASE WHEN NT > 0 THEN ST / NT END - CASE WHEN NC > 0 THEN SC / NC END)"
     return {
         f"{prefix}_x": f"SELECT {metric} AS M, LABEL AS L, unnest([{', '.join(segs)}]) AS S FROM {src}",
-        f"{prefix}_agg": f"""
+        f"{prefix}_all": f"""
             SELECT S.S AS S, S.W AS W,
                    CAST(sum(CASE WHEN L THEN 1 ELSE 0 END) AS BIGINT) AS TEST_COUNT,
                    CAST(sum(CASE WHEN L THEN M ELSE 0 END) AS BIGINT) AS S_T,
                    CAST(sum(CASE WHEN NOT L THEN 1 ELSE 0 END) AS BIGINT) AS CONTROL_COUNT,
                    CAST(sum(CASE WHEN NOT L THEN M ELSE 0 END) AS BIGINT) AS S_C
             FROM {prefix}_x GROUP BY 1, 2""",
-        f"{prefix}_o": f"SELECT TEST_COUNT AS NT, CONTROL_COUNT AS NC, S_T AS ST, S_C AS SC FROM {prefix}_agg WHERE len(S) = 0",
+        f"{prefix}_o": f"SELECT TEST_COUNT AS NT, CONTROL_COUNT AS NC, S_T AS ST, S_C AS SC FROM {prefix}_all WHERE len(S) = 0",
+        f"{prefix}_agg": f"SELECT a.* FROM {prefix}_all a CROSS JOIN {prefix}_o WHERE len(S) = 0 OR 100 * (TEST_COUNT + CONTROL_COUNT) >= NT + NC",
         f"{prefix}_part": f"""
             SELECT S, W, N, list_filter(S, lambda v, i: i <> AX) AS PS, list_filter(W, lambda v, i: i <> AX) AS PW
             FROM (SELECT S, W, TEST_COUNT + CONTROL_COUNT AS N, unnest(range(1, len(S) + 1)) AS AX FROM {prefix}_agg WHERE len(S) > 1)""",
@@ -113,9 +114,7 @@ def _drivers(prefix: str, src: str, metric: str, dims: list[str]) -> dict[str, s
                    round(CASE WHEN {change} > 0 THEN ({contrib}) / {change} END, 6) AS RELATIVE_CONTRIBUTION,
                    round(CASE WHEN ({rc}) > 0 THEN ({rt}) / ({rc}) - 1 END, 6) AS GROWTH_RATE,
                    CONTROL_COUNT, TEST_COUNT, {RUN_TS} AS MODEL_RUN_TS
-            FROM {prefix}_agg CROSS JOIN {prefix}_o
-            WHERE len(S) = 0 OR (100 * (TEST_COUNT + CONTROL_COUNT) >= NT + NC
-                                 AND NOT EXISTS (SELECT 1 FROM {prefix}_same s WHERE s.S = {prefix}_agg.S AND s.W = {prefix}_agg.W))""",
+            FROM {prefix}_agg a ANTI JOIN {prefix}_same s ON s.S = a.S AND s.W = a.W CROSS JOIN {prefix}_o""",
     }
 
 

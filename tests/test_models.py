@@ -82,3 +82,37 @@ def test_short_series_have_no_expectation(spark):
     got = timeseries.quantile_anomalies(spark.createDataFrame(rows, "S string, TS date, Y long"), "S", "TS", "Y", 2).collect()
     assert all((r.EXPECTED is None) == (r.SERIES == "b") for r in got) and {r.SERIES for r in got} == {"a", "b"}
     assert all(r.IS_ANOMALY is None and r.PERCENTILE is None for r in got if r.SERIES == "b")
+
+
+def test_segments_are_the_lattice(spark):
+    """Every frequent, telling segment of up to three dimensions, by trying all."""
+    from collections import Counter
+    from itertools import combinations
+
+    from carelake.operators import drivers
+    rng, rows = random.Random(4), []
+    for i in range(1500):
+        a, b = rng.choice("xyz"), rng.choice(["p", "q", None])
+        c = a.upper() if rng.random() < 0.995 else "W"  # says what a says
+        d = rng.choice([f"r{k}" for k in range(40)] + ["big"] * 30)
+        label = rng.random() < 0.4
+        hot = label and a == "x" and b == "q" and d == "big"
+        rows.append((a, b, c, d, label, int(rng.random() < (0.9 if hot else 0.2))))
+    dims = ["A", "B", "C", "D"]
+    df = spark.createDataFrame(rows, "A string, B string, C string, D string, L boolean, M int").repartition(4)
+    got = {r.CONTRIBUTOR: r for r in drivers.segment_drivers(df, "M", "L", dims, min_pct=2, cover=97).collect()}
+
+    count = Counter()
+    for r in rows:
+        for k in range(4):
+            for s in combinations(range(4), k):
+                count[tuple((i, r[i] or "NULL") for i in s)] += 1
+    frequent = {s for s, n in count.items() if 100 * n >= 2 * len(rows)}
+    telling = {s for s in frequent if not any(len(s) > 1 and 100 * count[s] >= 97 * count[s[:j] + s[j + 1:]] for j in range(len(s)))}
+    name = lambda s: "[" + ", ".join(f'"{dims[i]} = {v}"' for i, v in s) + "]" if s else drivers.OVERALL
+    assert set(got) == {name(s) for s in telling} and len(telling) < len(frequent)
+    assert any(len(s) == 3 for s in telling)
+    for s in telling:
+        assert got[name(s)].TEST_COUNT + got[name(s)].CONTROL_COUNT == count[s]
+    top = max((r for k, r in got.items() if k != drivers.OVERALL), key=lambda r: (r.METRIC_TEST or 0) - (r.METRIC_CONTROL or 0))
+    assert top.CONTRIBUTOR in ('["A = x", "B = q", "D = big"]', '["B = q", "C = X", "D = big"]')
