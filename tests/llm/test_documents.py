@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,40 @@ def test_host_verdicts_hit_only_bad_documents_of_bad_hosts(spark):
     assert kept == {i for i in range(400) if i >= 200 or i % 10 == 0}
 
 
+def beta_above(x, a, b, steps=200_000):
+    """P(Beta(a, b) > x) by adding up the density."""
+    t = (np.arange(steps) + 0.5) / steps
+    log = (a - 1) * np.log(t) + (b - 1) * np.log1p(-t)
+    p = np.exp(log - log.max())
+    return p[t > x].sum() / p.sum()
+
+
+def test_beta_is_the_added_up_density():
+    for a, b, x in ((0.7, 3, 0.2), (2, 2, 0.5), (30, 170, 0.16), (900, 4100, 0.2), (5, 1, 0.9), (40_000, 160_000, 0.2005)):
+        assert 1 - quality_rules.beta_below(x, a, b) == pytest.approx(beta_above(x, a, b), abs=2e-3)
+    assert quality_rules.beta_below(0.0, 2, 3) == 0 and quality_rules.beta_below(1.0, 2, 3) == 1
+
+
+def test_host_verdict_changes_rows_of_the_table(spark):
+    out = quality_rules.op5_quality_rules(spark, "/root/testdata/sf0.1")
+    rows = out.collect()
+    source = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source").collect()}
+    soft = lambda r: r.n_symbols > 0.1 * r.n_words or 100 * r.n_dup_lines > 5 * r.n_words or not 2 * r.n_words <= r.word_chars <= 15 * r.n_words
+    gross = lambda r: r.n_symbols > 2 * r.n_words or r.n_dup_lines > r.n_words or not 1.2 * r.n_words <= r.word_chars <= 60 * r.n_words
+    n = Counter(source[r.doc_id] for r in rows)
+    bad = Counter(source[r.doc_id] for r in rows if r.base_failed or soft(r))
+    mu, rates = sum(bad.values()) / sum(n.values()), [bad[h] / n[h] for h in n]
+    k = max(mu * (1 - mu) / np.var(rates, ddof=1) - 1, 1.0)
+    rejected = {h for h in n if beta_above(mu, bad[h] + mu * k, n[h] - bad[h] + (1 - mu) * k) >= 0.8}
+    assert 0 < len(rejected) < len(n) / 2
+    by_host = 0
+    for r in rows:
+        verdict = soft(r) and source[r.doc_id] in rejected
+        assert r.kept == (not r.base_failed and not gross(r) and not verdict)
+        by_host += verdict and not r.base_failed and not gross(r)
+    assert by_host > 0
+
+
 def test_quality_odd_rows(spark):
     odd = odd_documents(spark)
     out = quality_rules.filter_quality(odd)
@@ -303,10 +338,11 @@ def test_every_stage_is_brute_force_on_its_own_input(spark, tmp_path):
     rates = [bad[h] / n[h] for h in n]
     v = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / (len(rates) - 1)
     k = max(mu * (1 - mu) / v - 1, 1.0) if v > 0 else 100.0
-    rejected = {h for h in n if (bad[h] + mu * k) / (n[h] + k) > 0.5}
+    rejected = {h for h in n if beta_above(mu, bad[h] + mu * k, n[h] - bad[h] + (1 - mu) * k) >= 0.8}
+    gross = {d for d, (n, chars, sym, dup, _) in measured.items() if sym > 2 * n or dup > n or not 1.2 * n <= chars <= 60 * n}
     good = step("quality_rules", docs)
     left = {r.doc_id: r for r in good.collect()}
-    assert set(left) == {d for d in rows if d not in base and not (d in soft and rows[d].source in rejected)}
+    assert set(left) == {d for d in rows if d not in base | gross and not (d in soft and rows[d].source in rejected)}
     assert good.columns == docs.columns and all(left[d] == rows[d] for d in left)
 
     unique = step("exact_dedup", good)
