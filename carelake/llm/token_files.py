@@ -40,8 +40,9 @@ BLOCK = 4096
 PERCENTILE = 0.9
 CHUNK_TOKENS = 1 << 20
 ENCODE_BYTES = 8 << 20   # texts prepared at a time
-ENCODE_ROWS = 8192       # words or texts that the tokenizer gets at a time
-MEMO_WORDS = 2_000_000   # words whose ids a worker remembers (some 40 bytes each)
+ENCODE_ROWS = 8192       # words or texts that the tokenizer gets at a time,
+ENCODE_CHARS = 1 << 19   # or as many as have so many letters: it takes some hundred bytes for each token
+MEMO_BYTES = 64 << 20    # words and ids that a worker remembers, besides those of the texts at hand
 END_ID = 0
 
 CHUNK = ("shard int, chunk int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, "
@@ -159,8 +160,14 @@ class Encoder:
         self.ids, self.start, self.size = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), ENCODE_ROWS)
-                for e in self.tokenizer.encode_batch_fast(texts[at:at + ENCODE_ROWS], add_special_tokens=False)]
+        out: list[bytes] = []
+        upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        while len(out) < len(texts):
+            at = len(out)
+            full = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ENCODE_CHARS, side="right"))
+            part = texts[at:min(max(full, at + 1), at + ENCODE_ROWS)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def _plain(self, text: str) -> bool:
         return not (any(x in text for x in SPACING) or not text.isascii() and any(x in text for x in WIDE_SPACING)
@@ -181,7 +188,7 @@ class Encoder:
         parts = pc.split_pattern(pc.replace_substring(pa.array([FIRST + x for x in texts], pa.large_string()), "\n", " \n"), " ")
         ends = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        if len(self.words) > MEMO_WORDS:
+        if self.words.nbytes + self.ids.nbytes + self.start.nbytes + self.size.nbytes > MEMO_BYTES:
             self._forget()
         at = pc.index_in(coded.dictionary, value_set=self.words)
         if at.null_count:

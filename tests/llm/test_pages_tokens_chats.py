@@ -295,3 +295,36 @@ def test_saved_tables_can_be_removed(spark):
     assert fs.exists(path)
     common.remove_saved(spark)
     assert not fs.exists(path)
+
+
+LONG_WORDS = """
+import random, resource, sys
+from carelake.llm.token_files import Encoder
+e = Encoder(open(sys.argv[1], encoding="utf-8").read())
+rng, seen = random.Random(1), []
+for _ in range(14):
+    e.encode([" ".join(rng.randbytes(400).hex() for _ in range(8000))])
+    seen.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+print(seen[4], seen[-1])
+"""
+
+
+def test_memo_is_bounded_by_bytes():
+    """90 MB of different words of 800 letters: memory stays where the first 30 MB left it."""
+    import subprocess
+    import sys
+    out = subprocess.run([sys.executable, "-c", LONG_WORDS, BPE], capture_output=True, text=True, timeout=300, check=True)
+    early, late = map(int, out.stdout.split())
+    assert late < 1.15 * early and late < 700
+
+
+def test_encoding_in_parts_is_encoding_whole(monkeypatch):
+    texts = ["a b " * 50, "x" * 3000, "", "one\ntwo  three", "word " * 400]
+    with open(BPE, encoding="utf-8") as f:
+        spec = f.read()
+    want = [x.tolist() for x in token_files.Encoder(spec).encode(texts)]
+    monkeypatch.setattr(token_files, "ENCODE_CHARS", 100)
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 10)
+    e = token_files.Encoder(spec)
+    for _ in range(3):
+        assert [x.tolist() for x in e.encode(texts)] == want
