@@ -70,8 +70,10 @@ DECLARED = [(need, re.compile(x)) for need, x in (
     ("]", rf"(?P<name>{NAME})[ \t]*\[\w*\][ \t]*=(?![=>])[ \t]*{LITERALS}"),                      # char password[] = ".."
     ("define", rf"#[ \t]*define[ \t]+(?P<name>{NAME})[ \t]+{LITERALS}"),
     (" ", rf"\b(?:var|const|let|static)[ \t]+(?P<name>{NAME}[ \t]+{NAME})[ \t]*=(?![=>])[ \t]*{LITERALS}"),  # var password string = ".."
-    ("=", rf"(?P<name>{NAME}(?:[ \t]*=[ \t]*{NAME}){{1,8}})[ \t]*=(?![=>])[ \t]*{LITERALS}"),       # a = password = ".."
     ("(", rf"""(?P<quote>["'])?(?P<name>{NAME})(?(quote)(?P=quote))\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\(){LITERALS}"""))]
+# a = password = "..": names that another binder follows, however many, and what stands behind the last
+CHAIN = re.compile(rf"(?P<name>{NAME}(?:[ \t]*+=(?![=>])[ \t]*+{NAME}(?=[ \t]*+=(?![=>])))++)[ \t]*+=(?![=>])[ \t]*+")
+VALUE = re.compile(LITERALS)
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\s]+)</(?P=name)>")
 PART = re.compile(rf"(?P<string>{STRING})|(?P<name>{NAME})")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -108,17 +110,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def bindings(text: str):
     """(name, parts) in the order of the text; a part is a name (str) or a literal (start, end)."""
-    declared = [m for need, x in DECLARED if need in text for m in x.finditer(text)] if '"' in text or "'" in text else []
-    taken = {m.start("name") for m in declared}
-    plain = [m for m in BINDING.finditer(text) if m.start("name") not in taken]
-    for m in sorted([*plain, *declared, *(ELEMENT.finditer(text) if "</" in text else ())], key=lambda m: m.start("name")):
+    literal = '"' in text or "'" in text
+    declared = [(m, m) for need, x in DECLARED if literal and need in text for m in x.finditer(text)]
+    # a chain is passed over as a whole, with or without a literal behind it, so long ones are read once
+    declared += [(m, v) for m in (CHAIN.finditer(text) if literal and "=" in text else ()) if (v := VALUE.match(text, m.end()))]
+    taken = {m.start("name") for m, _ in declared}
+    plain = [(m, m) for m in BINDING.finditer(text) if m.start("name") not in taken]
+    elements = [(m, m) for m in ELEMENT.finditer(text)] if "</" in text else []
+    for m, v in sorted([*plain, *declared, *elements], key=lambda x: x[0].start("name")):
+        at, value = v.start("value"), v["value"]
         if m.start("name") in taken:  # several targets, or a name and its type
-            parts = [(m.start("value") + p.start() + 1, m.start("value") + p.end() - 1) if p["string"] else p["name"]
-                     for p in PART.finditer(m["value"])]
+            parts = [(at + p.start() + 1, at + p.end() - 1) if p["string"] else p["name"] for p in PART.finditer(value)]
             for name in re.findall(NAME, m["name"]):
                 yield name, parts, None
             continue
-        at, value = m.start("value"), m["value"]
         if value[0] in "\"'" or PART.fullmatch(value) or "+" in value and PART.match(value):
             parts = [(at + p.start() + 1, at + p.end() - 1) if p["string"] else p["name"] for p in PART.finditer(value)]
         else:

@@ -312,6 +312,18 @@ def test_secret_constants_of_declarations():
         secrets.scan(text)
 
 
+def test_secret_chains_of_any_length():
+    import time
+    names = [f"n{i}" for i in range(500)]
+    for text in ("passphrase = " + " = ".join(names) + ' = "Zk81mQ0sLw"', " = ".join(names) + ' = passphrase = "Zk81mQ0sLw"'):
+        assert [f"{secrets.KINDS[k]}:{text[a:b]}" for a, k, b in secrets.lexed_spans(text)] == ["literal:Zk81mQ0sLw"]
+    assert secrets.lexed_spans('password == b == "Zk81mQ0sLw"') == []
+    start = time.monotonic()
+    for text in ("x=" * 200_000, "x =  " * 100_000 + '"', "x = " * 100_000 + "'='"):
+        secrets.scan(text)
+    assert time.monotonic() - start < 15
+
+
 def test_secret_lexer_is_quick_on_long_words():
     for text in ("a" * 300_000 + "=", "a." * 100_000 + ":", "'" * 20_000 + "=", "x=" * 50_000):
         secrets.scan(text)
