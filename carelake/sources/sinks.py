@@ -102,3 +102,30 @@ def table_inventory(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return (counts.join(meta, "TABLE_NAME")
             .select("TABLE_NAME", "ROW_COUNT", "BYTES",
                     F.timestamp_millis("MTIME_MS").cast("timestamp_ntz").alias("LAST_ALTERED")))
+
+
+def repair_partitions(path: str, repaired: DataFrame, partition_by: str) -> list:
+    """Brings the partitions of a written table up to ``repaired`` (all its rows, same columns) and returns the values
+    of those that it rewrote. A partition whose rows are the same, in any order, is not touched: per partition, count, sum and
+    xor of the rows' hashes are compared first. The others are written beside the old ones and swapped by Spark's dynamic
+    partition overwrite; partitions that ``repaired`` has no row of stay."""
+    from carelake.operators.numbering import checkpointed
+    spark = repaired.sparkSession
+    live = spark.read.parquet(path)
+    columns = sorted(live.columns)
+
+    def marks(df: DataFrame, prefix: str) -> DataFrame:
+        h = F.xxhash64(*columns)
+        return df.groupBy(F.col(partition_by).alias(f"{prefix}_part")).agg(F.struct(
+            F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit(1), *columns))).alias(f"{prefix}_marks"))
+
+    want, have = marks(repaired.select(*live.columns), "new"), marks(live, "old")
+    touched = checkpointed(want.join(have, F.col("new_part").eqNullSafe(F.col("old_part")), "left")
+                           .where(~F.col("new_marks").eqNullSafe(F.col("old_marks"))).select("new_part"))
+    parts = [r[0] for r in touched.orderBy("new_part").collect()]  # as many as the table has folders
+    if parts:
+        rows = repaired.select(*live.columns).join(F.broadcast(touched), F.col(partition_by).eqNullSafe(F.col("new_part")), "left_semi")
+        # the rows come from the files that they replace
+        checkpointed(rows).repartition(partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(partition_by).parquet(path)
+    return parts
