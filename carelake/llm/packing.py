@@ -1,13 +1,17 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted at once. A sequence of capacity c costs c + OVERHEAD (padding
-and attention work per sequence). Pieces are placed longest first:
+Several sequence lengths are permitted at once. A sequence of capacity c costs c + c * c / ATTENTION +
+OVERHEAD: work per position, work per pair of positions, and work per sequence. So long sequences
+share the overhead among more tokens and short ones save attention. Pieces are placed longest first:
 
 * into the open bin with the least room that still holds the piece (best fit), or else
-* into a new bin of the permitted length that costs least per token it can expect to hold (its
-  capacity, or what is left to place when that is less).
+* into a new bin of the permitted length that costs least per token it will hold. What it will hold
+  is looked up among the pieces still unplaced (the longest that fits its room, again and again),
+  less what the open bins have room for.
 
-At the end each bin is downsized to the least permitted length that holds its contents.
+A shard is packed once for each permitted length as the longest that may be opened for shorter
+pieces, and the cheapest of these packings counts (ties: the one of the lesser length). At the end
+each bin is downsized to the least permitted length that holds its contents.
 
 Documents longer than the longest length are cut into pieces of that length (no token is lost).
 Rows are dealt out evenly into shards of about SHARD_PIECES narrow rows (id, length), which are packed
@@ -15,12 +19,14 @@ one per task; a repeated id or a tie is no hot spot, and Spark makes the deal re
 is run again. No text goes through Python.
 
 A document's length is its number of words plus one end token; so null, empty and blank texts are
-pieces of one token. Null and repeated ids are packed like others. An empty table gives no bins.
+pieces of one token. Null and repeated ids are packed like others, and pieces of equal length by id
+and piece. An empty table gives no bins. Only the id and text columns are read, so other columns
+can't clash.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,45 +38,77 @@ from carelake.llm.common import n_words, save, ship, table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 128
+ATTENTION = 16_384  # the length at which attention costs as much as all else
 SHARD_PIECES = 100_000
 
 SCHEMA = ("doc_id long, piece int, start_token long, n_tokens int, shard int, bin int, bin_offset int, "
           "capacity int, bin_used int")
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list, list, list, list]:
+def cost(capacity: int, overhead: int = OVERHEAD, attention: int = ATTENTION) -> float:
+    """Work of one sequence."""
+    return capacity + capacity * capacity / attention + overhead
+
+
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD,
+         attention: int = ATTENTION) -> tuple[list, list, list, list]:
     """(bin, offset) of each piece; (used, capacity) of each bin. ``sizes``: each at most max(lengths)."""
     lengths = tuple(sorted(lengths))
+    prices = {c: cost(c, overhead, attention) for c in lengths}
+    packings = (_pack(sizes, lengths, prices, longest) for longest in lengths)
+    return min(packings, key=lambda p: sum(prices[c] for c in p[3]))
+
+
+def _pack(sizes: list[int], lengths: tuple[int, ...], prices: dict[int, float], longest: int) -> tuple[list, list, list, list]:
+    """One packing that opens bins above ``longest`` only for pieces above it."""
     order = np.argsort(-np.asarray(sizes, np.int64), kind="stable")
     bins, offsets = [0] * len(sizes), [0] * len(sizes)
     used: list[int] = []
-    opened: list[int] = []
     by_room: dict[int, list[int]] = {}  # room left -> open bins with it
     rooms: list[int] = []               # its keys, sorted
-    left = int(np.sum(sizes)) if len(sizes) else 0
+    values, counts = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    waiting = values.tolist()           # sizes of the unplaced pieces, sorted; the longest go first, so it shrinks at its end
+    copies = dict(zip(waiting, counts.tolist()))
+    shortest = waiting[0] if waiting else 0
+    left, open_room = int(np.sum(sizes)) if len(sizes) else 0, 0
+
+    def filling(room: int) -> int:
+        """Tokens of unplaced pieces that fit into ``room``, longest first."""
+        whole, at = room, len(waiting)
+        while at := bisect_right(waiting, room, 0, at):
+            at -= 1
+            room -= min(copies[waiting[at]], room // waiting[at]) * waiting[at]
+        return whole - room
+
     for i in order.tolist():
         s = sizes[i]
+        copies[s] -= 1
+        if not copies[s]:
+            waiting.pop()
+        left -= s
         at = bisect_left(rooms, s)
         if at < len(rooms):
             room = rooms[at]
             b = by_room[room].pop()
             if not by_room[room]:
                 del by_room[room], rooms[at]
+            open_room -= room
         else:
-            room = min((c for c in lengths if c >= s), key=lambda c: ((c + overhead) / min(c, left), c))
+            spare = max(left - open_room, 0)
+            room = min((c for n, c in enumerate(lengths) if c >= s and (c <= longest or not n or lengths[n - 1] < s)),
+                       key=lambda c: (prices[c] / (s + min(filling(c - s), spare)), c))
             b = len(used)
             used.append(0)
-            opened.append(room)
         bins[i], offsets[i] = b, used[b]
         used[b] += s
-        left -= s
-        if room > s:
-            if room - s not in by_room:
-                by_room[room - s] = []
-                insort(rooms, room - s)
-            by_room[room - s].append(b)
-    caps = [lengths[bisect_left(lengths, u)] for u in used]
-    return bins, offsets, used, caps
+        room -= s
+        if room >= shortest:
+            open_room += room
+            if room not in by_room:
+                by_room[room] = []
+                insort(rooms, room)
+            by_room[room].append(b)
+    return bins, offsets, used, [lengths[bisect_left(lengths, u)] for u in used]
 
 
 def pieces(docs: DataFrame, length: Column, id_col: str, longest: int) -> DataFrame:
@@ -83,7 +121,8 @@ def pieces(docs: DataFrame, length: Column, id_col: str, longest: int) -> DataFr
 
 
 def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lengths=LENGTHS,
-                   overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES, length: Column | None = None) -> DataFrame:
+                   overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES, length: Column | None = None,
+                   attention: int = ATTENTION) -> DataFrame:
     """One row per piece (SCHEMA): where it starts in its document and in which bin of which shard it
     lies; (shard, bin) names a sequence of ``capacity`` tokens of which ``bin_used`` are filled."""
     ship(docs.sparkSession)
@@ -97,7 +136,7 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         if not held:
             return
         t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
-        bins, offsets, used, caps = pack(t["n_tokens"].to_pylist(), tuple(lengths), overhead)
+        bins, offsets, used, caps = pack(t["n_tokens"].to_pylist(), tuple(lengths), overhead, attention)
         at = np.asarray(bins)
         t = (t.append_column("bin", pa.array(bins, pa.int32())).append_column("bin_offset", pa.array(offsets, pa.int32()))
               .append_column("capacity", pa.array(np.asarray(caps)[at], pa.int32()))

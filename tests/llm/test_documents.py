@@ -1,6 +1,7 @@
 """Operators on documents against brute force and SQL; odd rows; the pipeline's stages."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -244,6 +245,49 @@ def test_packing_chooses_and_downsizes():
     assert packing.pack([], (512,), 0)[2] == []
 
 
+def test_packing_opens_every_length_and_beats_each_alone():
+    rng = random.Random(5)
+    sizes = [rng.choice((rng.randint(1, 300), rng.randint(300, 1500), rng.randint(3000, 3900), rng.randint(5000, 8000)))
+             for _ in range(3000)] + [8192] * 300
+    work = sum(map(packing.cost, packing.pack(sizes)[3]))
+    prices = {c: packing.cost(c) for c in packing.LENGTHS}
+    assert work <= min(sum(map(packing.cost, packing._pack(sizes, packing.LENGTHS, prices, c)[3])) for c in packing.LENGTHS)
+    assert work <= sum(map(packing.cost, packing._pack(sizes, (8192,), {8192: packing.cost(8192)}, 8192)[3]))
+    short = Counter(packing.pack([rng.randint(1, 600) for _ in range(3000)])[3])
+    assert short[8192] == 0 and short[1024] + short[2048] > 0.9 * sum(short.values())
+    # alike pieces go where they fill best: three in 2048, not one in 1024 nor six in 4096
+    assert set(packing.pack([640] * 90)[3]) == {2048}
+    assert set(packing.pack([512] * 90)[3]) <= {1024, 2048}
+
+
+def test_packing_against_the_least_cost():
+    def least(sizes):
+        """Over all partitions of the pieces into bins."""
+        total, best = [0] * (1 << len(sizes)), [0.0] * (1 << len(sizes))
+        for s in range(1, 1 << len(sizes)):
+            total[s] = total[s & (s - 1)] + sizes[(s & -s).bit_length() - 1]
+        for s in range(1, 1 << len(sizes)):
+            first, options, rest = s & -s, [], s & (s - 1)
+            part = rest
+            while True:
+                if total[part | first] <= packing.LENGTHS[-1]:
+                    options.append(packing.cost(min(c for c in packing.LENGTHS if c >= total[part | first])) + best[rest ^ part])
+                if not part:
+                    break
+                part = (part - 1) & rest
+            best[s] = min(options)
+        return best[-1]
+
+    rng = random.Random(7)
+    ours = exact = 0.0
+    for _ in range(80):
+        top = rng.choice((300, 1000, 3000, 8192))
+        sizes = [rng.randint(1, top) for _ in range(rng.randint(1, 9))]
+        ours += sum(map(packing.cost, packing.pack(sizes)[3]))
+        exact += least(sizes)
+    assert exact <= ours <= 1.02 * exact
+
+
 def test_packing_odd_rows(spark):
     odd = odd_documents(spark)
     rows = packing.pack_documents(odd).collect()
