@@ -7,12 +7,14 @@ Base kinds (plain patterns, leftmost and non-overlapping each, too short ones dr
 * ``hex``     24 or more lowercase hex digits
 
 The lexer adds spans of literals that are bound to a sensitive name. It reads source and configuration
-syntax statement by statement (``name = literal``, ``name: literal``, ``name := literal``,
+syntax in one pass over the names (dotted or hyphenated runs count as one name and are read once, so the
+time stays in proportion to the text) and takes statements (``name = literal``, ``name: literal``, ``name := literal``,
 ``"name" => literal``, ``name=literal`` as keyword argument or in a query string, ``export NAME=...``,
 ``<name>literal</name>``, ``name: type = literal``, ``var name type = literal``, ``name[] = literal``,
-``#define name literal``, ``a = name = literal``, literals in parentheses) into name-literal pairs. Right sides are joined (``"ab" + "cd"``, adjacent
-strings) and propagated: ``x = "..."`` then ``password = x`` marks the literal of x, through any number
-of steps. A literal's score adds up how sensitive the words of its names are and how much it looks like
+``#define name literal``, ``a = name = literal``, literals in parentheses or back quotes, block scalars ``name: >-``) for name-literal pairs. Right sides
+are joined (``"ab" + "cd"``, adjacent strings) and propagated: ``x = "..."`` then ``password = x`` marks the
+literal of x, through any number of steps. What a name is bound to elsewhere in the text, below its use
+or before another value, is propagated as well, each such binding by itself. A literal's score adds up how sensitive the words of its names are and how much it looks like
 a secret (length, kinds of characters, entropy); placeholders and references score nothing.
 
 * ``literal``   a literal bound to a sensitive name itself
@@ -55,7 +57,8 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|0+|none|null|nil|true|false|
                          r"example|sample|dummy|test|placeholder|redacted|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
 THRESHOLD = 1.3
 
-STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\\n]|\\.)*`'
+QUOTES = "\"'`"
 NAME = r"(?<![\w$])[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"  # possessive: no backtracking in long words
 # name, binder, right side: strings and names joined by +, or one bare value up to a separator
 BINDING = re.compile(
@@ -66,14 +69,19 @@ LITERALS = rf"""(?:\([ \t\r\n]*+)?(?P<value>(?:(?:{STRING})|{NAME}(?![\w.+/=(-])
 TYPE = (r"[&*]?(?:'\w++[ \t]+)?(?:mut[ \t]+)?[A-Za-z_][\w.:]*+(?:[ \t]*[<\[][^\n=\"';]{0,60}[>\]])?(?:[ \t]*\|[ \t]*[\w.]++){0,4}[?*]?"
         r"(?:\[\w*\])?")
 DECLARED = [(need, re.compile(x)) for need, x in (
-    (":", rf"(?P<name>{NAME})[?!]?[ \t]*:[ \t]*{TYPE}[ \t]*=(?![=>])[ \t]*{LITERALS}"),           # password: str = ".."
     ("]", rf"(?P<name>{NAME})[ \t]*\[\w*\][ \t]*=(?![=>])[ \t]*{LITERALS}"),                      # char password[] = ".."
-    ("define", rf"#[ \t]*define[ \t]+(?P<name>{NAME})[ \t]+{LITERALS}"),
-    (" ", rf"\b(?:var|const|let|static)[ \t]+(?P<name>{NAME}[ \t]+{NAME})[ \t]*=(?![=>])[ \t]*{LITERALS}"),  # var password string = ".."
     ("(", rf"""(?P<quote>["'])?(?P<name>{NAME})(?(quote)(?P=quote))\]?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?=\(){LITERALS}"""))]
+TYPED = re.compile(rf"(?P<name>{NAME})[?!]?[ \t]*:[ \t]*{TYPE}[ \t]*=(?![=>])[ \t]*{LITERALS}")     # password: str = ".."
+TYPED_COLON, TYPE_WORD = re.compile(r"[?!]?[ \t]*+:[ \t]*+"), re.compile(r"[\w.:]*+")
+# those that begin with a word of their own
+OPENED = [(need, re.compile(x)) for need, x in (
+    ("define", rf"#[ \t]*+define[ \t]++(?P<name>{NAME})[ \t]+{LITERALS}"),
+    (" ", rf"\b(?:var|const|let|static)[ \t]+(?P<name>{NAME}[ \t]+{NAME})[ \t]*=(?![=>])[ \t]*{LITERALS}"))]  # var password string = ".."
 # a = password = "..": names that another binder follows, however many, and what stands behind the last
 CHAIN = re.compile(rf"(?P<name>{NAME}(?:[ \t]*+=(?![=>])[ \t]*+{NAME}(?=[ \t]*+=(?![=>])))++)[ \t]*+=(?![=>])[ \t]*+")
 VALUE = re.compile(LITERALS)
+RUN = re.compile(NAME)
+BLOCK = re.compile(rf"(?P<name>{NAME})[ \t]*+:[ \t]*+[|>][+-]?\d?[ \t]*+\r?\n[ \t]++(?P<value>[^\s\"'`,;&<>(){{}}\[\]]++)[ \t\r]*+(?:\n|\Z)")
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\s]+)</(?P=name)>")
 PART = re.compile(rf"(?P<string>{STRING})|(?P<name>{NAME})")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -108,49 +116,118 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def at_runs(pattern: re.Pattern, text: str, runs: list[re.Match]):
+    """What ``pattern.finditer`` finds. It begins with a name, which may stand behind a quote; whether it matches depends on the
+    end of the name's run, so it is tried at the start of each run only and not again behind every dot and hyphen."""
+    done = 0
+    for r in runs:
+        start = r.start()
+        if start >= done:
+            m = pattern.match(text, start - 1) if start > done and text[start - 1] in QUOTES else None
+            m = m or pattern.match(text, start)
+            if m:
+                done = m.end()
+                yield m
+
+
+def typed(text: str, runs: list[re.Match]):
+    """TYPED at each run. Of a long type, all names inside fail like the first: the rest hangs on where the type ends."""
+    done = dead = 0
+    for r in runs:
+        colon = TYPED_COLON.match(text, r.end()) if r.start() >= done else None
+        if not colon or colon.end() < dead:
+            continue
+        m = TYPED.match(text, r.start())
+        if m:
+            done = m.end()
+            yield m
+        else:
+            end = TYPE_WORD.match(text, colon.end()).end()
+            dead = end if text[end - 3:end] != "mut" else dead  # ``mut`` may end a word and begin a type
+
+
 def bindings(text: str):
-    """(name, parts) in the order of the text; a part is a name (str) or a literal (start, end)."""
-    literal = '"' in text or "'" in text
-    declared = [(m, m) for need, x in DECLARED if literal and need in text for m in x.finditer(text)]
+    """(name, parts, bare) in the order of the text; a part is a name (str) or a literal (start, end), ``bare`` the place of a
+    right side that is one unquoted word."""
+    literal = any(q in text for q in QUOTES)
+    runs = list(RUN.finditer(text))
+    declared = [(m, m) for need, x in DECLARED if literal and need in text for m in at_runs(x, text, runs)]
+    declared += [(m, m) for m in (typed(text, runs) if literal and ":" in text else ())]
+    declared += [(m, m) for need, x in OPENED if literal and need in text for m in x.finditer(text)]
     # a chain is passed over as a whole, with or without a literal behind it, so long ones are read once
-    declared += [(m, v) for m in (CHAIN.finditer(text) if literal and "=" in text else ()) if (v := VALUE.match(text, m.end()))]
+    chains = at_runs(CHAIN, text, runs) if literal and "=" in text else ()
+    declared += [(m, v) for m in chains if (v := VALUE.match(text, m.end()))]
     taken = {m.start("name") for m, _ in declared}
-    plain = [(m, m) for m in BINDING.finditer(text) if m.start("name") not in taken]
+    plain = [(m, m) for m in at_runs(BINDING, text, runs) if m.start("name") not in taken]
     elements = [(m, m) for m in ELEMENT.finditer(text)] if "</" in text else []
-    for m, v in sorted([*plain, *declared, *elements], key=lambda x: x[0].start("name")):
+    blocks = [(m, m) for m in at_runs(BLOCK, text, runs)] if ":" in text and ("|" in text or ">" in text) else []
+    for m, v in sorted([*plain, *declared, *elements, *blocks], key=lambda x: x[0].start("name")):
         at, value = v.start("value"), v["value"]
-        if m.start("name") in taken:  # several targets, or a name and its type
+        if m.start("name") in taken and m.re is not BLOCK:  # several targets, or a name and its type
             parts = [(at + p.start() + 1, at + p.end() - 1) if p["string"] else p["name"] for p in PART.finditer(value)]
-            for name in re.findall(NAME, m["name"]):
+            for name in RUN.findall(m["name"]):
                 yield name, parts, None
             continue
-        if value[0] in "\"'" or PART.fullmatch(value) or "+" in value and PART.match(value):
+        if value[0] in QUOTES or PART.fullmatch(value) or "+" in value and PART.match(value):
             parts = [(at + p.start() + 1, at + p.end() - 1) if p["string"] else p["name"] for p in PART.finditer(value)]
         else:
-            parts = [(at, m.end("value"))]
+            parts = [(at, v.end("value"))]
         bare = len(parts) == 1 and isinstance(parts[0], str)
-        yield m["name"], parts, (at, m.end("value")) if bare else None
+        yield m["name"], parts, (at, v.end("value")) if bare else None
+
+
+def reached(node: list) -> list[tuple[int, int, bool]]:
+    """Literals of a bound right side in order, each once, and whether it came through another name. Right sides hold those of
+    their names by reference; they are only followed for sensitive names."""
+    out, seen, stack = {}, {id(node)}, [(node, 0, False)]
+    while stack:
+        node, at, far = stack.pop()
+        while at < len(node):
+            part, at = node[at], at + 1
+            if isinstance(part, tuple):
+                out[(*part, far)] = None
+            elif id(part) not in seen:
+                seen.add(id(part))
+                stack.append((node, at, far))
+                node, at, far = part, 0, True
+    return list(out)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals that reach a sensitive name."""
     if not ("=" in text or ":" in text or "</" in text or "define" in text):
         return []
-    bound: dict[str, list] = {}
+    found = list(bindings(text))
+    scores = {name: name_score(name) for name in {n for n, _, _ in found}}
+    if not any(scores.values()):
+        return []
     out = set()
-    for name, parts, bare in bindings(text):
-        reach: list[tuple[int, int, bool]] = []  # literal and whether it came through another name
-        for p in parts:
-            if not isinstance(p, str):
-                reach.append((*p, False))
-            elif p in bound:
-                reach += [(a, b, True) for a, b, _ in bound[p]]
-            elif bare:  # an unquoted value, as in configuration files
-                reach.append((*bare, False))
-        bound[name] = reach = list(dict.fromkeys(reach))
-        score = name_score(name)
-        if score > 0 and reach and score + value_score("".join(text[a:b] for a, b, _ in reach)) >= THRESHOLD:
-            out.update((a, 4 if far else 3, b) for a, b, far in reach if b > a and (not bare or far or _mixed(text[a:b])))
+    bound: dict[str, list] = {}
+    for name, parts, bare in found:
+        node = [p if not isinstance(p, str) else bound[p] if p in bound else bare for p in parts]
+        node = [p[0] if isinstance(p, list) and len(p) == 1 and isinstance(p[0], list) else p for p in node if p]
+        bound[name] = node
+        if scores[name] > 0 and node:
+            reach = reached(node)
+            if reach and scores[name] + value_score("".join(text[a:b] for a, b, _ in reach)) >= THRESHOLD:
+                out.update((a, 4 if far else 3, b) for a, b, far in reach if b > a and (not bare or far or _mixed(text[a:b])))
+    # the other bindings of the names that sensitive names refer to, most sensitive first, each once
+    elsewhere: dict[str, list] = {}
+    for name, parts, bare in found:
+        elsewhere.setdefault(name, []).append((parts, bare))
+    seen = set()
+    for score, names in sorted(((scores[n], [p for p in parts if isinstance(p, str) and p != n]) for n, parts, _ in found
+                                if scores[n] > 0), key=lambda x: -x[0]):
+        while names:
+            name = names.pop()
+            if name in seen or name not in elsewhere:
+                continue
+            seen.add(name)
+            for parts, bare in elsewhere[name]:
+                own = [p for p in parts if not isinstance(p, str)]
+                if own and score + value_score("".join(text[a:b] for a, b in own)) >= THRESHOLD:
+                    out.update((a, 4, b) for a, b in own if b > a)
+                names += [p for p in parts if isinstance(p, str)]
     return sorted(out)
 
 

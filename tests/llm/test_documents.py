@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -210,6 +211,30 @@ def test_mix_repeats_what_take_counts(spark, docs):
     assert got == Counter({k: v for k, v in want.items() if v})
 
 
+# --- op7, long texts and bindings elsewhere ---
+
+@pytest.mark.parametrize("part, end", [("la-", ' = "'), ("a.", ':"'), ("aa:bb:", '"'), ("x = ", '"'), ("x:a|", '"'), ("a:a<", '"'),
+                                       ("a:mut ", '"'), ('s = s + "abc"\n', ""), ("x = y\ny = x\npassword = x\n", ""), ("password = x\n", "`")])
+def test_secret_lexer_reads_a_megabyte_in_seconds(part, end):
+    text = part * (1_000_000 // len(part)) + end
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 6  # 0.1 to 1.8 s here; before, an hour or more
+
+
+@pytest.mark.parametrize("text, spans", [
+    ('x="Zk81mQ0sLw"\nx="other"\npassphrase = x', "constant:3:13"),
+    ('passphrase = x\nx="Zk81mQ0sLw"', "constant:18:28"),
+    ('passphrase = y\ny = x\nx = "Zk81mQ0sLw"', "constant:26:36"),
+    ("passphrase: >-\n  Zk81mQ0sLw\nb: 1", "literal:17:27"),
+    ("const passphrase = `Zk81mQ0sLw`", "literal:20:30"),
+    ("la-la.passphrase = 'Zk81mQ0sLw'", "literal:20:30"),
+    ("3-passphrase = 'Zk81mQ0sLw'", "literal:16:26"),
+    ('x="Zk81mQ0sLw"\nx="other"\ncolour = x', "")])
+def test_secret_bindings(text, spans):
+    assert secrets.written(secrets.lexed_spans(text)) == spans
+
+
 # --- op3 ---
 
 def check_bins(rows, lengths, lens):
