@@ -4,6 +4,12 @@ Every step reads tables, writes a new table version (S6) and appends one row
 to the run log (S10). Written tables cut the lineage, so a lost executor
 only recomputes from the last written step. Steps that do not depend on
 each other run as concurrent Spark jobs from two driver threads (O4).
+
+The run log is the ledger of a run: a step's SUCCESS row names the version it
+wrote. A refresh started again with the same run id skips the steps that have
+such a row, reads their versions (whatever other runs have written since) and
+goes on behind them. Each attempt writes versions of its own, so a step that
+died after its table was switched is simply done again.
 """
 
 from __future__ import annotations
@@ -45,6 +51,20 @@ class Refresh:
         self.spark: SparkSession = t.spark
         self.root = root.rstrip("/")
         self.run_id = run_id or uuid.uuid4().hex
+        self.attempt = uuid.uuid4().hex[:8]
+        self.done = self._ledger()
+        self.versions = {n: v for _, meta in self.done.values() for n, v in meta.get("versions", {}).items()}
+
+    def _ledger(self) -> dict[str, tuple[int | None, dict]]:
+        """Task -> (rows, metadata) of the steps that this run has finished before; a step counts only if
+        the versions that it wrote are still there."""
+        if not sinks.exists(self.spark, self.path("pipeline_run_log")):
+            return {}
+        rows = (self.table_log().where((F.col("RUN_ID") == self.run_id) & (F.col("STATUS") == "SUCCESS"))
+                .select("TASK_NAME", "ROWS_AFFECTED", "METADATA").collect())  # at most one row a step and attempt
+        done = {r.TASK_NAME: (r.ROWS_AFFECTED, json.loads(r.METADATA or "{}")) for r in rows}
+        return {k: v for k, v in done.items() if all(
+            sinks.exists(self.spark, sinks.version_path(self.path(n), x)) for n, x in v[1].get("versions", {}).items())}
 
     # -- plumbing ---------------------------------------------------------------
     def path(self, name: str) -> str:
@@ -73,22 +93,32 @@ class Refresh:
             df = df.repartition(n, F.col(month), F.pmod(F.xxhash64(key), F.lit(k)))
         if name in MARTS:
             df = sinks.with_audit(df)
-        p = sinks.write_version(df, self.path(name), self.run_id, partition_by=layout[0] if layout else None)
+        version = f"{self.run_id}-{self.attempt}"
+        p = sinks.write_version(df, self.path(name), version, partition_by=layout[0] if layout else None)
+        self.versions[name] = version
         # Row count from the written files (parquet footers), not a recompute.
         return self.spark.read.parquet(p).count()
 
-    def step(self, task: str, fn) -> int | None:
+    def step(self, task: str, fn, *tables: str) -> int | None:
+        """Runs a step that writes ``tables``, unless this run has finished it before."""
+        if task in self.done:
+            return self.done[task][0]
         t0 = time.time()
         try:
             rows = fn()
         except Exception as e:  # noqa: BLE001 - the log records the failure, then re-raises
             self.log(task, "FAILURE", None, time.time() - t0, str(e))
             raise
-        self.log(task, "SUCCESS", rows, time.time() - t0)
+        meta = {"versions": {n: self.versions[n] for n in tables}}
+        self.log(task, "SUCCESS", rows, time.time() - t0, None, meta)
+        self.done[task] = (rows, meta)
         return rows
 
     def table(self, name: str) -> DataFrame:
-        df = sinks.read_current(self.spark, self.path(name))
+        if name in self.versions:
+            df = self.spark.read.parquet(sinks.version_path(self.path(name), self.versions[name]))
+        else:
+            df = sinks.read_current(self.spark, self.path(name))
         if name in MART_LAYOUT:
             # Partition discovery returns the month column last, as a date.
             df = df.withColumn(MART_LAYOUT[name][0], F.col(MART_LAYOUT[name][0]).cast("date"))
@@ -99,7 +129,7 @@ class Refresh:
         """O1 (all six marts; SURVEY §8 item 9)."""
         out = {}
         for name, build in MARTS.items():
-            out[name] = self.step(f"REFRESH_{name.upper()}", lambda b=build, n=name: self.write(n, b(self.t)))
+            out[name] = self.step(f"REFRESH_{name.upper()}", lambda b=build, n=name: self.write(n, b(self.t)), name)
         # Downstream steps read the written marts.
         self.t.materialized.update({n: self.table(n) for n in MARTS})
         return out
@@ -110,7 +140,7 @@ class Refresh:
             n = self.write("pred_encounter_volume", models.pred_encounter_volume(self.t))
             self.model_log("FORECAST_ENCOUNTER_VOLUME", "PREDICTION_COUNT", n)
             return n
-        return self.step("REFRESH_FORECAST", run)
+        return self.step("REFRESH_FORECAST", run, "pred_encounter_volume")
 
     def refresh_anomalies(self) -> int:
         """O3."""
@@ -119,14 +149,14 @@ class Refresh:
             anomalies = self.table("pred_denial_anomalies").where(F.col("IS_ANOMALY")).count()
             self.model_log("ANOMALY_DENIAL_VOLUME", "ANOMALY_COUNT", anomalies, {"observations": n})
             return n
-        return self.step("REFRESH_ANOMALIES", run)
+        return self.step("REFRESH_ANOMALIES", run, "pred_denial_anomalies")
 
     def refresh_drivers(self) -> dict[str, int]:
         return {
             "pred_readmission_drivers": self.step("REFRESH_READMISSION_DRIVERS", lambda: self.write(
-                "pred_readmission_drivers", models.pred_readmission_drivers(self.t))),
+                "pred_readmission_drivers", models.pred_readmission_drivers(self.t)), "pred_readmission_drivers"),
             "pred_leakage_drivers": self.step("REFRESH_LEAKAGE_DRIVERS", lambda: self.write(
-                "pred_leakage_drivers", models.pred_leakage_drivers(self.t))),
+                "pred_leakage_drivers", models.pred_leakage_drivers(self.t)), "pred_leakage_drivers"),
         }
 
     def quality(self) -> int:
@@ -140,14 +170,18 @@ class Refresh:
             self.log("DATA_QUALITY_CHECKS", "SUCCESS", None, 0.0, None,
                      {"pass": s["PASS_COUNT"], "fail": s["FAIL_COUNT"], "warn": s["WARN_COUNT"]})
             return n
-        return self.step("DATA_QUALITY", run)
+        return self.step("DATA_QUALITY", run, "data_quality_checks")
 
     def summary(self) -> int:
         """Completion row = rows logged by this run (filter by run id,
         not by wall-clock window)."""
+        if "PIPELINE_SUMMARY" in self.done:
+            return self.done["PIPELINE_SUMMARY"][0]
         log = self.table_log()
-        total = (log.where((F.col("RUN_ID") == self.run_id) & (F.col("STATUS") == "SUCCESS"))
-                    .agg(F.sum("ROWS_AFFECTED")).first()[0]) or 0
+        # a step that was done again counts once
+        rows = (log.where((F.col("RUN_ID") == self.run_id) & (F.col("STATUS") == "SUCCESS"))
+                   .groupBy("TASK_NAME").agg(F.max_by("ROWS_AFFECTED", "RUN_TS").alias("ROWS")))
+        total = rows.agg(F.sum("ROWS")).first()[0] or 0
         self.log("PIPELINE_SUMMARY", "SUCCESS", int(total), 0.0, None, {"run_id": self.run_id})
         return int(total)
 

@@ -21,12 +21,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def version_path(table_root: str, version: str) -> str:
+    return f"{table_root.rstrip('/')}/v={version}"
+
+
 def write_version(df: DataFrame, table_root: str, version: str | None = None,
                   partition_by: str | None = None) -> str:
     """Write ``df`` as a new version directory and mark it current."""
     spark = df.sparkSession
     version = version or uuid.uuid4().hex
-    path = f"{table_root.rstrip('/')}/v={version}"
+    path = version_path(table_root, version)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -59,7 +68,7 @@ def current_path(spark: SparkSession, table_root: str) -> str | None:
         spark.sparkContext._jvm.java.io.InputStreamReader(stream))
     version = reader.readLine()
     reader.close()
-    return f"{table_root.rstrip('/')}/v={version}"
+    return version_path(table_root, version)
 
 
 def read_current(spark: SparkSession, table_root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +64,52 @@ def test_refresh_pipeline_end_to_end(spark, tmp_path):
     assert "_LOADED_AT" in r.table("mart_readmission_los").columns
     piv = model_metrics_pivot(spark.read.parquet(r.path("model_performance_log"))).collect()
     assert {p.MODEL_NAME for p in piv} == {"FORECAST_ENCOUNTER_VOLUME", "ANOMALY_DENIAL_VOLUME"}
+
+
+def test_refresh_goes_on_behind_the_last_finished_step(spark, tmp_path, monkeypatch):
+    from carelake.plans import pipeline
+    root, built = str(tmp_path / "wh"), []
+
+    def counted(name, build, fails=False):
+        def run(t):
+            built.append(name)
+            if fails:
+                raise RuntimeError("lost driver")
+            return build(t)
+        return run
+
+    marts = dict(pipeline.MARTS)
+    broken = {n: counted(n, b, n == "mart_or_capacity") for n, b in marts.items()}
+    monkeypatch.setattr(pipeline, "MARTS", broken)
+    names = list(marts)
+    before = names[:names.index("mart_or_capacity")]
+    with pytest.raises(RuntimeError, match="lost driver"):
+        Refresh(Tables(spark, SF001), root, "night").run()
+    assert before and built == [*before, "mart_or_capacity"]
+    log = spark.read.parquet(f"{root}/pipeline_run_log")
+    assert {(r.TASK_NAME, r.STATUS) for r in log.collect()} == \
+        {(f"REFRESH_{n.upper()}", "SUCCESS") for n in before} | {("REFRESH_MART_OR_CAPACITY", "FAILURE")}
+
+    # another run writes a mart in between: the resumed run still reads its own version
+    monkeypatch.setattr(pipeline, "MARTS", marts)
+    other = Refresh(Tables(spark, SF001), root, "other")
+    other.write(before[0], marts[before[0]](other.t).limit(3))
+
+    built.clear()
+    monkeypatch.setattr(pipeline, "MARTS", {n: counted(n, b) for n, b in marts.items()})
+    r = Refresh(Tables(spark, SF001), root, "night")
+    out = r.run()
+    assert built == names[len(before):]
+    assert r.table(before[0]).count() == out["marts"][before[0]] > 0
+    written = {n: r.table(n).count() for n in marts}
+    assert written == out["marts"] and out["checks"] == 13 + 6
+
+    # a third run finds all done; a lost version is built again, and what is built is the same
+    built.clear()
+    logged = r.table_log().count()
+    assert Refresh(Tables(spark, SF001), root, "night").run() == out
+    assert built == [] and r.table_log().count() == logged
+    gone = tmp_path / "wh" / names[0] / f"v={r.versions[names[0]]}"
+    gone.rename(tmp_path / "elsewhere")
+    again = Refresh(Tables(spark, SF001), root, "night").refresh_marts()
+    assert built == [names[0]] and again == out["marts"]
