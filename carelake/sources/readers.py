@@ -3,8 +3,8 @@
 * S1 Parquet (snappy is Spark's default codec).
 * S2 CSV with a header, ``"`` quoting, and NULL / null / empty all read as null
   (the CSV reader accepts one ``nullValue``; the others are mapped after).
-* S3 JSON whose file is one outer array: ``multiLine`` turns each element
-  into a row.
+* S3 JSON whose file is one outer array: each element is a row (``json_array.py``,
+  in splits).
 * S4 JSON with one object per line (bed-status events).
 * S5 binding of each raw source to its reader, schema and path.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelake.sources.json_array import read_json_array
+
 NULL_TOKENS = ("NULL", "null", "")
 
 
@@ -38,11 +40,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return raw.select(*cols)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """S3: file = one JSON array; each element becomes a row."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One JSON object per line."""
     return spark.read.schema(schema).json(path)

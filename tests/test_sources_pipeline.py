@@ -113,3 +113,38 @@ def test_refresh_goes_on_behind_the_last_finished_step(spark, tmp_path, monkeypa
     gone.rename(tmp_path / "elsewhere")
     again = Refresh(Tables(spark, SF001), root, "night").refresh_marts()
     assert built == [names[0]] and again == out["marts"]
+
+
+@pytest.mark.parametrize("split", ["64", "1000", "128MB"])
+def test_json_array_is_read_in_splits(spark, tmp_path, split):
+    import random
+    rng = random.Random(11)
+    parts = ["}", "{", "[", "]", '"', "\\", ",", "\n", "a", "é", "\\\"", "x}{", " "]
+    schema = "ID long, NAME string, IN struct<A: string, L: array<struct<B: string>>>"
+    folder = tmp_path / "claims"
+    folder.mkdir()
+    for name, indent in (("a.json", None), ("b.json", 2)):
+        rows = [{"ID": i, "NAME": "".join(rng.choices(parts, k=rng.randint(0, 60))),
+                 "IN": {"A": rng.choice(parts), "L": [{"B": "".join(rng.choices(parts, k=3))} for _ in range(rng.randint(0, 3))]}}
+                for i in range(150)]
+        (folder / name).write_text(json.dumps(rows, indent=indent, ensure_ascii=indent is None) + "\n")
+    (folder / "c.json").write_text("[]")
+    (folder / "d.json").write_text("")
+    (folder / "e.json").write_text('[{}, {"ID": 7},{"ID": 8, "NAME": "' + "}" * 3000 + '"}]')
+    want = spark.read.schema(schema).option("multiLine", True).json([str(folder / f"{n}.json") for n in "abe"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = readers.read_json_array(spark, str(folder), T.StructType.fromDDL(schema)).collect()
+        if split == "1000":
+            from carelake.sources.json_array import pieces
+            assert pieces(spark, str(folder / "e.json")).select("block").distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 303 and sorted(map(repr, got)) == sorted(map(repr, want.collect()))
+
+
+def test_json_array_that_ends_early_is_an_error(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"ID": 1}, {"ID": 2, "NAME": "cut')
+    with pytest.raises(Exception, match="ends inside a record"):
+        readers.read_json_array(spark, str(tmp_path / "x.json"), SCHEMA).collect()
