@@ -63,6 +63,7 @@ NOISE = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar foo
 BESIDE = set("area bar block body bottom box button buttons col column container entry first footer form global group head "
              "header holder icon icons inner item items last left link links list main media message page panel post posts "
              "primary right row secondary section site slot thread title top unit widgets wrap wrapper zone".split())
+COMMENT = frozenset({"comment", "comments", "reply"})  # an article of this name is a reader's
 HEADERS = frozenset({"header", "topbar"})  # of the page; inside an article they hold its title
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 ZEROS = re.compile(r"&#0+(?=[0-9])")
@@ -83,14 +84,18 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # places of the open elements of each tag, innermost last
+
+    def _innermost(self, tags: set) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
     def _close(self, tags: set, until: set) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in until:
-                return
+        """Closes the innermost open element of ``tags``, unless one of ``until`` lies further in."""
+        i = self._innermost(tags)
+        if i and (i == len(self.open) - 1 or i >= self._innermost(until)):
+            for n in self.open[i:]:
+                self.places[n.tag].pop()
+            del self.open[i:]
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -105,6 +110,7 @@ class Tree(HTMLParser):
                     tag == "header" or _named(tag, attrs, HEADERS))
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -147,7 +153,7 @@ def _is_noise(tag: str, attrs) -> bool:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and value and tag == "article" and {"comment", "comments", "reply"} & set(re.split(r"\W+", value.lower())):
+        if name in ("class", "id") and value and tag == "article" and any(_names(c, COMMENT) for c in value.split()):
             return True
     return False
 
@@ -221,7 +227,8 @@ def subtree_hashes(root: Node) -> dict[int, int]:
 
 
 def contents(root: Node) -> list[Node]:
-    """The elements that hold the article: articles, else main, else all."""
+    """The elements that hold the article: articles, else main, else all. Where main holds more text outside its
+    articles, it is the article itself and they are cards of others: they become noise."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     depth = noise = 0
     for n, leaving in walk(root):
@@ -236,6 +243,23 @@ def contents(root: Node) -> list[Node]:
                     found["article"].append(n)
             elif not leaving:
                 found["main"].append(n)
+    for m in found["main"][:1]:
+        own, theirs, cards = 0, 0, []  # text outside and inside of articles
+        depth = noise = 0
+        for n, leaving in walk(m):
+            if not isinstance(n, Node):
+                if not noise and not n.isspace():
+                    own, theirs = (own, theirs + len(n)) if depth else (own + len(n), theirs)
+            elif n.noise:
+                noise += -1 if leaving else 1
+            elif n.tag == "article":
+                depth += -1 if leaving else 1
+                if not leaving and depth == 1 and not noise:
+                    cards.append(n)
+        if cards and own > theirs and len(cards) == len(found["article"]):
+            for n in cards:
+                n.noise = True
+            return [m]
     return found["article"] or found["main"][:1] or [root]
 
 

@@ -328,3 +328,24 @@ def test_encoding_in_parts_is_encoding_whole(monkeypatch):
     e = token_files.Encoder(spec)
     for _ in range(3):
         assert [x.tolist() for x in e.encode(texts)] == want
+
+
+def test_many_unclosed_tags_take_time_in_proportion():
+    import time
+    for html in ("<b>" * 100_000 + "</i><hr>" * 100_000 + "end", "<i><article>" + "<b>" * 50_000 + "</i>" * 50_000 + "end",
+                 "<p><i>" * 50_000 + "</p>" * 50_000 + "end"):
+        began = time.process_time()
+        assert html_extract.main_text(html, ()).endswith("end")
+        assert time.process_time() - began < 10  # about a second; before, minutes
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<main><p>" + "long words " * 15 + "</p><article>Teaser</article></main>", ("long words " * 15).strip()),
+    ("<main><p>Intro</p><article><p>the article's own text</p></article></main>", "the article's own text"),
+    ("<main><article>one</article><article>two</article> more</main>", "one\ntwo"),
+    ('<article class="post comments-open"><p>text</p></article>', "text"),
+    ('<article><p>text</p></article><article class="comment even"><p>a reader</p></article>', "text"),
+    ("<div><p>a<b>b</div><p>c</b>d", "ab\ncd"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\nb\nc\nd")])
+def test_article_and_its_wrappers(html, text):
+    assert html_extract.main_text(html, ()) == text
