@@ -102,7 +102,7 @@ class Tree(HTMLParser):
             return
         if tag == "body":
             self._close({"head"}, set())
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.places.get("p"):
             self._close({"p"}, SCOPES)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
@@ -119,7 +119,11 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag):
         if tag in VOID or tag == "html":
             return
-        self._close({tag}, set() if tag in SCOPES else SCOPES)
+        if self.open[-1].tag == tag:
+            self.places[tag].pop()
+            self.open.pop()
+        elif self.places.get(tag):
+            self._close({tag}, set() if tag in SCOPES else SCOPES)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -243,7 +247,7 @@ def contents(root: Node) -> list[Node]:
                     found["article"].append(n)
             elif not leaving:
                 found["main"].append(n)
-    for m in found["main"][:1]:
+    for m in found["main"][:1] if found["article"] else ():
         own, theirs, cards = 0, 0, []  # text outside and inside of articles
         depth = noise = 0
         for n, leaving in walk(m):
